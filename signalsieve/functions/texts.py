@@ -44,18 +44,15 @@ def has_phrase(words: Column, phrase: Column | str) -> Column:
 
 
 def word_ngrams(words: Column, sizes: list[int]) -> Column:
-    """Distinct word n-grams of the given sizes, as an array."""
-    tokens = F.split(F.trim(words), " ")
-
-    def grams(n: int) -> Column:
-        starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - (n - 1)))
-        return F.coalesce(
-            F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), " ")),
-            F.array().cast("array<string>"),
-        )
-
-    singles = [tokens if n == 1 else grams(n) for n in sizes]
-    return F.array_distinct(singles[0] if len(singles) == 1 else F.concat(*singles))
+    """Distinct word n-grams of the given sizes in the result of :func:`words_of`, as an array.
+
+    A look-ahead finds overlapping runs of n words in one linear scan per size.
+    """
+    found = [
+        F.regexp_extract_all(words, F.lit("(?= (" + " ".join([r"\S+"] * n) + ") )"), F.lit(1))
+        for n in sizes
+    ]
+    return F.array_distinct(found[0] if len(found) == 1 else F.concat(*found))
 
 
 def fold_text(text: Column | str) -> Column:

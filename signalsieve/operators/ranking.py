@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from signalsieve.config import (
-    COMPANY_TYPES,
     DEFAULT_MODE,
     LARGEST_SHORTLIST,
     MODES,
@@ -58,7 +57,7 @@ def mode_priority(mode: Column) -> Column:
     """Leading sort key per mode: 0 is what the mode looks for first."""
     feedback = (F.col("n_pain") + F.col("n_workaround")) > 0
     buying = (F.col("n_explicit_demand") + F.col("n_switching")) > 0
-    company = F.coalesce(F.col("entity_type").isin(list(COMPANY_TYPES)), F.lit(False))
+    company = F.coalesce("is_company", F.lit(False))
     trigger = F.col("n_timing") > 0
     request = F.col("n_explicit_demand") > 0
     discussed = F.col("n_discussion") > 0
@@ -86,8 +85,8 @@ def with_mode(prospects: DataFrame, briefs: DataFrame) -> DataFrame:
 
 
 def prioritise(prospects: DataFrame, briefs: DataFrame) -> DataFrame:
-    """Adds ``mode`` and ``priority``."""
-    typed = prospects if "entity_type" in prospects.columns else prospects.withColumn("entity_type", F.lit(None).cast("string"))
+    """Adds ``mode`` and ``priority``; uses ``is_company`` where present."""
+    typed = prospects if "is_company" in prospects.columns else prospects.withColumn("is_company", F.lit(False))
     return with_mode(typed, briefs).withColumn("priority", mode_priority(F.col("mode")))
 
 

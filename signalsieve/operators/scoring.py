@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from signalsieve.config import BUCKETS, DIMENSION_LABELS, DISCUSSION_SOURCES, ScoringConfig
+from signalsieve.config import BUCKETS, COMPANY_TYPES, DIMENSION_LABELS, DISCUSSION_SOURCES, ScoringConfig
 from signalsieve.functions.numbers import clamp
 from signalsieve.functions.scores import band, bounded_rating, stage_class, stage_from_counts, weighted_score
 from signalsieve.functions.urls import has_valid_url
@@ -24,7 +24,7 @@ def entity_profile(evidence: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame
     and texts are fetched later, for shortlisted prospects only.
 
     Reads buckets, source_type, source_url, signal_date and, where present, reliability
-    (percent), evidence ``stale`` and ``as_of``.
+    (percent), ``stale``, ``as_of``, ``disqualified`` and ``entity_type``.
     """
     columns = set(evidence.columns)
     observed = F.size("buckets") > 0
@@ -32,7 +32,14 @@ def entity_profile(evidence: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame
     n_bucket = [F.count_if(F.array_contains("buckets", b)).alias(f"n_{b}") for b in BUCKETS]
     rated = F.col("reliability") if "reliability" in columns else F.lit(None).cast("int")
     stale = F.col("stale") if "stale" in columns else F.col("signal_date").isNull()
-    profile = evidence.groupBy(*keys).agg(
+    extras = []
+    if "as_of" in columns:
+        extras.append(F.max("as_of").alias("as_of"))
+    if "disqualified" in columns:
+        extras.append(F.bool_or("disqualified").alias("is_disqualified"))
+    if "entity_type" in columns:
+        extras.append(F.coalesce(F.bool_or(F.col("entity_type").isin(list(COMPANY_TYPES))), F.lit(False)).alias("is_company"))
+    return evidence.groupBy(*keys).agg(
         F.count("*").alias("n_signals"),
         *n_bucket,
         F.count_if(observed).alias("n_observed"),
@@ -45,9 +52,8 @@ def entity_profile(evidence: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame
         F.sum(rated).alias("reliability_sum"),
         F.count(rated).alias("reliability_n"),
         F.count_distinct(F.when(has_valid_url("source_url"), F.col("source_type"))).alias("n_channels"),
-        *([F.max("as_of").alias("as_of")] if "as_of" in columns else []),
+        *extras,
     )
-    return profile
 
 
 def fit_counts(evidence: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:

@@ -95,7 +95,7 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("c_custkey").alias("entity_key"),
         F.col("c_mktsegment").alias("product_id"),
         F.col("c_name").alias("entity_name"),
-        F.when(F.col("c_nationkey") < 12, F.lit("company")).otherwise(F.lit("person")).alias("entity_type"),
+        (F.col("c_nationkey") < 12).alias("is_company"),
         (F.col("c_acctbal") < 0).alias("is_disqualified"),
     )
 
@@ -233,7 +233,7 @@ def order_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     Status P gives a lone prospect object instead of a list, and a few priorities give text
     that is no JSON object.
     """
-    price = F.format_number(F.col("o_totalprice") / 5000, "0.00")
+    price = (F.col("o_totalprice") / 5000).cast("string")
     digit = F.substring("o_orderpriority", 1, 1)
     key = F.col("o_orderkey").cast("string")
     first = F.concat(

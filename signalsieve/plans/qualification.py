@@ -86,16 +86,11 @@ def qualify(
     """
     evidence = materialise(prepare_evidence(briefs, signals, icp_terms, **evidence_options))
     keys = ["product_id", "entity_key"]
-    struck = evidence.groupBy(*keys).agg(F.bool_or("disqualified").alias("is_disqualified"))
-    # Both sides are hashed on the same keys: no further shuffle.
-    prospects = score_prospects(evidence, config).join(struck, keys)
-    typed = evidence.select(*keys, "entity_type")
-    prospects = prospects.join(typed.groupBy(*keys).agg(F.max("entity_type").alias("entity_type")), keys)
-
+    prospects = score_prospects(evidence, config)
     best = shortlist(prospects, briefs)
     ledger = evidence_ledger(evidence, best)
     shown = best_evidence(ledger).select(
-        *keys, "entity_name", "source_title", "source_url", "source_type", "signal_date", "best_bucket"
+        *keys, "entity_name", "entity_type", "source_title", "source_url", "source_type", "signal_date", "best_bucket"
     )
     drafts = lint_openers(
         draft_openers(recommend_channel(best.join(shown, keys)), briefs)
