@@ -16,15 +16,12 @@ from signalsieve.config import (
     PROBLEM_AWARE,
     TRIGGER_PRESENT,
 )
-from signalsieve.functions.numbers import _col, clamp
+from signalsieve.functions.numbers import _col, bounded, clamp
 
 
 def bounded_rating(value: Column | str) -> Column:
     """Rating kept within [0, 5] without rounding; NULL and NaN give 0."""
-    number = _col(value).cast("double")
-    return F.when(number.isNull() | F.isnan(number), F.lit(0.0)).otherwise(
-        F.greatest(F.lit(0.0), F.least(F.lit(5.0), number))
-    )
+    return bounded(value, 5)
 
 
 def weighted_score(**ratings: Column | str) -> Column:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterable, Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from signalsieve.config import OPENER_WORD_LIMIT
-from signalsieve.functions.numbers import _col
+from signalsieve.functions.numbers import _col, once
 
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 PHONE = (
@@ -24,6 +27,11 @@ _SENT_CLAIM = (
 )
 
 
+def _words_of_lower(lowered: Column) -> Column:
+    dotted = F.regexp_replace(lowered, r"[^\p{L}\p{M}\p{N}\p{Z}\s_-]+", " . ")
+    return F.regexp_replace(F.concat(F.lit(" "), dotted, F.lit(" ")), r"[\p{Z}\s_-]+", " ")
+
+
 def words_of(text: Column | str) -> Column:
     """Lower-cased words joined by single spaces, with a space at both ends.
 
@@ -31,10 +39,43 @@ def words_of(text: Column | str) -> Column:
     separate them; every other run of characters becomes a lone ``.`` word, so a phrase
     cannot match across the end of a sentence.
     """
-    dotted = F.regexp_replace(
-        F.lower(F.coalesce(_col(text), F.lit(""))), r"[^\p{L}\p{M}\p{N}\p{Z}\s_-]+", " . "
+    return _words_of_lower(F.lower(F.coalesce(_col(text), F.lit(""))))
+
+
+def words_if(text: Column | str, worth_it: Callable[[Column], Column]) -> Column:
+    """:func:`words_of`, or a lone space when ``worth_it(lower-cased text)`` is false.
+
+    Splitting into words costs far more than a substring test. Words are parts of the
+    lower-cased text, so a text without the letters of a phrase cannot contain the phrase.
+    """
+    return once(
+        F.lower(F.coalesce(_col(text), F.lit(""))),
+        lambda low: F.when(worth_it(low), _words_of_lower(low)).otherwise(F.lit(" ")),
     )
-    return F.regexp_replace(F.concat(F.lit(" "), dotted, F.lit(" ")), r"[\p{Z}\s_-]+", " ")
+
+
+def phrase_words(phrase: str) -> list[str]:
+    """Pieces of a phrase that have to occur in a lower-cased text with that phrase.
+
+    ASCII pieces only: their lower case is the same in Python and in Spark.
+    """
+    return [piece for piece in re.findall(r"[^\W_]+", phrase.lower()) if piece.isascii()]
+
+
+def may_have_any(phrases: Iterable[str]) -> Callable[[Column], Column]:
+    """Necessary substring test for any of ``phrases``, to use with :func:`words_if`."""
+    needed = dict.fromkeys(tuple(phrase_words(p)) for p in phrases)
+
+    def test(low: Column) -> Column:
+        found = F.lit(False)
+        for pieces in needed:
+            all_in = F.lit(True)
+            for piece in pieces:
+                all_in = all_in & F.contains(low, F.lit(piece))
+            found = found | all_in
+        return found
+
+    return test
 
 
 def has_phrase(words: Column, phrase: Column | str) -> Column:
@@ -43,22 +84,48 @@ def has_phrase(words: Column, phrase: Column | str) -> Column:
     return (F.length(F.trim(wanted)) > 0) & F.contains(words, wanted)
 
 
+def has_any_phrase(text: Column | str, phrases: Sequence[str]) -> Column:
+    """Whole-word containment of at least one of ``phrases`` in a text."""
+
+    def any_of(words: Column) -> Column:
+        found = F.lit(False)
+        for phrase in phrases:
+            found = found | has_phrase(words, phrase)
+        return found
+
+    return once(words_if(text, may_have_any(phrases)), any_of)
+
+
 def word_ngrams(words: Column, sizes: list[int]) -> Column:
     """Distinct word n-grams of the given sizes in the result of :func:`words_of`, as an array.
 
     A look-ahead finds overlapping runs of n words in one linear scan per size.
     """
-    found = [
-        F.regexp_extract_all(words, F.lit("(?= (" + " ".join([r"\S+"] * n) + ") )"), F.lit(1))
-        for n in sizes
-    ]
-    return F.array_distinct(found[0] if len(found) == 1 else F.concat(*found))
+
+    def grams(known: Column) -> Column:
+        found = [
+            F.regexp_extract_all(known, F.lit("(?= (" + " ".join([r"\S+"] * n) + ") )"), F.lit(1))
+            for n in sizes
+        ]
+        return F.array_distinct(found[0] if len(found) == 1 else F.concat(*found))
+
+    return once(words, grams)
+
+
+_NOT_BLANK = r"[^\s\p{Z}]"
+
+
+def is_blank(text: Column | str) -> Column:
+    """True without a visible character; never NULL. Stops at the first one."""
+    return ~F.coalesce(_col(text).rlike(_NOT_BLANK), F.lit(False))
 
 
 def fold_text(text: Column | str) -> Column:
     """Text with white space collapsed and case folded; NULL when nothing is left."""
-    folded = F.trim(F.regexp_replace(F.lower(_col(text)), r"[\s\p{Z}]+", " "))
-    return F.when(folded != "", folded)
+    raw = _col(text)
+    return F.when(
+        raw.rlike(_NOT_BLANK), F.trim(F.regexp_replace(F.lower(raw), r"[\s\p{Z}]+", " "))
+    )
 
 
 def text_key(text: Column | str) -> Column:
@@ -68,7 +135,7 @@ def text_key(text: Column | str) -> Column:
 def name_key(name: Column | str) -> Column:
     """Normal form of a displayed company or person name; NULL when empty."""
     folded = F.trim(F.regexp_replace(F.lower(_col(name)), r"[^\p{L}\p{M}\p{N}]+", " "))
-    return F.when(folded != "", folded)
+    return once(folded, lambda f: F.when(f != "", f))
 
 
 def _may_hold(kind: str, text: Column) -> Column:

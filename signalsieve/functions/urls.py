@@ -9,6 +9,8 @@ from signalsieve.functions.numbers import _col
 
 # http or https, then a host part: a bracketed IPv6 literal or anything up to / ? #.
 _VALID = r"(?i)^https?://(\[[0-9a-f:.]+\]|[^/?#\[\]]+)[^/?#\[\]]*([/?#]|$)"
+# The common case, without blanks, brackets or anything beyond ASCII.
+_PLAIN = r"^https?://[A-Za-z0-9][A-Za-z0-9.:-]*([/?#][!-~]*)?$"
 _BLANK = r"[\s\p{Z}\x1c-\x1f\x85]"
 # Query parameters that say where a visitor came from, not which page is shown.
 _TRACKING = r"(^|&)(utm_[a-z]+|ref|gclid|fbclid)=[^&]*"
@@ -22,7 +24,8 @@ def trim_url(url: Column | str) -> Column:
 
 def has_valid_url(url: Column | str) -> Column:
     """True for an http(s) URL with a host; never NULL."""
-    return F.translate(trim_url(url), "\t\r\n", "").rlike(_VALID)
+    raw = F.coalesce(_col(url), F.lit(""))
+    return raw.rlike(_PLAIN) | F.translate(trim_url(raw), "\t\r\n", "").rlike(_VALID)
 
 
 def safe_url(url: Column | str) -> Column:

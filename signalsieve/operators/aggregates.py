@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from signalsieve.config import DEFAULT_LIMIT, PATTERN_COUNT_LIMIT
 from signalsieve.functions.numbers import clamp
 from signalsieve.functions.scores import is_high_intent
+from signalsieve.operators.evidence import bucket_hits
 
 
 def half_even_mean(column: str) -> Column:
@@ -61,7 +62,8 @@ def patterns(
     a product with a third of all signals is spread out. The samples are the first few ids per
     product and bucket, cut per task before the shuffle; no list grows with the data.
     """
-    hits = evidence.select(*keys, "entity_key", "signal_id", sample_column, F.explode("buckets").alias("bucket"))
+    wanted = [*keys, "entity_key", "buckets", *dict.fromkeys(["signal_id", sample_column])]
+    hits = bucket_hits(evidence.select(*wanted))
     counts = (
         hits.groupBy(*keys, "bucket")
         .agg(F.count_distinct("entity_key").alias("n_entities"))

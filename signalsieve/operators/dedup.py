@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from signalsieve.functions.texts import name_key, text_key
+from signalsieve.functions.texts import is_blank, name_key, text_key
 from signalsieve.functions.urls import url_host, url_key
 from signalsieve.operators.skew import salted_join
 
@@ -63,12 +63,16 @@ def copies_of(
     Only ids and text hashes are shuffled. The first id per hash is found with map-side
     aggregation, single texts drop out there, and the join back is salted for hot texts.
     """
-    hashed = signals.select(F.col(signal_id).alias("signal_id"), text_key(text).alias("_hash")).filter(
-        F.col("_hash").isNotNull()
+    # Blank texts get an empty key that is no NULL and are left out by their count: a filter on
+    # the key itself would make Spark hash every text twice.
+    hashed = signals.select(
+        F.col(signal_id).alias("signal_id"),
+        F.coalesce(text_key(text), F.lit("")).alias("_hash"),
+        is_blank(text).alias("_blank"),
     )
     groups = (
         hashed.groupBy("_hash")
-        .agg(F.min("signal_id").alias("duplicate_of"), F.count("*").alias("_n"))
+        .agg(F.min("signal_id").alias("duplicate_of"), F.count_if(~F.col("_blank")).alias("_n"))
         .filter(F.col("_n") > 1)
         .drop("_n")
     )

@@ -30,8 +30,13 @@ def label_evidence(signals: DataFrame) -> DataFrame:
 
 
 def bucket_hits(evidence: DataFrame) -> DataFrame:
-    """One row per (signal, bucket)."""
-    return evidence.withColumn("bucket", F.explode("buckets")).drop("buckets")
+    """One row per (signal, bucket).
+
+    The outer form with a filter on its result, because a plain explode makes Spark filter on
+    the array first and so classify each text twice.
+    """
+    exploded = evidence.withColumn("bucket", F.explode_outer("buckets")).drop("buckets")
+    return exploded.filter(F.col("bucket").isNotNull())
 
 
 def coverage(evidence: DataFrame, keys: Sequence[str] = ("product_id",)) -> DataFrame:

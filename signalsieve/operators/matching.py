@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from signalsieve.config import BUCKETS, MAX_INLINE_PHRASES, Phrase
-from signalsieve.functions.texts import has_phrase, word_ngrams, words_of
+from signalsieve.functions.numbers import once
+from signalsieve.functions.texts import has_phrase, may_have_any, word_ngrams, words_if, words_of
 from signalsieve.operators.skew import salted_join
 
 _LEXICON = T.StructType(
@@ -32,32 +33,33 @@ def _applies(phrase: Phrase, lang: Column | None) -> Column:
     return lang == F.lit(phrase.lang)
 
 
-def bucket_array(words: Column, phrases: Sequence[Phrase], lang: Column | None = None) -> Column:
+def bucket_array(text: Column, phrases: Sequence[Phrase], lang: Column | None = None) -> Column:
     """Distinct buckets hit, in the order of first appearance in ``phrases``."""
-    flags = []
-    for bucket in dict.fromkeys(p.bucket for p in phrases):
-        hits = [_applies(p, lang) & has_phrase(words, p.phrase) for p in phrases if p.bucket == bucket]
-        any_hit = hits[0]
-        for hit in hits[1:]:
-            any_hit = any_hit | hit
-        flags.append(F.when(F.coalesce(any_hit, F.lit(False)), F.lit(bucket)))
-    return F.array_compact(F.array(*flags))
+
+    def found(words: Column) -> Column:
+        flags = []
+        for bucket in dict.fromkeys(p.bucket for p in phrases):
+            any_hit = F.lit(False)
+            for p in phrases:
+                if p.bucket == bucket:
+                    any_hit = any_hit | (_applies(p, lang) & has_phrase(words, p.phrase))
+            flags.append(F.when(F.coalesce(any_hit, F.lit(False)), F.lit(bucket)))
+        return F.array_compact(F.array(*flags))
+
+    return once(words_if(text, may_have_any(p.phrase for p in phrases)), found)
 
 
 def classify(signals: DataFrame, phrases: Sequence[Phrase], text: str = "text") -> DataFrame:
     """Adds ``buckets``: every bucket whose phrases occur in the text, matched in the row.
 
-    One pass over the text and no shuffle. Phrases with a language match only signals of
-    that language, if ``signals`` has a ``lang`` column.
+    One pass over the text and no shuffle; texts without the letters of any phrase are not
+    even split into words. Phrases with a language match only signals of that language, if
+    ``signals`` has a ``lang`` column.
     """
     if len(phrases) > MAX_INLINE_PHRASES:
-        raise ValueError("use phrase_hits() with a lexicon DataFrame for this many phrases")
+        raise ValueError("use classify_with_lexicon() with a lexicon DataFrame for this many phrases")
     lang = F.col("lang") if "lang" in signals.columns else None
-    return (
-        signals.withColumn("_words", words_of(text))
-        .withColumn("buckets", bucket_array(F.col("_words"), phrases, lang))
-        .drop("_words")
-    )
+    return signals.withColumn("buckets", bucket_array(F.col(text), phrases, lang))
 
 
 def phrase_hits(
@@ -89,7 +91,8 @@ def phrase_hits(
     grams = signals.select(
         "signal_id",
         *(["lang"] if has_lang else []),
-        F.explode(word_ngrams(words_of(text), list(range(1, max_words + 1)))).alias("_gram"),
+        # The outer form keeps Spark from adding a filter that would split each text twice.
+        F.explode_outer(word_ngrams(words_of(text), list(range(1, max_words + 1)))).alias("_gram"),
     )
     hits = salted_join(grams, entries, ["_gram"], spread_on=["signal_id"])
     if has_lang:
@@ -130,26 +133,40 @@ def match_icp(signals: DataFrame, icp_terms: DataFrame, text: str = "text") -> D
     per_product = (
         icp_terms.withColumn("words", words_of("phrase"))
         .filter(F.length(F.trim("words")) > 0)
+        .withColumn("pieces", F.array_remove(F.split(F.trim("words"), " "), "."))
         .groupBy("product_id")
-        .agg(F.sort_array(F.collect_set(F.struct("phrase", "icp_role", "kind", "words"))).alias("_terms"))
+        .agg(
+            F.sort_array(
+                F.collect_set(F.struct("phrase", "icp_role", "kind", "words", "pieces"))
+            ).alias("_terms")
+        )
     )
     joined = salted_join(
         signals, per_product, ["product_id"], how="left", spread_on=["signal_id"]
-    ).withColumn("_words", words_of(text))
-    hit = F.coalesce(
-        F.filter("_terms", lambda t: F.contains(F.col("_words"), t["words"])),
-        F.array().cast("array<struct<phrase:string,icp_role:string,kind:string,words:string>>"),
+    ).withColumn("_terms", F.coalesce("_terms", F.array().cast(per_product.schema["_terms"].dataType)))
+
+    def possible(low: Column) -> Column:
+        return F.exists(
+            "_terms", lambda t: F.forall(t["pieces"], lambda piece: F.contains(low, piece))
+        )
+
+    hit = once(
+        words_if(text, possible),
+        lambda words: F.filter("_terms", lambda t: F.contains(words, t["words"])),
     )
     scored = joined.withColumn("_hit", hit)
+
+    def count(role: str) -> Column:
+        return F.size(
+            F.filter("_hit", lambda t: (t["kind"] != "disqualifier") & (t["icp_role"] == role))
+        )
+
     fits = F.filter("_hit", lambda t: t["kind"] != "disqualifier")
-    primary = F.size(F.filter("_hit", lambda t: (t["kind"] != "disqualifier") & (t["icp_role"] == "primary")))
-    adjacent = F.size(F.filter("_hit", lambda t: (t["kind"] != "disqualifier") & (t["icp_role"] == "adjacent")))
     return scored.select(
         *signals.columns,
         F.array_distinct(F.transform(fits, lambda t: t["phrase"])).alias("fit_terms"),
-        F.when(primary + adjacent == 0, F.lit(None).cast("string"))
-        .when(primary >= adjacent, F.lit("primary"))
-        .otherwise(F.lit("adjacent"))
+        F.when((count("primary") > 0) & (count("primary") >= count("adjacent")), F.lit("primary"))
+        .when(count("adjacent") > 0, F.lit("adjacent"))
         .alias("icp_role"),
         F.exists("_hit", lambda t: t["kind"] == "trigger").alias("icp_trigger"),
         F.exists("_hit", lambda t: t["kind"] == "disqualifier").alias("disqualified"),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from signalsieve.config import BLOCKED_SOURCE_TYPES, MAX_INLINE_PHRASES
-from signalsieve.functions.texts import contact_flags, has_phrase, redact_contacts, words_of
+from signalsieve.functions.texts import contact_flags, has_any_phrase, redact_contacts
 from signalsieve.functions.urls import url_host, url_key
 from signalsieve.operators.skew import salted_join
 
@@ -62,10 +62,7 @@ def exclude_sensitive(
         raise ValueError("pass this many terms through phrase_hits() and `flagged`")
     kept = signals
     if terms:
-        kept = kept.withColumn("_words", words_of(text))
-        for term in terms:
-            kept = kept.filter(~has_phrase(F.col("_words"), term))
-        kept = kept.drop("_words")
+        kept = kept.filter(~has_any_phrase(text, terms))
     if flagged is not None:
         kept = kept.join(flagged.select("signal_id").distinct(), "signal_id", "left_anti")
     return kept

@@ -19,6 +19,13 @@ from signalsieve.operators.evidence import KEYS
 from signalsieve.operators.skew import ranked_rows, salted_join
 
 
+_FLAGS = (
+    ("is_duplicate", "duplicate"),
+    ("is_disqualified", "disqualified"),
+    ("is_blocked", "policy"),
+)
+
+
 def rejection_reasons(columns: Sequence[str]) -> Column:
     """Why a prospect is kept out of the primary shortlist; empty when it qualifies.
 
@@ -31,26 +38,35 @@ def rejection_reasons(columns: Sequence[str]) -> Column:
         F.when(F.col("score") < PRIMARY_FLOOR, F.lit("low_score")),
         F.when(F.col("stage") == POTENTIAL_FIT, F.lit("potential_fit")),
     ]
-    for flag, reason in (
-        ("is_duplicate", "duplicate"),
-        ("is_disqualified", "disqualified"),
-        ("is_blocked", "policy"),
-    ):
+    for flag, reason in _FLAGS:
         if flag in columns:
             checks.append(F.when(F.col(flag), F.lit(reason)))
     return F.array_compact(F.array(*checks))
 
 
+def _qualifies(columns: Sequence[str]) -> Column:
+    """The same rules as a plain condition, which is cheap wherever Spark moves it."""
+    holds = (
+        (F.col("n_observed") >= 1)
+        & (F.col("n_linked") >= 1)
+        & (F.col("score") >= PRIMARY_FLOOR)
+        & (F.col("stage") != POTENTIAL_FIT)
+    )
+    for flag, _ in _FLAGS:
+        if flag in columns:
+            holds = holds & ~F.coalesce(F.col(flag), F.lit(False))
+    return holds
+
+
 def primary_gate(prospects: DataFrame) -> DataFrame:
     """Prospects with a cited and linked signal, a score of at least 50 and a real stage."""
-    return prospects.filter(F.size(rejection_reasons(prospects.columns)) == 0)
+    return prospects.filter(_qualifies(prospects.columns))
 
 
 def rejections(prospects: DataFrame) -> DataFrame:
     """The complement of :func:`primary_gate`, with every reason."""
-    return prospects.withColumn("reasons", rejection_reasons(prospects.columns)).filter(
-        F.size("reasons") > 0
-    )
+    rejected = prospects.filter(~_qualifies(prospects.columns))
+    return rejected.withColumn("reasons", rejection_reasons(prospects.columns))
 
 
 def mode_priority(mode: Column) -> Column:

@@ -28,7 +28,7 @@ def entity_profile(evidence: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame
     """
     columns = set(evidence.columns)
     observed = F.size("buckets") > 0
-    linked = observed & has_valid_url("source_url")
+    linked = observed & F.col("_valid")
     n_bucket = [F.count_if(F.array_contains("buckets", b)).alias(f"n_{b}") for b in BUCKETS]
     rated = F.col("reliability") if "reliability" in columns else F.lit(None).cast("int")
     stale = F.col("stale") if "stale" in columns else F.col("signal_date").isNull()
@@ -39,7 +39,7 @@ def entity_profile(evidence: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame
         extras.append(F.bool_or("disqualified").alias("is_disqualified"))
     if "entity_type" in columns:
         extras.append(F.coalesce(F.bool_or(F.col("entity_type").isin(list(COMPANY_TYPES))), F.lit(False)).alias("is_company"))
-    return evidence.groupBy(*keys).agg(
+    return evidence.withColumn("_valid", has_valid_url("source_url")).groupBy(*keys).agg(
         F.count("*").alias("n_signals"),
         *n_bucket,
         F.count_if(observed).alias("n_observed"),
@@ -51,7 +51,7 @@ def entity_profile(evidence: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame
         F.max(F.when(F.array_contains("buckets", "timing"), F.col("signal_date"))).alias("newest_trigger"),
         F.sum(rated).alias("reliability_sum"),
         F.count(rated).alias("reliability_n"),
-        F.count_distinct(F.when(has_valid_url("source_url"), F.col("source_type"))).alias("n_channels"),
+        F.count_distinct(F.when(F.col("_valid"), F.col("source_type"))).alias("n_channels"),
         *extras,
     )
 

@@ -19,7 +19,7 @@ from signalsieve.config import (
     PLAN_DEFAULTS,
     PROSPECT_DEFAULTS,
 )
-from signalsieve.functions.numbers import clamp_variant
+from signalsieve.functions.numbers import clamp, once, parse_number
 from signalsieve.functions.scores import is_high_intent, stage_class
 from signalsieve.functions.urls import safe_url
 
@@ -73,62 +73,94 @@ def object_items(document: Column, path: str) -> Column:
     return F.filter(list_items(document, path), lambda x: F.schema_of_variant(x).like("OBJECT%"))
 
 
-def _as_text(value: Column) -> Column:
-    text = F.try_variant_get(value, "$", "string")
+def _fields(value: Column) -> Column:
+    """MAP of an object's fields as text; a null field is a key without a value."""
+    return F.try_variant_get(value, "$", "map<string,string>")
+
+
+def _is_boolean(value: Column, path: str, text: Column) -> Column:
+    """Whether a field is a JSON boolean; its type is only looked up if its text says so."""
+    return text.isin("true", "false") & (
+        F.schema_of_variant(F.try_variant_get(value, path, "variant")) == "BOOLEAN"
+    )
+
+
+def _text(value: Column, path: str) -> Column:
+    """A present field or list item as text: empty for null, capitalised for a boolean."""
+    text = F.try_variant_get(value, path, "string")
+    return F.when(_is_boolean(value, path, text), F.initcap(text)).otherwise(F.coalesce(text, F.lit("")))
+
+
+def text_field(value: Column, fields: Column, name: str, default: Column | str) -> Column:
+    """Text of a field: ``default`` only if the field is absent, empty if it is null.
+
+    ``fields`` is :func:`_fields` of ``value``, made once for all fields of an object.
+    """
+    text = F.try_element_at(fields, F.lit(name))
+    fallback = F.lit(default) if isinstance(default, str) else default
     return (
-        F.when(F.is_variant_null(value), F.lit(""))
-        .when(F.schema_of_variant(value) == "BOOLEAN", F.initcap(text))
+        F.when(text.isNull(), F.when(F.map_contains_key(fields, name), F.lit("")).otherwise(fallback))
+        .when(_is_boolean(value, f"$.{name}", text), F.initcap(text))
         .otherwise(text)
     )
 
 
-def text_or_default(document: Column, path: str, default: Column | str) -> Column:
-    """Text of a field: ``default`` only if the field is absent, empty if it is null."""
-    value = F.try_variant_get(document, path, "variant")
-    fallback = F.lit(default) if isinstance(default, str) else default
-    return F.when(value.isNull(), fallback).otherwise(_as_text(value))
+def number_field(value: Column, fields: Column, path: str, name: str, maximum: int) -> Column:
+    """Clamped number of a field, whatever JSON type it has."""
+    text = F.try_element_at(fields, F.lit(name))
+    number = F.when(_is_boolean(value, f"{path}.{name}", text), (text == "true").cast("double")).otherwise(
+        parse_number(text)
+    )
+    return clamp(number, maximum)
 
 
 def dimension_struct(prospect: Column) -> Column:
     """The five ratings, each clamped to 0-5; anything but an object counts as all zero."""
-    return F.struct(
-        *(clamp_variant(prospect, f"$.dimensions.{name}", 5).alias(name) for name in DIMENSION_LABELS)
-    )
+
+    def ratings(fields: Column) -> Column:
+        return F.struct(
+            *(number_field(prospect, fields, "$.dimensions", name, 5).alias(name) for name in DIMENSION_LABELS)
+        )
+
+    return once(F.try_variant_get(prospect, "$.dimensions", "map<string,string>"), ratings)
 
 
 def prospect_struct(prospect: Column, position: Column) -> Column:
     """Normalised prospect. ``position`` is its 1-based place among the listed objects."""
-    texts = {
-        name: text_or_default(prospect, f"$.{name}", default)
-        for name, default in PROSPECT_DEFAULTS.items()
-    }
-    name = text_or_default(
-        prospect, "$.name", F.concat(F.lit("Prospect "), position.cast("string"))
-    )
-    url = text_or_default(prospect, "$.source_url", "")
-    top_text = text_or_default(prospect, "$.why_now", texts["pain_signal"])
-    return F.struct(
-        position.cast("int").alias("input_position"),
-        name.alias("name"),
-        *(text.alias(key) for key, text in texts.items()),
-        safe_url(url).alias("source_url"),
-        clamp_variant(prospect, "$.score", 100).alias("score"),
-        dimension_struct(prospect).alias("dimensions"),
-        stage_class(texts["stage"]).alias("stage_class"),
-        text_or_default(prospect, "$.name", NO_PROSPECT).alias("top_name"),
-        top_text.alias("top_text"),
-    )
+
+    def card(fields: Column) -> Column:
+        texts = {
+            name: text_field(prospect, fields, name, default)
+            for name, default in PROSPECT_DEFAULTS.items()
+        }
+        numbered = F.concat(F.lit("Prospect "), position.cast("string"))
+        return F.struct(
+            position.cast("int").alias("input_position"),
+            text_field(prospect, fields, "name", numbered).alias("name"),
+            *(text.alias(key) for key, text in texts.items()),
+            safe_url(text_field(prospect, fields, "source_url", "")).alias("source_url"),
+            number_field(prospect, fields, "$", "score", 100).alias("score"),
+            dimension_struct(prospect).alias("dimensions"),
+            stage_class(texts["stage"]).alias("stage_class"),
+            text_field(prospect, fields, "name", NO_PROSPECT).alias("top_name"),
+            text_field(prospect, fields, "why_now", texts["pain_signal"]).alias("top_text"),
+        )
+
+    return once(_fields(prospect), card)
 
 
 def pattern_struct(pattern: Column, position: Column) -> Column:
-    return F.struct(
-        position.cast("int").alias("input_position"),
-        *(
-            text_or_default(pattern, f"$.{name}", default).alias(name)
-            for name, default in PATTERN_DEFAULTS.items()
-        ),
-        clamp_variant(pattern, "$.count", PATTERN_COUNT_LIMIT).alias("count"),
-    )
+    def entry(fields: Column) -> Column:
+        return F.struct(
+            position.cast("int").alias("input_position"),
+            *(
+                text_field(pattern, fields, name, default).alias(name)
+                for name, default in PATTERN_DEFAULTS.items()
+            ),
+            number_field(pattern, fields, "$", "count", PATTERN_COUNT_LIMIT).alias("count"),
+        )
+
+    return once(_fields(pattern), entry)
 
 
 def _inlined(documents: DataFrame, path: str, build) -> DataFrame:
@@ -152,30 +184,36 @@ def import_reports(documents: DataFrame) -> DataFrame:
     The figures are computed inside the row: a document holds all of its prospects already.
     """
     doc = F.col("document")
-    plan_is_object = F.coalesce(
-        F.schema_of_variant(F.try_variant_get(doc, "$.outreach_plan", "variant")).like("OBJECT%"),
-        F.lit(False),
+    fields = F.col("_fields")
+    plan_fields = F.coalesce(
+        F.try_variant_get(doc, "$.outreach_plan", "map<string,string>"),
+        F.create_map().cast("map<string,string>"),
     )
-    plan = F.struct(
-        *(
-            F.when(plan_is_object, text_or_default(doc, f"$.outreach_plan.{name}", default))
-            .otherwise(F.lit(default))
-            .alias(name)
-            for name, default in PLAN_DEFAULTS.items()
+
+    def plan(known: Column) -> Column:
+        return F.struct(
+            *(
+                F.when(F.map_contains_key(known, name), _text(doc, f"$.outreach_plan.{name}"))
+                .otherwise(F.lit(default))
+                .alias(name)
+                for name, default in PLAN_DEFAULTS.items()
+            )
         )
-    )
-    limits = F.transform(list_items(doc, "$.limits"), _as_text)
-    nested = documents.select(
+
+    listed = F.transform(list_items(doc, "$.limits"), lambda x: _text(x, "$"))
+    nested = documents.withColumn("_fields", _fields(doc)).select(
         *(c for c in documents.columns if c != "document"),
-        text_or_default(doc, "$.title", DOCUMENT_TITLE).alias("title"),
-        *(text_or_default(doc, f"$.{name}", default).alias(name) for name, default in DOCUMENT_DEFAULTS.items()),
-        safe_url(text_or_default(doc, "$.product_url", "")).alias("product_url"),
+        text_field(doc, fields, "title", DOCUMENT_TITLE).alias("title"),
+        *(text_field(doc, fields, name, default).alias(name) for name, default in DOCUMENT_DEFAULTS.items()),
+        safe_url(text_field(doc, fields, "product_url", "")).alias("product_url"),
         F.transform(
             object_items(doc, "$.prospects"), lambda p, i: prospect_struct(p, i + 1)
         ).alias("prospects"),
         F.transform(object_items(doc, "$.patterns"), lambda p, i: pattern_struct(p, i + 1)).alias("patterns"),
-        plan.alias("outreach_plan"),
-        F.when(F.size(limits) > 0, limits).otherwise(F.array(F.lit(DEFAULT_LIMIT))).alias("limits"),
+        once(plan_fields, plan).alias("outreach_plan"),
+        once(
+            listed, lambda x: F.when(F.size(x) > 0, x).otherwise(F.array(F.lit(DEFAULT_LIMIT)))
+        ).alias("limits"),
     )
     total = F.aggregate("prospects", F.lit(0).cast("bigint"), lambda acc, p: acc + p["score"])
     mean = F.coalesce(F.bround(F.try_divide(total, F.size("prospects")), 0).cast("int"), F.lit(0))
