@@ -50,8 +50,10 @@ def dedup_signals(
     for column, key in ((text, text_key), (url, url_key)):
         if column is not None and column in signals.columns:
             value = key(column)
-            scoped = F.concat_ws("|", *(F.col(c).cast("string") for c in scope), value) if scope else value
-            kept = keep_first(kept, F.when(value.isNotNull(), scoped), order_by)
+            if scope:
+                prefix = F.concat_ws("|", *(F.col(c).cast("string") for c in scope), F.lit(""))
+                value = F.concat(prefix, value)  # NULL for a signal without a text or page
+            kept = keep_first(kept, value, order_by)
     return kept
 
 

@@ -283,9 +283,8 @@ def event_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- Outreach drafts and reports ---
 
 
-def _drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _drafts(spark: SparkSession, sf_dir: str, chosen: DataFrame) -> DataFrame:
     briefed = b.segment_briefs(spark, sf_dir)
-    chosen = _standard_shortlist(spark, sf_dir)
     shown = evidence.best_evidence(_ledger(spark, sf_dir, chosen), ["entity_key"]).select(
         "entity_key", "source_title", "source_url", "source_type", "signal_date", "best_bucket"
     )
@@ -296,7 +295,7 @@ def _drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def outreach_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Channel, opener, lint result and day of the manual plan per shortlisted prospect."""
-    return _drafts(spark, sf_dir).select(
+    return _drafts(spark, sf_dir, _standard_shortlist(spark, sf_dir)).select(
         "product_id",
         "rank",
         "entity_key",
@@ -322,13 +321,17 @@ def opener_lint_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     briefed = b.segment_briefs(spark, sf_dir)
-    prospects = b.order_prospects(spark, sf_dir)
-    drafts = _drafts(spark, sf_dir).withColumn("entity_type", F.when(F.col("is_company"), F.lit("Company")))
+    # Three parts of a report need the prospects, so they are written out once.
+    prospects = stable(b.order_prospects(spark, sf_dir))
+    chosen = ranking.shortlist(prospects, briefed)
+    drafts = _drafts(spark, sf_dir, chosen).withColumn(
+        "entity_type", F.when(F.col("is_company"), F.lit("Company"))
+    )
     return reporting.build_reports(
         briefed,
         reporting.prospect_cards(drafts),
         aggregates.patterns(b.order_evidence(spark, sf_dir)),
-        aggregates.verdict(aggregates.report_kpis(drafts, briefed)),
+        aggregates.verdict(aggregates.report_kpis(chosen, briefed)),
         aggregates.limits(ranking.primary_gate(prospects), briefed),
     )
 

@@ -22,6 +22,7 @@ from signalsieve.config import (
 from signalsieve.functions.numbers import clamp, once, parse_number
 from signalsieve.functions.scores import is_high_intent, stage_class
 from signalsieve.functions.urls import safe_url
+from signalsieve.operators.columns import compute_once
 
 
 def read_documents(spark: SparkSession, path: str, one_per_line: bool = False) -> DataFrame:
@@ -41,11 +42,17 @@ def parse_documents(documents: DataFrame, body: str = "body") -> tuple[DataFrame
 
     Broken JSON, arrays and scalars go to the quarantine with a reason; no document stops a job.
     """
-    parsed = documents.withColumn("document", F.try_parse_json(body))
-    is_object = F.coalesce(F.schema_of_variant("document").like("OBJECT%"), F.lit(False))
-    good = parsed.filter(is_object).drop(body)
+    raw = F.col(body)
+    parsed = compute_once(documents, document=F.try_parse_json(raw), _brace=raw.rlike(r"^\s*\{"))
+    # Valid JSON that opens with a brace is an object; its whole schema need not be worked out.
+    is_object = F.col("document").isNotNull() & F.col("_brace")
+    good = parsed.filter(is_object).drop(body, "_brace")
     reason = F.when(F.col("document").isNull(), F.lit("not_json")).otherwise(F.lit("not_an_object"))
-    quarantine = parsed.filter(~is_object).withColumn("reason", reason).drop("document")
+    quarantine = (
+        parsed.filter(~F.coalesce(is_object, F.lit(False)))
+        .withColumn("reason", reason)
+        .drop("document", "_brace")
+    )
     return good, quarantine
 
 
@@ -69,8 +76,14 @@ def list_items(document: Column, path: str) -> Column:
 
 
 def object_items(document: Column, path: str) -> Column:
-    """:func:`list_items` without anything that is not an object; positions count what is left."""
-    return F.filter(list_items(document, path), lambda x: F.schema_of_variant(x).like("OBJECT%"))
+    """:func:`list_items` as (item, fields) pairs, without anything that is not an object.
+
+    Positions count what is left. ``fields`` is :func:`_fields`, which only objects have.
+    """
+    pairs = F.transform(
+        list_items(document, path), lambda x: F.struct(x.alias("item"), _fields(x).alias("fields"))
+    )
+    return F.filter(pairs, lambda pair: pair["fields"].isNotNull())
 
 
 def _fields(value: Column) -> Column:
@@ -125,48 +138,47 @@ def dimension_struct(prospect: Column) -> Column:
     return once(F.try_variant_get(prospect, "$.dimensions", "map<string,string>"), ratings)
 
 
-def prospect_struct(prospect: Column, position: Column) -> Column:
+def prospect_struct(pair: Column, position: Column) -> Column:
     """Normalised prospect. ``position`` is its 1-based place among the listed objects."""
+    prospect, fields = pair["item"], pair["fields"]
+    texts = {
+        name: text_field(prospect, fields, name, default)
+        for name, default in PROSPECT_DEFAULTS.items()
+    }
+    numbered = F.concat(F.lit("Prospect "), position.cast("string"))
+    return F.struct(
+        position.cast("int").alias("input_position"),
+        text_field(prospect, fields, "name", numbered).alias("name"),
+        *(text.alias(key) for key, text in texts.items()),
+        safe_url(text_field(prospect, fields, "source_url", "")).alias("source_url"),
+        number_field(prospect, fields, "$", "score", 100).alias("score"),
+        dimension_struct(prospect).alias("dimensions"),
+        stage_class(texts["stage"]).alias("stage_class"),
+        text_field(prospect, fields, "name", NO_PROSPECT).alias("top_name"),
+        text_field(prospect, fields, "why_now", texts["pain_signal"]).alias("top_text"),
+    )
 
-    def card(fields: Column) -> Column:
-        texts = {
-            name: text_field(prospect, fields, name, default)
-            for name, default in PROSPECT_DEFAULTS.items()
-        }
-        numbered = F.concat(F.lit("Prospect "), position.cast("string"))
-        return F.struct(
-            position.cast("int").alias("input_position"),
-            text_field(prospect, fields, "name", numbered).alias("name"),
-            *(text.alias(key) for key, text in texts.items()),
-            safe_url(text_field(prospect, fields, "source_url", "")).alias("source_url"),
-            number_field(prospect, fields, "$", "score", 100).alias("score"),
-            dimension_struct(prospect).alias("dimensions"),
-            stage_class(texts["stage"]).alias("stage_class"),
-            text_field(prospect, fields, "name", NO_PROSPECT).alias("top_name"),
-            text_field(prospect, fields, "why_now", texts["pain_signal"]).alias("top_text"),
-        )
-
-    return once(_fields(prospect), card)
-
-
-def pattern_struct(pattern: Column, position: Column) -> Column:
-    def entry(fields: Column) -> Column:
-        return F.struct(
-            position.cast("int").alias("input_position"),
-            *(
-                text_field(pattern, fields, name, default).alias(name)
-                for name, default in PATTERN_DEFAULTS.items()
-            ),
-            number_field(pattern, fields, "$", "count", PATTERN_COUNT_LIMIT).alias("count"),
-        )
 
-    return once(_fields(pattern), entry)
+def pattern_struct(pair: Column, position: Column) -> Column:
+    pattern, fields = pair["item"], pair["fields"]
+    return F.struct(
+        position.cast("int").alias("input_position"),
+        *(
+            text_field(pattern, fields, name, default).alias(name)
+            for name, default in PATTERN_DEFAULTS.items()
+        ),
+        number_field(pattern, fields, "$", "count", PATTERN_COUNT_LIMIT).alias("count"),
+    )
 
 
 def _inlined(documents: DataFrame, path: str, build) -> DataFrame:
     keys = [c for c in documents.columns if c != "document"]
-    items = documents.select(*keys, F.posexplode(object_items(F.col("document"), path)).alias("_at", "_item"))
-    return items.select(*keys, build(F.col("_item"), F.col("_at") + 1).alias("_row")).select(*keys, "_row.*")
+    # The outer form, as a plain one makes Spark filter on the list first and so build it twice.
+    items = documents.select(
+        *keys, F.posexplode_outer(object_items(F.col("document"), path)).alias("_at", "_item")
+    ).filter(F.col("_at").isNotNull())
+    row = compute_once(items, _row=build(F.col("_item"), F.col("_at") + 1))
+    return row.select(*keys, "_row.*")
 
 
 def imported_prospects(documents: DataFrame) -> DataFrame:
