@@ -92,7 +92,7 @@ def phrase_hits(
         "signal_id",
         *(["lang"] if has_lang else []),
         # The outer form keeps Spark from adding a filter that would split each text twice.
-        F.explode_outer(word_ngrams(words_of(text), list(range(1, max_words + 1)))).alias("_gram"),
+        F.explode_outer(word_ngrams(words_of(text), max_words)).alias("_gram"),
     )
     hits = salted_join(grams, entries, ["_gram"], spread_on=["signal_id"])
     if has_lang:

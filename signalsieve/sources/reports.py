@@ -177,8 +177,8 @@ def _inlined(documents: DataFrame, path: str, build) -> DataFrame:
     items = documents.select(
         *keys, F.posexplode_outer(object_items(F.col("document"), path)).alias("_at", "_item")
     ).filter(F.col("_at").isNotNull())
-    row = compute_once(items, _row=build(F.col("_item"), F.col("_at") + 1))
-    return row.select(*keys, "_row.*")
+    row = build(F.col("_item"), F.col("_at") + 1)
+    return items.select(*keys, row.alias("_row")).select(*keys, "_row.*")
 
 
 def imported_prospects(documents: DataFrame) -> DataFrame:
