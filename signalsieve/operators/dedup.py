@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from signalsieve.functions.texts import is_blank, name_key, text_key
 from signalsieve.functions.urls import url_host, url_key
-from signalsieve.operators.skew import salted_join
+from signalsieve.operators.skew import heavy_first_join
 
 
 def _identity(key: Column, order_by: Sequence[str]) -> Column:
@@ -58,28 +58,31 @@ def dedup_signals(
 
 
 def copies_of(
-    signals: DataFrame, text: str = "text", signal_id: str = "signal_id"
+    signals: DataFrame,
+    text: str = "text",
+    signal_id: str = "signal_id",
+    scope: Sequence[str] = (),
 ) -> DataFrame:
     """Ledger of dropped copies: (signal_id, duplicate_of) for every text copy.
 
     Only ids and text hashes are shuffled. The first id per hash is found with map-side
-    aggregation, single texts drop out there, and the join back is salted for hot texts.
+    aggregation, single texts drop out there, and the most copied texts are joined back by
+    broadcast, so even a text with a third of all copies does not gather anywhere.
     """
     # Blank texts get an empty key that is no NULL and are left out by their count: a filter on
     # the key itself would make Spark hash every text twice.
     hashed = signals.select(
         F.col(signal_id).alias("signal_id"),
-        F.coalesce(text_key(text), F.lit("")).alias("_hash"),
+        F.concat_ws("|", *(F.col(c).cast("string") for c in scope), F.coalesce(text_key(text), F.lit(""))).alias("_hash"),
         is_blank(text).alias("_blank"),
     )
     groups = (
         hashed.groupBy("_hash")
         .agg(F.min("signal_id").alias("duplicate_of"), F.count_if(~F.col("_blank")).alias("_n"))
         .filter(F.col("_n") > 1)
-        .drop("_n")
     )
     return (
-        salted_join(hashed, groups, ["_hash"], spread_on=["signal_id"])
+        heavy_first_join(hashed, groups, "_hash", "duplicate_of", "_n", "signal_id")
         .filter(F.col("signal_id") != F.col("duplicate_of"))
         .select("signal_id", "duplicate_of")
     )

@@ -69,6 +69,39 @@ def rejections(prospects: DataFrame) -> DataFrame:
     return rejected.withColumn("reasons", rejection_reasons(prospects.columns))
 
 
+def dropped_entities(
+    signals: DataFrame, prospects: DataFrame, copies: DataFrame | None = None, keys: Sequence[str] = KEYS
+) -> DataFrame:
+    """Entities whose signals all fell out before scoring, with the reason.
+
+    ``policy`` when every signal was blocked (``is_blocked``), ``duplicate`` when the others
+    were copies of an earlier signal (``copies`` from :func:`copies_of`), else ``no_signal``.
+    """
+    marked = signals
+    if copies is not None:
+        marked = marked.join(
+            copies.select("signal_id", F.lit(True).alias("_copy")), "signal_id", "left"
+        )
+    else:
+        marked = marked.withColumn("_copy", F.lit(False))
+    blocked = F.coalesce("is_blocked", F.lit(False))
+    entities = marked.groupBy(*keys).agg(
+        F.bool_and(blocked).alias("_policy"),
+        F.bool_and(blocked | F.coalesce("_copy", F.lit(False))).alias("_duplicate"),
+    )
+    reason = (
+        F.when(F.col("_policy"), F.lit("policy"))
+        .when(F.col("_duplicate"), F.lit("duplicate"))
+        .otherwise(F.lit("no_signal"))
+    )
+    # One row per entity on both sides by now.
+    return (
+        entities.join(prospects.select(*keys), list(keys), "left_anti")
+        .withColumn("reasons", F.array(reason))
+        .drop("_policy", "_duplicate")
+    )
+
+
 def mode_priority(mode: Column) -> Column:
     """Leading sort key per mode: 0 is what the mode looks for first."""
     feedback = (F.col("n_pain") + F.col("n_workaround")) > 0

@@ -9,7 +9,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_SALTS = 8
+# A heavy group beyond this many has at most one part in this many of all rows.
+HEAVIEST = 1000
+
+
+def _salts(df: DataFrame) -> int:
+    """A quarter of the shuffle partitions, between 4 and 64."""
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(4, min(64, partitions // 4))
 
 
 def salted_join(
@@ -18,25 +25,46 @@ def salted_join(
     on: Sequence[str],
     how: str = "inner",
     spread_on: Sequence[str | Column] = (),
-    salts: int = DEFAULT_SALTS,
+    salts: int | None = None,
 ) -> DataFrame:
     """Equi-join of a large, possibly skewed table with one that is narrow and near-unique on ``on``.
 
     Every dimension row is repeated ``salts`` times and a fact row meets one copy, picked by a
-    hash of ``spread_on``, so one hot key is spread over ``salts`` tasks. The salt is a function
-    of the row, not a random number: a recomputed task puts every row where it was before.
-    No broadcast is forced; Spark picks one itself while the dimension is under
+    hash of ``spread_on``, so one hot key is spread over ``salts`` partitions, which adaptive
+    execution splits further where they are still large. The salt is a function of the row, not
+    a random number: a recomputed task puts every row where it was before. No broadcast is
+    forced; Spark picks one itself while the dimension is under
     ``spark.sql.autoBroadcastJoinThreshold`` and shuffles both sides otherwise.
     """
     if how not in {"inner", "left", "left_semi", "left_anti"}:
         raise ValueError(f"salting keeps only the left side whole, so it cannot do {how!r}")
-    copies = dimension.withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    )
-    salt = F.pmod(F.xxhash64(*spread_on), F.lit(salts)).cast("int")
+    count = salts or _salts(facts)
+    copies = dimension.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
+    salt = F.pmod(F.xxhash64(*spread_on), F.lit(count)).cast("int")
     return facts.withColumn("_salt", salt).join(copies, [*on, "_salt"], how).drop("_salt")
 
 
+def heavy_first_join(
+    facts: DataFrame, groups: DataFrame, key: str, value: str, weight: str, spread_on: str
+) -> DataFrame:
+    """Adds ``value`` of the row's group to ``facts``; NULL for a row without a group.
+
+    ``groups`` has one row per key, with the number of fact rows as ``weight``. The heaviest
+    groups are looked up in a broadcast table that has at most ``HEAVIEST`` rows whatever the
+    data, so their fact rows never meet on one key; every other group is small by then and is
+    joined by a shuffle.
+    """
+    heavy = groups.orderBy(F.col(weight).desc(), key).limit(HEAVIEST)
+    known = facts.join(F.broadcast(heavy.select(key, F.col(value).alias("_known"))), key, "left")
+    # A row that has its value gets a key of its own, which no group has.
+    own = F.concat(F.lit("row "), F.col(spread_on).cast("string"))
+    rest = groups.select(F.col(key).alias("_key"), F.col(value).alias("_found"))
+    joined = known.withColumn(
+        "_key", F.when(F.col("_known").isNull(), F.col(key)).otherwise(own)
+    ).join(rest, "_key", "left")
+    return joined.withColumn(value, F.coalesce("_known", "_found")).drop("_key", "_known", "_found")
+
+
 def stable(df: DataFrame) -> DataFrame:
     """``df`` written to reliable storage, so that later reads all see the same rows.
 

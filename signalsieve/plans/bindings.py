@@ -107,6 +107,7 @@ def order_evidence(spark: SparkSession, sf_dir: str, whole_history: bool = False
         customers(spark, sf_dir),
         ["entity_key"],
         spread_on=["signal_id"],
+        salts=4,  # customers are many, so only a few copies of each
     )
 
 

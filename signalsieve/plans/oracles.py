@@ -570,6 +570,14 @@ _add(
     f"""SELECT page_id AS signal_id, url AS source_url FROM pages
   WHERE NOT contains(url, '/de/') AND NOT regexp_matches({_host("url")}, 'pills|adult|casino')""",
 )
+_add(
+    "dropped_hosts",
+    f"""SELECT 'web' AS product_id, entity_key, CASE WHEN bool_and(fr) THEN 'policy'
+    WHEN bool_and(fr OR is_copy) THEN 'duplicate' ELSE 'no_signal' END AS reasons
+  FROM (SELECT {_host("url")} AS entity_key, contains(url, '/fr/') AS fr, contains(url, '/en/') AS en,
+      page_id > min(page_id) OVER (PARTITION BY regexp_replace(lower(html), '{_SPACE}', ' ', 'g')) AS is_copy FROM pages)
+  GROUP BY entity_key HAVING NOT bool_or(en)""",
+)
 _add(
     "original_pages",
     f"""SELECT page_id AS signal_id, contains(url, '//m.') AS is_snippet FROM pages

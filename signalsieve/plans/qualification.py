@@ -8,17 +8,17 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from signalsieve.config import SEED_LEXICON, Phrase, ScoringConfig
-from signalsieve.functions.texts import name_key
+from signalsieve.config import BLOCKED_SOURCE_TYPES, SEED_LEXICON, Phrase, ScoringConfig
+from signalsieve.functions.texts import has_any_phrase, name_key
 from signalsieve.functions.urls import url_host
 from signalsieve.operators.aggregates import limits, patterns, report_kpis, verdict
 from signalsieve.operators.briefs import brief_readiness, in_scope
-from signalsieve.operators.dedup import dedup_signals
+from signalsieve.operators.dedup import copies_of, dedup_signals
 from signalsieve.operators.evidence import best_evidence, evidence_ledger, label_evidence
 from signalsieve.operators.matching import classify, match_icp
 from signalsieve.operators.outreach import draft_openers, lint_openers, outreach_plan, recommend_channel
 from signalsieve.operators.policy import apply_source_policy, exclude_sensitive, redact, require_original
-from signalsieve.operators.ranking import primary_gate, rejections, shortlist
+from signalsieve.operators.ranking import dropped_entities, primary_gate, rejections, shortlist
 from signalsieve.operators.reporting import build_reports, prospect_cards
 from signalsieve.operators.scoring import score_prospects
 from signalsieve.operators.skew import salted_join, stable
@@ -32,12 +32,19 @@ class Qualification:
     prospects: DataFrame
     shortlist: DataFrame
     rejected: DataFrame
+    dropped: DataFrame
     ledger: DataFrame
     patterns: DataFrame
     outreach: DataFrame
     reports: DataFrame
 
 
+def with_entity_key(signals: DataFrame) -> DataFrame:
+    """Signals with a resolved entity; a signal of nobody in particular is left out."""
+    key = F.coalesce("entity_key", name_key("entity_name"), url_host("source_url"))
+    return signals.withColumn("entity_key", key).filter(F.col("entity_key").isNotNull())
+
+
 def prepare_evidence(
     briefs: DataFrame,
     signals: DataFrame,
@@ -56,11 +63,8 @@ def prepare_evidence(
     allowed = exclude_sensitive(apply_source_policy(signals, blocked_hosts=blocked_hosts), sensitive_terms)
     if originals is not None:
         allowed = require_original(allowed, originals)
-    scoped = in_scope(allowed, ready)
-    keyed = scoped.withColumn(
-        "entity_key", F.coalesce("entity_key", name_key("entity_name"), url_host("source_url"))
-    ).filter(F.col("entity_key").isNotNull())
-    matched = label_evidence(match_icp(classify(keyed, phrases), icp_terms))
+    scoped = in_scope(with_entity_key(allowed), ready)
+    matched = label_evidence(match_icp(classify(scoped, phrases), icp_terms))
     telling = matched.filter(F.col("evidence_kind").isNotNull() | F.col("disqualified"))
     deduped = dedup_signals(telling, scope=["product_id"])
     evidence = redact(deduped, ["text", "source_title", "entity_name"])
@@ -95,6 +99,11 @@ def qualify(
     drafts = lint_openers(
         draft_openers(recommend_channel(best.join(shown, keys)), briefs)
     )
+    sensitive = evidence_options.get("sensitive_terms", ())
+    blocked = F.coalesce(F.col("source_type").isin(list(BLOCKED_SOURCE_TYPES)), F.lit(False))
+    if sensitive:
+        blocked = blocked | has_any_phrase("text", sensitive)
+    raw = with_entity_key(signals).withColumn("is_blocked", blocked)
     repeated = patterns(evidence)
     figures = verdict(report_kpis(best, briefs))
     return Qualification(
@@ -102,6 +111,9 @@ def qualify(
         prospects=prospects,
         shortlist=best,
         rejected=rejections(prospects),
+        dropped=dropped_entities(
+            raw.select("signal_id", *keys, "is_blocked"), prospects, copies_of(raw.filter(~F.col("is_blocked")), scope=["product_id"])
+        ),
         ledger=ledger,
         patterns=repeated,
         outreach=outreach_plan(drafts),

@@ -550,6 +550,17 @@ def allowed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return allowed.select("signal_id", "source_url")
 
 
+@query
+def dropped_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts that do not become prospects; French pages are blocked, English ones qualify."""
+    pages = b.page_signals(spark, sf_dir).withColumn("product_id", F.lit("web"))
+    signals = pages.withColumn("is_blocked", F.contains("source_url", F.lit("/fr/")))
+    kept = pages.filter(F.contains("source_url", F.lit("/en/"))).select("product_id", "entity_key").distinct()
+    copies = dedup.copies_of(pages)
+    found = ranking.dropped_entities(signals, kept, copies)
+    return found.withColumn("reasons", _joined("reasons"))
+
+
 @query
 def original_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mobile pages count as snippets; they stay if their page is among the English originals."""

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from signalsieve.config import BUCKETS, MAX_INLINE_PHRASES, SEED_LEXICON, Phrase
-from signalsieve.operators import aggregates, briefs, dedup, evidence, matching, outreach, policy, ranking, scoring
+from signalsieve.operators import aggregates, briefs, dedup, evidence, matching, outreach, policy, ranking, scoring, skew
 from signalsieve.operators.skew import ranked_rows, salted_join
 from signalsieve.sources.signals import read_signals, union_signals
 
@@ -35,6 +35,16 @@ def test_salted_join_equals_plain_join(spark, how):
     assert rows(salted, *columns) == rows(plain, *columns)
 
 
+def test_heavy_groups_are_joined_whole(spark, monkeypatch):
+    monkeypatch.setattr(skew, "HEAVIEST", 2)
+    keys = ["a" if i % 3 == 0 else f"k{i % 7}" if i % 2 else f"only{i}" for i in range(900)]
+    facts = spark.createDataFrame(list(enumerate(keys)), "i int, k string")
+    groups = facts.groupBy("k").agg(F.min("i").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    found = rows(skew.heavy_first_join(facts, groups, "k", "first", "n", "i"), "i", "first")
+    firsts = {k: (keys.index(k) if keys.count(k) > 1 else None) for k in set(keys)}
+    assert found == [(i, firsts[k]) for i, k in enumerate(keys)]
+
+
 def test_salted_join_refuses_joins_that_keep_the_right_side(spark):
     with pytest.raises(ValueError):
         salted_join(spark.range(1), spark.range(1), ["id"], "full", spread_on=["id"])
