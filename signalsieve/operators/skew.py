@@ -65,6 +65,17 @@ def heavy_first_join(
     return joined.withColumn(value, F.coalesce("_known", "_found")).drop("_key", "_known", "_found")
 
 
+def spread_small(df: DataFrame, key: str) -> DataFrame:
+    """A table stored in fewer splits than there are cores, spread over the cores by ``key``.
+
+    For work that is heavy per row, such as reading texts, on a table too small to fill the
+    cluster by itself. A table with enough splits stays exactly where it is, so nothing large
+    is ever shuffled for this. Filters and column pruning still reach the scan.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def stable(df: DataFrame) -> DataFrame:
     """``df`` written to reliable storage, so that later reads all see the same rows.
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from signalsieve.config import Phrase, ScoringConfig
 from signalsieve.functions.urls import url_host
 from signalsieve.operators.scoring import entity_profile, rate_prospects
-from signalsieve.operators.skew import salted_join
+from signalsieve.operators.skew import salted_join, spread_small
 
 AS_OF = dt.date(2001, 8, 1)
 WINDOW_START = dt.date(2000, 8, 1)
@@ -189,7 +189,7 @@ def event_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as signal texts; their source is the entity."""
-    return table(spark, sf_dir, "documents").select(
+    return spread_small(table(spark, sf_dir, "documents"), "doc_id").select(
         F.col("doc_id").alias("signal_id"),
         F.col("source").alias("entity_key"),
         "lang",
@@ -258,4 +258,5 @@ def order_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.when(digit == "4", F.concat(F.lit("["), key, F.lit("]"))).when(
         digit == "5", F.concat(F.lit('{"title":'), key)
     ).otherwise(good)
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("document_id"), body.alias("body"))
+    orders = spread_small(table(spark, sf_dir, "orders"), "o_orderkey")
+    return orders.select(F.col("o_orderkey").alias("document_id"), body.alias("body"))

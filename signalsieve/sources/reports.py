@@ -154,8 +154,6 @@ def prospect_struct(pair: Column, position: Column) -> Column:
         number_field(prospect, fields, "$", "score", 100).alias("score"),
         dimension_struct(prospect).alias("dimensions"),
         stage_class(texts["stage"]).alias("stage_class"),
-        text_field(prospect, fields, "name", NO_PROSPECT).alias("top_name"),
-        text_field(prospect, fields, "why_now", texts["pain_signal"]).alias("top_text"),
     )
 
 
@@ -213,42 +211,48 @@ def import_reports(documents: DataFrame) -> DataFrame:
         )
 
     listed = F.transform(list_items(doc, "$.limits"), lambda x: _text(x, "$"))
-    nested = documents.withColumn("_fields", _fields(doc)).select(
+    prepared = compute_once(
+        documents, _fields=_fields(doc), _prospects=object_items(doc, "$.prospects")
+    )
+    # Only what the figures need, so that a query for figures does not build whole prospects.
+    figures = F.transform("_prospects", _figures)
+    nested = prepared.select(
         *(c for c in documents.columns if c != "document"),
         text_field(doc, fields, "title", DOCUMENT_TITLE).alias("title"),
         *(text_field(doc, fields, name, default).alias(name) for name, default in DOCUMENT_DEFAULTS.items()),
         safe_url(text_field(doc, fields, "product_url", "")).alias("product_url"),
-        F.transform(
-            object_items(doc, "$.prospects"), lambda p, i: prospect_struct(p, i + 1)
-        ).alias("prospects"),
+        F.transform("_prospects", lambda p, i: prospect_struct(p, i + 1)).alias("prospects"),
         F.transform(object_items(doc, "$.patterns"), lambda p, i: pattern_struct(p, i + 1)).alias("patterns"),
         once(plan_fields, plan).alias("outreach_plan"),
         once(
             listed, lambda x: F.when(F.size(x) > 0, x).otherwise(F.array(F.lit(DEFAULT_LIMIT)))
         ).alias("limits"),
+        figures.alias("_figures"),
     )
-    total = F.aggregate("prospects", F.lit(0).cast("bigint"), lambda acc, p: acc + p["score"])
-    mean = F.coalesce(F.bround(F.try_divide(total, F.size("prospects")), 0).cast("int"), F.lit(0))
-    best = F.array_max(
-        F.transform(
-            "prospects",
-            lambda p: F.struct(
-                p["score"].alias("score"),
-                (-p["input_position"]).alias("before"),
-                p["top_name"].alias("name"),
-                p["top_text"].alias("text"),
-            ),
-        )
+    total = F.aggregate("_figures", F.lit(0).cast("bigint"), lambda acc, p: acc + p["score"])
+    mean = F.coalesce(F.bround(F.try_divide(total, F.size("_figures")), 0).cast("int"), F.lit(0))
+    # Structs compare field by field: the best score, then the first in input order.
+    best = F.array_max("_figures")
+    return nested.select(
+        *(c for c in nested.columns if c != "_figures"),
+        F.size("_figures").alias("n_prospects"),
+        F.size(F.filter("_figures", lambda p: p["high_intent"])).alias("n_high_intent"),
+        mean.alias("average_score"),
+        F.coalesce(best["name"], F.lit(NO_PROSPECT)).alias("top_name"),
+        F.coalesce(best["score"], F.lit(0)).alias("top_score"),
+        F.coalesce(best["text"], F.lit("")).alias("top_text"),
     )
-    return nested.withColumns(
-        {
-            "n_prospects": F.size("prospects"),
-            "n_high_intent": F.size(F.filter("prospects", lambda p: is_high_intent(p["stage"]))),
-            "average_score": mean,
-            "top_name": F.coalesce(best["name"], F.lit(NO_PROSPECT)),
-            "top_score": F.coalesce(best["score"], F.lit(0)),
-            "top_text": F.coalesce(best["text"], F.lit("")),
-        }
+
+
+def _figures(pair: Column, index: Column) -> Column:
+    item, fields = pair["item"], pair["fields"]
+    pain_signal = text_field(item, fields, "pain_signal", "")
+    return F.struct(
+        number_field(item, fields, "$", "score", 100).alias("score"),
+        (-index).alias("before"),
+        is_high_intent(text_field(item, fields, "stage", "")).alias("high_intent"),
+        text_field(item, fields, "name", NO_PROSPECT).alias("name"),
+        text_field(item, fields, "why_now", pain_signal).alias("text"),
     )
 
 
