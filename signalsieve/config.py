@@ -197,6 +197,7 @@ class ScoringConfig:
     timing_older: int = 2
     timing_undated: int = 1
     trigger_bonus: int = 1
+    trigger_days: int = 90  # a trigger up to this old is a current one
     reach_per_channel: float = 2.0
     reliability_weight: float = 0.6
     evidence_per_signal: float = 0.5

@@ -31,7 +31,11 @@ def bounded(value: Column | str, maximum: float) -> Column:
 
     NaN is replaced first because it orders above every number in Spark.
     """
-    number = F.coalesce(F.nanvl(_col(value).cast("double"), F.lit(0.0)), F.lit(0.0))
+    if isinstance(value, str):
+        return F.expr(
+            f"greatest(0D, least({float(maximum)}D, coalesce(nanvl(cast({value} AS DOUBLE), 0D), 0D)))"
+        )
+    number = F.coalesce(F.nanvl(value.cast("double"), F.lit(0.0)), F.lit(0.0))
     return F.greatest(F.lit(0.0), F.least(F.lit(float(maximum)), number))
 
 

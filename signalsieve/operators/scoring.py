@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from signalsieve.config import BUCKETS, COMPANY_TYPES, DIMENSION_LABELS, DISCUSSION_SOURCES, ScoringConfig
 from signalsieve.functions.numbers import clamp
-from signalsieve.functions.scores import band, bounded_rating, stage_class, stage_from_counts, weighted_score
+from signalsieve.functions.scores import band, stage_class, stage_from_counts, weighted_score
 from signalsieve.functions.urls import has_valid_url
 from signalsieve.operators.evidence import KEYS
 
@@ -66,16 +66,15 @@ def fit_counts(evidence: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 
 
 def rate_pain(config: ScoringConfig = DEFAULT_CONFIG) -> Column:
-    hits = F.col("n_pain") + F.col("n_workaround") + F.col("n_switching")
-    return F.least(F.lit(5.0), hits * F.lit(config.pain_per_hit))
+    return F.expr(f"least(5D, (n_pain + n_workaround + n_switching) * {config.pain_per_hit}D)")
 
 
 def rate_fit(config: ScoringConfig = DEFAULT_CONFIG) -> Column:
     if config.fit_source == "buckets":
-        terms = sum(((F.col(f"n_{b}") > 0).cast("int") for b in BUCKETS[1:]), (F.col(f"n_{BUCKETS[0]}") > 0).cast("int"))
+        terms = " + ".join(f"cast(n_{b} > 0 AS INT)" for b in BUCKETS)
     else:
-        terms = F.coalesce(F.col("n_fit_terms"), F.lit(0))
-    return F.least(F.lit(5.0), terms * F.lit(config.fit_per_term) + F.lit(config.fit_base))
+        terms = "coalesce(n_fit_terms, 0)"
+    return F.expr(f"least(5D, ({terms}) * {config.fit_per_term}D + {config.fit_base}D)")
 
 
 def rate_timing(config: ScoringConfig = DEFAULT_CONFIG) -> Column:
@@ -83,30 +82,28 @@ def rate_timing(config: ScoringConfig = DEFAULT_CONFIG) -> Column:
 
     An old request rates low here and stays a prospect.
     """
-    age = F.date_diff("as_of", "newest")
-    steps = F.when(F.col("newest").isNull(), F.lit(config.timing_undated))
-    for oldest, rating in config.timing_steps:
-        steps = steps.when(age <= oldest, F.lit(rating))
-    current = F.date_diff("as_of", "newest_trigger") <= config.timing_steps[1][0]
-    bonus = F.when(current, F.lit(config.trigger_bonus)).otherwise(F.lit(0))
-    return F.least(F.lit(5.0), (steps.otherwise(F.lit(config.timing_older)) + bonus).cast("double"))
+    steps = " ".join(
+        f"WHEN date_diff(as_of, newest) <= {oldest} THEN {rating}" for oldest, rating in config.timing_steps
+    )
+    current = f"date_diff(as_of, newest_trigger) <= {config.trigger_days}"
+    return F.expr(
+        f"""least(5D, cast(
+            CASE WHEN newest IS NULL THEN {config.timing_undated} {steps} ELSE {config.timing_older} END
+            + CASE WHEN {current} THEN {config.trigger_bonus} ELSE 0 END AS DOUBLE))"""
+    )
 
 
 def rate_reachability(config: ScoringConfig = DEFAULT_CONFIG) -> Column:
-    return F.least(F.lit(5.0), F.col("n_channels") * F.lit(config.reach_per_channel))
+    return F.expr(f"least(5D, n_channels * {config.reach_per_channel}D)")
 
 
 def rate_evidence(config: ScoringConfig = DEFAULT_CONFIG) -> Column:
     """Mean source reliability blended with the number of signals."""
-    unrated = F.col("n_signals") - F.col("reliability_n")
-    percent = (
-        F.coalesce(F.col("reliability_sum"), F.lit(0)) + unrated * F.lit(config.default_reliability)
-    ) / F.col("n_signals")
-    return F.least(
-        F.lit(5.0),
-        percent * F.lit(config.reliability_weight / 20.0)
-        + F.col("n_signals") * F.lit(config.evidence_per_signal)
-        + F.lit(config.evidence_base),
+    percent = f"""(coalesce(reliability_sum, 0)
+        + (n_signals - reliability_n) * {config.default_reliability}) / n_signals"""
+    return F.expr(
+        f"""least(5D, {percent} * {config.reliability_weight / 20.0}D
+            + n_signals * {config.evidence_per_signal}D + {config.evidence_base}D)"""
     )
 
 
@@ -116,11 +113,11 @@ def rate_prospects(
     """Adds dimensions, score, band, stage and stage_class to an entity profile."""
     rated = profile if as_of is None else profile.withColumn("as_of", as_of)
     dimensions = F.struct(
-        bounded_rating(rate_pain(config)).alias("pain_strength"),
-        bounded_rating(rate_fit(config)).alias("product_fit"),
-        bounded_rating(rate_timing(config)).alias("timing"),
-        bounded_rating(rate_reachability(config)).alias("reachability"),
-        bounded_rating(rate_evidence(config)).alias("evidence_quality"),
+        rate_pain(config).alias("pain_strength"),
+        rate_fit(config).alias("product_fit"),
+        rate_timing(config).alias("timing"),
+        rate_reachability(config).alias("reachability"),
+        rate_evidence(config).alias("evidence_quality"),
     )
     return score_dimensions(rated.withColumn("dimensions", dimensions)).withColumn(
         "stage",
@@ -130,7 +127,7 @@ def rate_prospects(
 
 def score_dimensions(prospects: DataFrame) -> DataFrame:
     """Adds ``score`` and ``band`` from the ``dimensions`` struct."""
-    ratings = {name: F.col(f"dimensions.{name}") for name in DIMENSION_LABELS}
+    ratings = {name: f"dimensions.{name}" for name in DIMENSION_LABELS}
     return prospects.withColumn("score", weighted_score(**ratings)).withColumn("band", band("score"))
 
 
