@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,6 +21,7 @@ _LEXICON = T.StructType(
     ]
 )
 MAX_PHRASE_WORDS = 8
+MAX_FOLDED_TERMS = 1000
 
 
 def lexicon_frame(spark: SparkSession, phrases: Iterable[Phrase]) -> DataFrame:
@@ -62,6 +63,28 @@ def classify(signals: DataFrame, phrases: Sequence[Phrase], text: str = "text")
     return signals.withColumn("buckets", bucket_array(F.col(text), phrases, lang))
 
 
+def _with_gram(table: DataFrame, max_words: int) -> DataFrame:
+    """Rows with a phrase, with its words as ``_gram``; a phrase that is too long is an error."""
+    too_long = F.raise_error(F.lit(f"a lexicon phrase has more than {max_words} words"))
+    gram = F.trim(words_of("phrase"))
+    return table.withColumn("_gram", gram).filter(F.col("_gram") != "").withColumn(
+        "_gram", F.when(F.size(F.split("_gram", " ")) <= max_words, F.col("_gram")).otherwise(too_long)
+    )
+
+
+def _gram_hits(
+    signals: DataFrame, entries: DataFrame, keep: Sequence[str], on: Sequence[str], text: str, max_words: int
+) -> DataFrame:
+    """Entries whose ``_gram`` occurs in the text of a signal with equal ``on`` columns."""
+    grams = signals.select(
+        "signal_id",
+        *keep,
+        # The outer form keeps Spark from adding a filter that would split each text twice.
+        F.explode_outer(word_ngrams(words_of(text), max_words)).alias("_gram"),
+    )
+    return salted_join(grams, entries, [*on, "_gram"], spread_on=["signal_id"])
+
+
 def phrase_hits(
     signals: DataFrame,
     lexicon: DataFrame,
@@ -76,25 +99,12 @@ def phrase_hits(
     length of the longest phrase; a longer one would be missed, so it fails the query.
     """
     entries = (
-        lexicon.withColumn("_gram", F.trim(words_of("phrase")))
-        .filter(F.col("_gram") != "")
-        .withColumn(
-            "_gram",
-            F.when(F.size(F.split("_gram", " ")) <= max_words, F.col("_gram")).otherwise(
-                F.raise_error(F.lit(f"a lexicon phrase has more than {max_words} words"))
-            ),
-        )
+        _with_gram(lexicon, max_words)
         .select("bucket", "phrase", F.col("lang").alias("_lang"), "_gram")
         .distinct()
     )
     has_lang = "lang" in signals.columns
-    grams = signals.select(
-        "signal_id",
-        *(["lang"] if has_lang else []),
-        # The outer form keeps Spark from adding a filter that would split each text twice.
-        F.explode_outer(word_ngrams(words_of(text), max_words)).alias("_gram"),
-    )
-    hits = salted_join(grams, entries, ["_gram"], spread_on=["signal_id"])
+    hits = _gram_hits(signals, entries, ["lang"] if has_lang else [], [], text, max_words)
     if has_lang:
         hits = hits.filter(F.col("_lang").isNull() | (F.col("_lang") == F.col("lang")))
     return hits.select("signal_id", "bucket", "phrase")
@@ -128,17 +138,30 @@ def match_icp(signals: DataFrame, icp_terms: DataFrame, text: str = "text") -> D
     ``icp_terms`` (product_id, icp_role, kind, phrase) is folded to one short array per product
     first, so that each signal is joined once and its text read once. Adds ``fit_terms``
     (distinct positive and trigger phrases hit), ``icp_role`` (the role with more hits, primary
-    on a tie, NULL without hits), ``icp_trigger`` and ``disqualified``.
+    on a tie, NULL without hits), ``icp_trigger`` and ``disqualified``. A product with more than
+    ``MAX_FOLDED_TERMS`` terms is an error; :func:`match_icp_by_join` takes any number.
     """
-    per_product = (
-        icp_terms.withColumn("words", words_of("phrase"))
+    terms = (
+        icp_terms.select("product_id", "phrase", "icp_role", "kind")
+        .withColumn("words", words_of("phrase"))
         .filter(F.length(F.trim("words")) > 0)
-        .withColumn("pieces", F.array_remove(F.split(F.trim("words"), " "), "."))
+        .distinct()
+    )
+    in_order = Window.partitionBy("product_id").orderBy("phrase", "icp_role", "kind")
+    entry = F.struct(
+        "phrase", "icp_role", "kind", "words", F.array_remove(F.split(F.trim("words"), " "), ".").alias("pieces")
+    )
+    too_many = F.raise_error(
+        F.lit(f"a product has more than {MAX_FOLDED_TERMS} ICP terms; use match_icp_by_join")
+    )
+    # No more than one term beyond the bound is ever collected.
+    per_product = (
+        terms.withColumn("_n", F.row_number().over(in_order))
+        .filter(F.col("_n") <= MAX_FOLDED_TERMS + 1)
         .groupBy("product_id")
-        .agg(
-            F.sort_array(
-                F.collect_set(F.struct("phrase", "icp_role", "kind", "words", "pieces"))
-            ).alias("_terms")
+        .agg(F.sort_array(F.collect_list(entry)).alias("_terms"))
+        .withColumn(
+            "_terms", F.when(F.size("_terms") <= MAX_FOLDED_TERMS, F.col("_terms")).otherwise(too_many)
         )
     )
     joined = salted_join(
@@ -171,3 +194,30 @@ def match_icp(signals: DataFrame, icp_terms: DataFrame, text: str = "text") -> D
         F.exists("_hit", lambda t: t["kind"] == "trigger").alias("icp_trigger"),
         F.exists("_hit", lambda t: t["kind"] == "disqualifier").alias("disqualified"),
     )
+
+
+def match_icp_by_join(
+    signals: DataFrame, icp_terms: DataFrame, text: str = "text", max_words: int = MAX_PHRASE_WORDS
+) -> DataFrame:
+    """:func:`match_icp` for any number of terms per product; same result, by n-gram join."""
+    entries = (
+        _with_gram(icp_terms.select("product_id", "phrase", "icp_role", "kind"), max_words).distinct()
+    )
+    hits = _gram_hits(signals, entries, ["product_id"], ["product_id"], text, max_words)
+    fits = F.col("kind") != "disqualifier"
+    seen = hits.groupBy("signal_id").agg(
+        F.array_sort(F.collect_set(F.when(fits, F.col("phrase")))).alias("_fit"),
+        F.count_if(fits & (F.col("icp_role") == "primary")).alias("_primary"),
+        F.count_if(fits & (F.col("icp_role") == "adjacent")).alias("_adjacent"),
+        F.bool_or(F.col("kind") == "trigger").alias("_trigger"),
+        F.bool_or(~fits).alias("_struck"),
+    )
+    return signals.join(seen, "signal_id", "left").select(
+        *signals.columns,
+        F.coalesce("_fit", F.array().cast("array<string>")).alias("fit_terms"),
+        F.when((F.col("_primary") > 0) & (F.col("_primary") >= F.col("_adjacent")), F.lit("primary"))
+        .when(F.col("_adjacent") > 0, F.lit("adjacent"))
+        .alias("icp_role"),
+        F.coalesce("_trigger", F.lit(False)).alias("icp_trigger"),
+        F.coalesce("_struck", F.lit(False)).alias("disqualified"),
+    )

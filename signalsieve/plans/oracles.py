@@ -463,9 +463,10 @@ _ICP = """terms(icp_role, kind, phrase) AS (VALUES ('primary','positive','was'),
     ('primary','positive','una'), ('adjacent','positive','de la'), ('adjacent','positive','the'),
     ('adjacent','trigger','und'), ('primary','disqualifier','worthless'))"""
 _ICP_HITS = "found AS (SELECT * FROM docs JOIN terms ON contains(words, ' ' || phrase || ' '))"
-_add(
-    "icp_matches",
-    """SELECT signal_id, coalesce(fit_terms, '') AS fit_terms,
+for _name in ("icp_matches", "icp_matches_by_join"):
+    _add(
+        _name,
+        """SELECT signal_id, coalesce(fit_terms, '') AS fit_terms,
     CASE WHEN coalesce(p + a, 0) = 0 THEN NULL WHEN p >= a THEN 'primary' ELSE 'adjacent' END AS icp_role,
     coalesce(icp_trigger, FALSE) AS icp_trigger, coalesce(disqualified, FALSE) AS disqualified
   FROM docs LEFT JOIN (SELECT signal_id,
@@ -474,10 +475,10 @@ _add(
       count(*) FILTER (kind <> 'disqualifier' AND icp_role = 'adjacent') AS a,
       bool_or(kind = 'trigger') AS icp_trigger, bool_or(kind = 'disqualifier') AS disqualified
     FROM found GROUP BY signal_id) USING (signal_id)""",
-    _DOCS,
-    _ICP,
-    _ICP_HITS,
-)
+        _DOCS,
+        _ICP,
+        _ICP_HITS,
+    )
 _add(
     "document_fit",
     """SELECT lang AS product_id, source AS entity_key, count(DISTINCT phrase) AS n_fit_terms,

@@ -432,6 +432,16 @@ def icp_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def icp_matches_by_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same matches by n-gram join, as for products with very many terms."""
+    documents = b.document_signals(spark, sf_dir).withColumn("product_id", F.col("lang"))
+    found = matching.match_icp_by_join(documents, b.language_icp_terms(spark, sf_dir), max_words=2)
+    return found.select(
+        "signal_id", _joined("fit_terms").alias("fit_terms"), "icp_role", "icp_trigger", "disqualified"
+    )
+
+
 @query
 def document_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct ICP terms per language and source, and the fit rating."""

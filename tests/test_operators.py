@@ -180,14 +180,28 @@ def test_icp_terms_are_those_of_the_product(spark):
         ],
         "signal_id int, product_id string, text string",
     )
-    found = {r.signal_id: (r.fit_terms, r.icp_role, r.icp_trigger, r.disqualified) for r in matching.match_icp(df, terms).collect()}
-    assert found == {
+    expected = {
         1: (["gym owner", "studio"], "primary", False, False),
         2: (["new location", "studio"], "adjacent", True, True),
         3: (["studio"], "primary", False, False),
         4: ([], None, False, False),
         5: ([], None, False, False),
     }
+    for match in (matching.match_icp, matching.match_icp_by_join):
+        found = match(df, terms).collect()
+        assert {r.signal_id: (r.fit_terms, r.icp_role, r.icp_trigger, r.disqualified) for r in found} == expected
+
+
+def test_too_many_folded_terms_are_an_error(spark):
+    count = matching.MAX_FOLDED_TERMS + 5
+    terms = spark.range(count).select(
+        F.lit("p").alias("product_id"), F.lit("primary").alias("icp_role"), F.lit("positive").alias("kind"),
+        F.concat(F.lit("w"), "id").alias("phrase"),
+    )
+    df = spark.createDataFrame([(1, "p", f"w{count - 1}")], "signal_id int, product_id string, text string")
+    with pytest.raises(Exception, match="match_icp_by_join"):
+        matching.match_icp(df, terms).collect()
+    assert matching.match_icp_by_join(df, terms, max_words=1).first().fit_terms == [f"w{count - 1}"]
 
 
 # --- Policy ---
