@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from signalsieve.llm.common import full_text, importable, words, written
+from signalsieve.llm.common import fresh, full_text, importable, words, written
 
 BUCKET_ROWS = 4096
 FAN_IN = 64
@@ -184,15 +184,22 @@ def mix(
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with each row as often as the mix takes it, in its own columns."""
-    copies = mix(docs, **options).groupBy("doc_id", "source", "text_key").agg(F.first("copies").alias("_copies")).filter("_copies > 0")
-    copies = copies.select(F.col("doc_id").alias("_id"), F.col("source").alias("_src"), F.col("text_key").alias("_key"), "_copies")
+    key = ["doc_id", "source", "text_key"]
+    name = dict(zip([*key, "copies", "copy"], fresh(docs, "_id", "_src", "_key", "_copies", "_copy")))
+    copies = (
+        mix(docs, **options)
+        .groupBy(*key)
+        .agg(F.first("copies").alias("copies"))
+        .filter("copies > 0")
+        .select(*(F.col(c).alias(name[c]) for c in [*key, "copies"]))
+    )
     same = (
-        F.col("doc_id").eqNullSafe(F.col("_id"))
-        & F.col("source").eqNullSafe(F.col("_src"))
-        & (_text_key("text") == F.col("_key"))
+        F.col("doc_id").eqNullSafe(F.col(name["doc_id"]))
+        & F.col("source").eqNullSafe(F.col(name["source"]))
+        & (_text_key("text") == F.col(name["text_key"]))
     )
     return (
         docs.join(copies, same)
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-        .select(*(docs[c] for c in docs.columns))
+        .withColumn(name["copy"], F.explode(F.sequence(F.lit(1), F.col(name["copies"]))))
+        .select(*docs.columns)
     )

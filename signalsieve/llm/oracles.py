@@ -3,5 +3,16 @@
 from __future__ import annotations
 
 
+OP6 = """
+SELECT doc_id,
+       max(doc_id) OVER same AS keep_id,
+       count(*) OVER same AS group_size,
+       doc_id = max(doc_id) OVER same AS kept,
+       sha256(coalesce(text, '')) AS text_sha256
+FROM documents
+WINDOW same AS (PARTITION BY coalesce(text, ''))
+"""
+
+
 def llm_oracles() -> dict[str, str]:
-    return {}
+    return {"op6_exact_dedup": OP6}

@@ -5,15 +5,24 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from signalsieve.llm.common import documents
+from signalsieve.llm.exact_dedup import group_copies
 from signalsieve.llm.mixing import mix
 
 
+def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of equal texts of each document."""
+    return group_copies(documents(spark, sf_dir)).select(
+        "doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256")
+    )
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of each document a mix of all sources takes."""
     return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op10_source_mix,)}
+    return {f.__name__: f for f in (op6_exact_dedup, op10_source_mix)}
