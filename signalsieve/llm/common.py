@@ -7,13 +7,18 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Separators of words: space and the ASCII controls 09 to 0D.
 WHITE = r"[\x20\x09-\x0D]+"
 
+#: Where a row's content lies.
+LOCATOR = ["_file", "_row"]
+
 _own_folder: list[str] = []
 
 
@@ -54,6 +59,30 @@ def fresh(docs: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def with_locator(docs: DataFrame, file: str = "_file", row: str = "_row") -> DataFrame:
+    """``docs`` with the file and the row in it that hold each row's content.
+
+    A frame that is not read straight from Parquet files is written to the shared folder first.
+    """
+    try:
+        return docs.withColumns({file: F.col("_metadata.file_path"), row: F.col("_metadata.row_index")})
+    except AnalysisException:
+        return with_locator(written(docs, "located"), file, row)
+
+
+def located(docs: DataFrame, *wanted: str) -> tuple[DataFrame, DataFrame, list[str]]:
+    """``docs`` with locators under names of their own, the ``wanted`` columns of it with the
+    locators as ``_file`` and ``_row``, and those own names."""
+    names = fresh(docs, *LOCATOR)
+    placed = with_locator(docs, *names)
+    return placed, placed.select(*wanted, *(F.col(n).alias(c) for n, c in zip(names, LOCATOR))), names
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once for each row."""
+    return F.transform(F.array(value), use)[0]
+
+
 def importable(spark: SparkSession) -> None:
     """Lets Python workers of a local session import this package from where the driver has it.
 

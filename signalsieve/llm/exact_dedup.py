@@ -12,11 +12,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from signalsieve.llm.common import fresh, full_text, new_folder, written
+from signalsieve.llm.common import LOCATOR, full_text, located, new_folder, with_locator, written
 
 _SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -25,24 +24,10 @@ _SETTINGS = {
     "spark.sql.streaming.metricsEnabled": "false",
 }
 
-LOCATOR = ["_file", "_row"]
-
-
 def sha256(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
-def with_locator(docs: DataFrame, file: str = "_file", row: str = "_row") -> DataFrame:
-    """``docs`` with the file and the row in it that hold each row's content.
-
-    A frame that is not read straight from Parquet files is written to the shared folder first.
-    """
-    try:
-        return docs.withColumns({file: F.col("_metadata.file_path"), row: F.col("_metadata.row_index")})
-    except AnalysisException:
-        return with_locator(written(docs, "located"), file, row)
-
-
 def keyed_state(arrivals: DataFrame, folder: str) -> DataFrame:
     """Runs the stream ``arrivals`` (digest, doc_id, _file, _row) to its end and returns the state.
 
@@ -129,9 +114,6 @@ def without_copies(
     docs: DataFrame, digest: Callable[[Column], Column] = sha256, files_per_batch: int = 1000
 ) -> DataFrame:
     """``docs`` without all but one of each group of equal texts, in its own columns."""
-    file, row = fresh(docs, *LOCATOR)
-    located = with_locator(docs, file, row)
-    narrow = located.select("doc_id", "text", F.col(file).alias("_file"), F.col(row).alias("_row"))
+    placed, narrow, columns = located(docs, "doc_id", "text")
     dropped = _grouped(narrow, digest, files_per_batch).filter(~F.col("kept"))
-    dropped = dropped.select(F.col("_file").alias(file), F.col("_row").alias(row))
-    return located.join(dropped, [file, row], "left_anti").select(*docs.columns)
+    return placed.join(dropped.select(*LOCATOR).toDF(*columns), columns, "left_anti").select(*docs.columns)

@@ -10,6 +10,14 @@ from pyspark.sql import functions as F
 from signalsieve.llm.common import documents
 from signalsieve.llm.exact_dedup import group_copies
 from signalsieve.llm.mixing import mix
+from signalsieve.llm.quality import judge
+
+
+def op4_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of each document."""
+    return judge(documents(spark, sf_dir)).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance"
+    )
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,4 +33,4 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_exact_dedup, op10_source_mix)}
+    return {f.__name__: f for f in (op4_quality_outliers, op6_exact_dedup, op10_source_mix)}
