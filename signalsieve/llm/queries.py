@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from signalsieve.llm.common import documents
 from signalsieve.llm.exact_dedup import group_copies
+from signalsieve.llm.licenses import scan
 from signalsieve.llm.mixing import mix
 from signalsieve.llm.quality import judge
 
@@ -27,10 +28,25 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences named in each document."""
+    starts = F.transform("base_starts", lambda x: x["start"])
+    return scan(documents(spark, sf_dir)).select(
+        "doc_id",
+        "n_words",
+        F.size("base_starts").cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        F.array_join("base_labels", ",").alias("base_labels"),
+        F.array_join("labels", ",").alias("labels"),
+        "score",
+    )
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of each document a mix of all sources takes."""
     return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_quality_outliers, op6_exact_dedup, op10_source_mix)}
+    return {f.__name__: f for f in (op4_quality_outliers, op6_exact_dedup, op9_license_scan, op10_source_mix)}
