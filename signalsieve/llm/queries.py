@@ -12,6 +12,13 @@ from signalsieve.llm.exact_dedup import group_copies
 from signalsieve.llm.licenses import scan
 from signalsieve.llm.mixing import mix
 from signalsieve.llm.quality import judge
+from signalsieve.llm.simhash_dedup import hex_print, near_duplicates
+
+
+def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of each document."""
+    groups = near_duplicates(documents(spark, sf_dir).select("doc_id", "text"))
+    return groups.select("doc_id", hex_print().alias("fingerprint"), "component_id")
 
 
 def op4_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,4 +56,4 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_quality_outliers, op6_exact_dedup, op9_license_scan, op10_source_mix)}
+    return {f.__name__: f for f in (op2_simhash_near_dedup, op4_quality_outliers, op6_exact_dedup, op9_license_scan, op10_source_mix)}
