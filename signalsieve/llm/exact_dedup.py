@@ -21,7 +21,9 @@ _SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
-    "spark.sql.streaming.metricsEnabled": "false",
+    # A store is closed when its task is done: batches are few and large, and an open store holds
+    # some MB of disk whatever its size.
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
 }
 
 def sha256(text: Column) -> Column:
