@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from signalsieve.llm.bpe import encode_documents
 from signalsieve.llm.common import documents
 from signalsieve.llm.exact_dedup import group_copies
 from signalsieve.llm.licenses import scan
@@ -28,6 +30,27 @@ def op4_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def vocabulary(name: str = "word_bpe_49k.json") -> str:
+    """The text of a public tokenizer's file."""
+    with open(public_tokenizers.path(name), encoding="utf-8") as file:
+        return file.read()
+
+
+def digests(encoded: DataFrame) -> DataFrame:
+    """Counts and digests of encoded documents."""
+    return encoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document encoded and decoded."""
+    return digests(encode_documents(documents(spark, sf_dir).select("doc_id", "text"), vocabulary()))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The group of equal texts of each document."""
     return group_copies(documents(spark, sf_dir)).select(
@@ -56,4 +79,4 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash_near_dedup, op4_quality_outliers, op6_exact_dedup, op9_license_scan, op10_source_mix)}
+    return {f.__name__: f for f in (op2_simhash_near_dedup, op4_quality_outliers, op5_bpe, op6_exact_dedup, op9_license_scan, op10_source_mix)}
