@@ -15,6 +15,7 @@ from signalsieve.llm.licenses import scan
 from signalsieve.llm.mixing import mix
 from signalsieve.llm.quality import judge
 from signalsieve.llm.simhash_dedup import hex_print, near_duplicates
+from signalsieve.llm.token_files import read_token_files, write_token_files
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +24,12 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", hex_print().alias("fingerprint"), "component_id")
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, length and checksum of each document in token files written and read back."""
+    path = write_token_files(documents(spark, sf_dir), vocabulary(), end=2)
+    return read_token_files(spark, path, digest=True)
+
+
 def op4_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of each document."""
     return judge(documents(spark, sf_dir)).select(
@@ -79,4 +86,4 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash_near_dedup, op4_quality_outliers, op5_bpe, op6_exact_dedup, op9_license_scan, op10_source_mix)}
+    return {f.__name__: f for f in (op2_simhash_near_dedup, op3_token_files, op4_quality_outliers, op5_bpe, op6_exact_dedup, op9_license_scan, op10_source_mix)}
