@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 import public_tokenizers
@@ -14,6 +15,7 @@ from signalsieve.llm.exact_dedup import group_copies
 from signalsieve.llm.licenses import scan
 from signalsieve.llm.mixing import mix
 from signalsieve.llm.quality import judge
+from signalsieve.llm.separator_scan import token_counts
 from signalsieve.llm.simhash_dedup import hex_print, near_duplicates
 from signalsieve.llm.token_files import read_token_files, write_token_files
 
@@ -65,6 +67,13 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each document, counted in flat token files."""
+    spec = vocabulary()
+    end = json.loads(spec)["added_tokens"][-1]["id"]
+    return token_counts(documents(spark, sf_dir), spec, end)
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licences named in each document."""
     starts = F.transform("base_starts", lambda x: x["start"])
@@ -86,4 +95,4 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash_near_dedup, op3_token_files, op4_quality_outliers, op5_bpe, op6_exact_dedup, op9_license_scan, op10_source_mix)}
+    return {f.__name__: f for f in (op2_simhash_near_dedup, op3_token_files, op4_quality_outliers, op5_bpe, op6_exact_dedup, op7_token_counts, op9_license_scan, op10_source_mix)}
