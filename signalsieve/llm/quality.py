@@ -135,6 +135,13 @@ def _bin(distance2: Column) -> Column:
     return F.floor(16 * F.log2(distance2 + F.lit(2.0**-10))).cast("int")
 
 
+def _binned(rows: DataFrame, *sums: Column) -> DataFrame:
+    """``sums`` per group and bin. The two are one key, so that what the tasks have summed for a
+    large group meets bin by bin and not all in one place."""
+    at = F.struct("group", _bin(_distance2()).alias("bin")).alias("_at")
+    return rows.groupBy(at).agg(*sums).withColumns({"group": F.col("_at.group"), "bin": F.col("_at.bin")}).drop("_at")
+
+
 def _start(rows: DataFrame) -> DataFrame:
     """Medians and quartile distances, without correlations. Exact: values are few whole numbers."""
     quarters = rows.groupBy("group").agg(*(F.percentile(c, [0.25, 0.5, 0.75]).alias(f"q{i}") for i, c in enumerate(FEATURES)))
@@ -147,14 +154,11 @@ def _start(rows: DataFrame) -> DataFrame:
 def _concentrate(rows: DataFrame, estimate: DataFrame, inner: float) -> DataFrame:
     """One concentration step: the estimate from the share ``inner`` of nearest rows per group."""
     pairs = [(i, j) for i in range(P) for j in range(i + 1)]
-    bins = (
-        rows.join(estimate, "group")
-        .groupBy("group", _bin(_distance2()).alias("bin"))
-        .agg(
-            F.count("*").alias("n"),
-            *(F.sum(c).alias(f"s{i}") for i, c in enumerate(FEATURES)),
-            *(F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"p{i}{j}") for i, j in pairs),
-        )
+    bins = _binned(
+        rows.join(estimate, "group"),
+        F.count("*").alias("n"),
+        *(F.sum(c).alias(f"s{i}") for i, c in enumerate(FEATURES)),
+        *(F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"p{i}{j}") for i, j in pairs),
     )
     # A few hundred bins per group at most.
     nearer = Window.partitionBy("group").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
@@ -172,7 +176,7 @@ def _concentrate(rows: DataFrame, estimate: DataFrame, inner: float) -> DataFram
 
 def _scale(rows: DataFrame, estimate: DataFrame) -> DataFrame:
     """Adds ``scale`` per group: what brings the median distance to that of a normal vector."""
-    bins = rows.join(estimate, "group").groupBy("group", _bin(_distance2()).alias("bin")).agg(F.count("*").alias("n"))
+    bins = _binned(rows.join(estimate, "group"), F.count("*").alias("n"))
     nearer = Window.partitionBy("group").orderBy("bin")
     median = (
         bins.withColumn("_upto", F.sum("n").over(nearer))
