@@ -18,6 +18,12 @@ from signalsieve.llm.quality import judge
 from signalsieve.llm.separator_scan import token_counts
 from signalsieve.llm.simhash_dedup import hex_print, near_duplicates
 from signalsieve.llm.token_files import read_token_files, write_token_files
+from signalsieve.llm.toxicity import toxicity
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How toxic each document is."""
+    return toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,4 +101,4 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash_near_dedup, op3_token_files, op4_quality_outliers, op5_bpe, op6_exact_dedup, op7_token_counts, op9_license_scan, op10_source_mix)}
+    return {f.__name__: f for f in (op1_toxicity, op2_simhash_near_dedup, op3_token_files, op4_quality_outliers, op5_bpe, op6_exact_dedup, op7_token_counts, op9_license_scan, op10_source_mix)}
