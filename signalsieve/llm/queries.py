@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from signalsieve.llm.bpe import encode_documents
 from signalsieve.llm.common import documents
 from signalsieve.llm.exact_dedup import group_copies
+from signalsieve.llm.language_crf import language_ids
 from signalsieve.llm.licenses import scan
 from signalsieve.llm.mixing import mix
 from signalsieve.llm.quality import judge
@@ -80,6 +81,11 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), spec, end)
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of each document."""
+    return language_ids(documents(spark, sf_dir))
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licences named in each document."""
     starts = F.transform("base_starts", lambda x: x["start"])
@@ -101,4 +107,4 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_simhash_near_dedup, op3_token_files, op4_quality_outliers, op5_bpe, op6_exact_dedup, op7_token_counts, op9_license_scan, op10_source_mix)}
+    return {f.__name__: f for f in (op1_toxicity, op2_simhash_near_dedup, op3_token_files, op4_quality_outliers, op5_bpe, op6_exact_dedup, op7_token_counts, op8_language_id, op9_license_scan, op10_source_mix)}

@@ -213,7 +213,7 @@ def toxicity(
     picked = known.filter("label = 1").orderBy(*order).limit(rows_per_class).union(known.filter("label = 0").orderBy(*order).limit(rows_per_class))
     # As many ids as the bound allows, so their table is small enough to send to the documents.
     sample = written(picked.coalesce(1), "sample")
-    model = fit(docs.select("doc_id", "text").join(sample, "doc_id").select("text", "label"), rows_per_class)
+    model = fit(docs.select("doc_id", "text").join(sample, "doc_id").dropDuplicates(["doc_id", "text"]).select("text", "label"), rows_per_class)
     return score(docs.select("doc_id", "text"), model).select(
         "doc_id", F.coalesce(remainder("doc_id", of) == out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
     )
