@@ -98,10 +98,11 @@ def _start(label: str):
 
 
 def _index(templates: Sequence[Template], frequency: dict[str, int], anchors: int) -> dict[str, list[tuple[int, int]]]:
-    """Postings (template, place) of the ``anchors`` rarest words of each template."""
+    """Postings (template, place) of the ``anchors`` rarest words of each template, among those of
+    its mandatory phrases: a file without them is none of its files."""
     postings: dict[str, list[tuple[int, int]]] = {}
     for t, template in enumerate(templates):
-        rare = sorted(set(template.text.split()), key=lambda w: (frequency[w], w))[:anchors]
+        rare = sorted({w for phrase in template.mandatory for w in phrase.split()}, key=lambda w: (frequency[w], w))[:anchors]
         for place, word in enumerate(template.text.split()):
             if word in rare:
                 postings.setdefault(word, []).append((t, place))
@@ -188,7 +189,7 @@ def scan(
     """
     if not templates or not base:
         raise ValueError("at least one base phrase and one template are needed")
-    if agree > anchors or any(len(set(t.text.split())) < agree for t in templates):
+    if agree > anchors or any(len({w for p in t.mandatory for w in p.split()}) < agree for t in templates):
         raise ValueError("a template needs as many rare words as have to agree")
     vocabulary = {w for t in templates for w in t.text.split()}
     frequency = document_frequency(docs, sorted(vocabulary))

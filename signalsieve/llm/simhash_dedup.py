@@ -260,7 +260,9 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, **options) -> DataFra
     through others, and component_id is the smallest doc_id reachable. A null, empty or blank text
     has fingerprint zero and is linked like any other. Rows with equal fingerprints are one point.
     Rows without doc_id take their component from others with that fingerprint, or have none.
+    Columns named print or component_id are replaced. An empty table gives an empty result.
     """
+    docs = docs.select(*(c for c in docs.columns if c.lower() not in ("print", "component_id")))
     prints = written(fingerprints(docs), "prints")
     points = written(
         prints.filter(F.col("doc_id").isNotNull()).groupBy("print").agg(F.min("doc_id").cast("long").alias("node")), "points"
@@ -280,7 +282,7 @@ def without_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one row of each component, that of the smallest doc_id, in its own columns."""
     placed, narrow, names = located(docs, "doc_id", "text")
     rows = written(near_duplicates(narrow, **options).drop("print"), "near")
-    first = rows.groupBy("component_id").agg(F.min(F.struct("doc_id", *LOCATOR)).alias("_first"))
+    first = rows.groupBy("component_id").agg(F.min(F.struct(F.isnull("doc_id").alias("_no"), "doc_id", *LOCATOR)).alias("_first"))
     here = F.col("_file").eqNullSafe(F.col("_first._file")) & F.col("_row").eqNullSafe(F.col("_first._row"))
     dropped = rows.filter(F.col("component_id").isNotNull()).join(first, "component_id").filter(~here)
     return placed.join(dropped.select(*LOCATOR).toDF(*names), names, "left_anti").select(*docs.columns)
