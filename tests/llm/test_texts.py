@@ -155,7 +155,8 @@ def test_licences(spark, no_docs):
     assert scan(no_docs).count() == 0
 
 
-def test_licence_scan_shuffles_nothing(edge_docs):
+def test_licence_scan_shuffles_nothing(spark, edge_rows):
+    edge_docs = make(spark, edge_rows)
     plan = scan(edge_docs)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
     assert scan(edge_docs).filter(F.col("score") > 0).count() == 0
