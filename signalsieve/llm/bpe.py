@@ -3,7 +3,7 @@
 A word's symbols form a doubly linked list; a priority queue holds the ranks of adjacent pairs. The
 best pair is merged and its new neighbours are queued; entries whose pair is gone are skipped when
 they come up. Decoding joins the vocabulary's strings. Words repeat, so each worker keeps those
-seen lately with their ids, in two generations of bounded size.
+seen lately with their ids and strings, in caches of bounded size.
 """
 
 from __future__ import annotations
@@ -11,41 +11,16 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-import unicodedata
 from collections.abc import Callable, Iterator
 from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 
 from signalsieve.llm.common import importable
-
-#: Words per generation of the cache, and the longest word that is kept there.
-CACHE_WORDS = 250_000
-CACHE_LENGTH = 64
-
-# --- Fixed values: the patterns of the vocabulary's pre-tokenizer and of white space ---
-
-_ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
-_SPACE = r"\t-\r \x85\xa0  -     　"
-WORDS = regex.compile(rf"{_ENDINGS}|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+")
-
-# --- End of fixed values ---
-
-# The same for texts of the first 256 characters.
-_LETTERS, _NUMBERS = "a-zA-ZªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼-¾"
-WORDS_LATIN = re.compile(rf"{_ENDINGS}|[{_LETTERS}]+|[{_NUMBERS}]|[^\t-\r \x85\xa0{_LETTERS}{_NUMBERS}]+")
-
-
-def byte_characters() -> list[str]:
-    """The printable character that stands for each byte: itself where it is printable in Latin-1,
-    else the next free one from U+0100 on."""
-    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    spare = iter(range(256, 512))
-    return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
-
+from signalsieve.llm.token_ids import Cache, pieces_of
+from signalsieve.llm.words import byte_characters, has_known_patterns, split_words
 
 class Bpe:
     """One vocabulary, from the text of its file."""
@@ -53,8 +28,8 @@ class Bpe:
     def __init__(self, spec: str):
         parsed = json.loads(spec)
         model = parsed["model"]
-        if model["type"] != "BPE" or model.get("byte_fallback") or parsed.get("decoder") is not None:
-            raise ValueError("not a byte-level BPE with word ends")
+        if not has_known_patterns(parsed) or parsed.get("decoder") is not None:
+            raise ValueError("not a byte-level BPE with the words known here")
         vocabulary: dict[str, int] = model["vocab"]
         self.strings = {i: s for s, i in vocabulary.items()}
         self.special = {t["content"]: t["id"] for t in parsed["added_tokens"]}
@@ -67,8 +42,7 @@ class Bpe:
         self.inner = [vocabulary.get(c) for c in characters]
         self.last = [vocabulary.get(c + end) for c in characters]
         self._special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        self._young: dict[str, tuple[bytes, str]] = {}
-        self._old: dict[str, tuple[bytes, str]] = {}
+        self._words, self._pieces = Cache(self._word), Cache(self._piece)
 
     def encode_word(self, word: str) -> list[int]:
         """Ids of one word of the pre-tokenizer."""
@@ -112,46 +86,35 @@ class Bpe:
         return " ".join([self.strings[i] for i in ids])
 
     def _word(self, word: str) -> tuple[bytes, str]:
-        found = self._old.get(word)
-        if found is None:
-            ids = self.encode_word(word)
-            found = (np.array(ids, dtype="<i4").tobytes(), self.decode(ids))
-        if len(word) <= CACHE_LENGTH:
-            if len(self._young) >= CACHE_WORDS:
-                self._old, self._young = self._young, {}
-            self._young[word] = found
-        return found
-
-    def split(self, text: str) -> list[str]:
-        """Words of a text without special tokens: composed, in lower case, without white space."""
-        try:
-            text.encode("latin-1")
-            return WORDS_LATIN.findall(text.lower())
-        except UnicodeEncodeError:
-            # Case is folded character by character: a sigma at a word's end is like any other.
-            return WORDS.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
-
-    def pieces(self, text: str) -> list[tuple[bytes, str]]:
-        """Ids (as bytes) and decoded string of each word and special token."""
-        if self._special is not None and "<" in text:
-            parts = self._special.split(text)
-        else:
-            parts = [text]
+        ids = self.encode_word(word)
+        return np.array(ids, dtype="<i4").tobytes(), self.decode(ids)
+
+    def _piece(self, piece: str) -> tuple[bytes, str]:
+        """Ids (as bytes) and decoded string of a run without white space."""
+        parts = self._special.split(piece) if self._special is not None and "<" in piece else [piece]
         out: list[tuple[bytes, str]] = []
         for k, part in enumerate(parts):
             if k % 2:
                 out.append((np.array([self.special[part]], dtype="<i4").tobytes(), part))
-                continue
-            words = self.split(part)
-            young = self._young
-            found = [young.get(w) for w in words]
-            if None in found:
-                found = [f if f is not None else self._young.get(w) or self._word(w) for w, f in zip(words, found)]
-            out += found
+            else:
+                words = split_words(part)
+                known = self._words.knowing([words])
+                out += [known[w] for w in words]
+        return b"".join([x[0] for x in out]), " ".join([x[1] for x in out])
+
+    def encode_texts(self, texts: list[str | None]) -> list[tuple[bytes, str]]:
+        """Ids (as bytes) and decoded string of each text."""
+        split = [pieces_of(t) for t in texts]
+        known = self._pieces.knowing(split)
+        out = []
+        for pieces in split:
+            found = [known[p] for p in pieces]
+            # A piece may have no ids at all, and then no string either.
+            out.append((b"".join([x[0] for x in found]), " ".join([x[1] for x in found if x[0]])))
         return out
 
     def encode(self, text: str) -> list[int]:
-        return np.frombuffer(b"".join([p[0] for p in self.pieces(text)]), dtype="<i4").tolist()
+        return np.frombuffer(self.encode_texts([text])[0][0], dtype="<i4").tolist()
 
 
 _models: dict[str, Bpe] = {}
@@ -179,9 +142,8 @@ def _encoded_batches(spec) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
             kept = {n: batch.column(n) for n in batch.schema.names if n != "text"}
             texts = batch.column("text")
             for start in range(0, batch.num_rows, 256):
-                pieces = [model.pieces(t) if t else [] for t in texts.slice(start, 256).to_pylist()]
-                ids = list_array([b"".join([p[0] for p in doc]) for doc in pieces])
-                decoded = pa.array([" ".join([p[1] for p in doc]) for doc in pieces], pa.string())
+                coded = model.encode_texts(texts.slice(start, 256).to_pylist())
+                ids, decoded = list_array([c[0] for c in coded]), pa.array([c[1] for c in coded], pa.string())
                 yield pa.RecordBatch.from_arrays(
                     [*(c.slice(start, 256) for c in kept.values()), ids, decoded], names=[*kept, "ids", "decoded"]
                 )

@@ -50,7 +50,7 @@ class Codebook:
         self.codes = np.zeros(len(lengths), np.int64)
         self.codes[order] = starts >> (self.top - sizes)
         table = 1 << self.top
-        self.symbol, self.size = np.zeros(table, np.int64), np.ones(table, np.int64)
+        self.symbol, self.size = np.zeros(table, np.uint32), np.ones(table, np.uint8)
         self.symbol[: spans.sum()] = np.repeat(order, spans)
         self.size[: spans.sum()] = np.repeat(sizes, spans)
 
@@ -68,13 +68,16 @@ class Codebook:
         lengths = (bits + 7) // 8
         byte_starts = np.cumsum(lengths) - lengths
         offset = total[:-1] + np.repeat(byte_starts * 8 - total[ends - counts], counts)
-        at = offset >> 3
-        value = self.codes[numbers] << (24 - (offset & 7) - sizes)
-        room = int(lengths.sum()) + 3
-        out = np.zeros(room, np.float64)
-        for k, shift in enumerate((16, 8, 0)):
-            out += np.bincount(at + k, weights=(value >> shift) & 255, minlength=room)
-        data = out.astype(np.uint8).tobytes()
+        # Codes that start in one 32-bit word lie in its 64-bit window without touching: they add up.
+        word = offset >> 5
+        value = self.codes[numbers].astype(np.uint64) << (64 - (offset & 31) - sizes).astype(np.uint64)
+        out = np.zeros(int(lengths.sum()) // 4 + 2, np.uint64)
+        if len(word):
+            first = np.concatenate([[0], np.flatnonzero(np.diff(word)) + 1])
+            window = np.add.reduceat(value, first)
+            out[word[first]] += window >> np.uint64(32)
+            out[word[first] + 1] += window & np.uint64(0xFFFFFFFF)
+        data = out.astype(">u4").tobytes()
         run_start = np.repeat(ends - counts, counts)
         marked = (np.arange(len(numbers)) - run_start) % STRIDE == 0
         checkpoints = (offset - np.repeat(byte_starts * 8, counts))[marked]
@@ -82,10 +85,10 @@ class Codebook:
 
     def decode(self, data: bytes, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Numbers from ``counts`` codes at each of the bit offsets ``starts``, all side by side."""
-        raw = np.frombuffer(data + b"\0\0\0", np.uint8).astype(np.int64)
-        window = raw[:-2] << 16 | raw[1:-1] << 8 | raw[2:]
+        raw = np.frombuffer(data + b"\0\0\0", np.uint8).astype(np.uint32)
+        window = raw[:-2] << np.uint32(16) | raw[1:-1] << np.uint32(8) | raw[2:]
         ends = np.cumsum(counts)
-        out = np.empty(int(ends[-1]) if len(ends) else 0, np.int64)
+        out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint32)
         place, at, left = ends - counts, starts.astype(np.int64), counts.copy()
         order = np.argsort(-left, kind="stable")
         place, at, left = place[order], at[order], left[order]

@@ -42,15 +42,16 @@ def _flatten(spec, end: int, block_tokens: int) -> Callable:
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in values], names=["file", "part", "block", "tokens"])
 
         expected = -1
-        for batch in batches:
-            columns = (batch.column(c).to_pylist() for c in (*LOCATOR, "text"))
-            for at, place, text in zip(*columns):
+        slices = (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE))
+        for rows in slices:
+            ids = model.ids(rows.column("text").to_pylist())
+            for at, place, doc in zip(*(rows.column(c).to_pylist() for c in LOCATOR), ids):
                 if at != file or place != expected:
                     if held:
                         yield row(bytes(held))
                     file, part, block, held = at, place, 0, bytearray()
                 expected = place + 1
-                held += (model.ids(text) if text else b"") + stop
+                held += doc + stop
                 while len(held) >= size:
                     yield row(bytes(held[:size]))
                     del held[:size]

@@ -41,7 +41,7 @@ def _to_ids(spec, end: int) -> Callable:
         stop = np.array([end], model.kind).tobytes()
 
         def use(rows: pa.RecordBatch) -> pa.RecordBatch:
-            ids = [(model.ids(t) if t else b"") + stop for t in rows.column("text").to_pylist()]
+            ids = [i + stop for i in model.ids(rows.column("text").to_pylist())]
             return pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
         return each(batches, SLICE, use)

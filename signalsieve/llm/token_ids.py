@@ -1,21 +1,26 @@
 """Ids of whole texts by the ``tokenizers`` library, for the operators on token files.
 
 The library takes a text apart at white space before anything else, so a text's ids are those of
-its pieces between white space. Pieces repeat; each worker keeps the ids of those seen lately, in two
-generations of bounded size, and gives the library only new ones.
+its pieces between white space. Pieces repeat; each worker keeps what it knows of those seen lately, in
+two generations of bounded size, and only new ones go to the library.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from tokenizers import Tokenizer
 
-CACHE_PIECES = 300_000
+from signalsieve.llm.words import byte_characters, has_known_patterns, split_words
+
+#: Pieces per generation of a cache, and the longest one that is kept there.
+CACHE_PIECES = 500_000
 CACHE_LENGTH = 64
 
 #: Characters at which Python splits and the library does not.
@@ -23,6 +28,35 @@ _PYTHON_ONLY = re.compile("[\x1c-\x1f]")
 _WHITE = re.compile(r"[ \t-\r]+")
 
 
+def pieces_of(text: str | None) -> list[str]:
+    """Runs without white space."""
+    if not text:
+        return []
+    return text.split() if not _PYTHON_ONLY.search(text) else [p for p in _WHITE.split(text) if p]
+
+
+class Cache:
+    """``make(piece)`` of pieces seen lately."""
+
+    def __init__(self, make: Callable[[str], object]):
+        self.make = make
+        self.young: dict[str, object] = {}
+        self.old: dict[str, object] = {}
+        self.long: list[str] = []
+
+    def knowing(self, lists: list[list[str]]) -> dict[str, object]:
+        """A dictionary that has all these pieces, until the next call."""
+        for piece in self.long:
+            del self.young[piece]
+        if len(self.young) >= CACHE_PIECES:
+            self.old, self.young = self.young, {}
+        new = set(chain.from_iterable(lists)).difference(self.young)
+        old, make = self.old, self.make
+        self.young.update([(p, old[p] if p in old else make(p)) for p in new])
+        self.long = [p for p in new if len(p) > CACHE_LENGTH]
+        return self.young
+
+
 class LibraryIds:
     """A tokenizer from the text of its file, without truncation and padding."""
 
@@ -32,33 +66,31 @@ class LibraryIds:
         self.tokenizer.no_padding()
         self.tokenizer.encode_special_tokens = special_as_text
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4")
-        self._young: dict[str, bytes] = {}
-        self._old: dict[str, bytes] = {}
-
-    def _add(self, pieces: list[str]) -> dict[str, bytes]:
-        found, new = {}, []
-        for piece in pieces:
-            known = self._old.get(piece)
-            if known is None:
-                new.append(piece)
-            else:
-                found[piece] = known
-        for piece, encoding in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            found[piece] = np.array(encoding.ids, dtype=self.kind).tobytes()
-        if len(self._young) >= CACHE_PIECES:
-            self._old, self._young = self._young, {}
-        self._young.update({p: b for p, b in found.items() if len(p) <= CACHE_LENGTH})
-        return found
-
-    def ids(self, text: str) -> bytes:
-        """Ids of a text, as little-endian numbers of ``kind``."""
-        pieces = text.split() if not _PYTHON_ONLY.search(text) else [p for p in _WHITE.split(text) if p]
-        young = self._young
-        try:
-            return b"".join([young[p] for p in pieces])
-        except KeyError:
-            found = self._add(list({p for p in pieces if p not in young}))
-            return b"".join([young[p] if p in young else found[p] for p in pieces])
+        # With the patterns that are known here, the library's model gets words at once.
+        self.by_words = has_known_patterns(json.loads(spec))
+        special = [] if special_as_text else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self._special = re.compile("|".join(map(re.escape, special))) if special else None
+        self._letters = dict(enumerate(byte_characters()))
+        self._words = Cache(self._word)
+        self._pieces = Cache(self._piece)
+
+    def _word(self, word: str) -> bytes:
+        if not word.isascii():
+            word = word.encode("utf-8", "surrogatepass").decode("latin-1")
+        return np.array([t.id for t in self.tokenizer.model.tokenize(word.translate(self._letters))], self.kind).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        if not self.by_words or self._special is not None and self._special.search(piece):
+            return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, self.kind).tobytes()
+        words = split_words(piece)
+        known = self._words.knowing([words])
+        return b"".join([known[w] for w in words])
+
+    def ids(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text, as little-endian numbers of ``kind``; none for a null text."""
+        split = [pieces_of(t) for t in texts]
+        get = self._pieces.knowing(split).__getitem__
+        return [b"".join(map(get, pieces)) for pieces in split]
 
 
 _models: dict[tuple, LibraryIds] = {}
