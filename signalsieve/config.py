@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from typing import NamedTuple
 
 
@@ -125,15 +125,6 @@ PLAN_DEFAULTS = {
     "success": "",
 }
 
-# Kinds of public source a signal may come from.
-SOURCE_TYPES = (
-    "forum",
-    "social_post",
-    "product_review",
-    "issue_or_feature_request",
-    "company_page",
-    "tool_request_or_directory",
-)
 BLOCKED_SOURCE_TYPES = (
     "private_group",
     "gated_community",
@@ -163,7 +154,7 @@ SEED_LEXICON = [
 ]
 
 # A lexicon list up to this length is matched inside each row; a longer one, or a
-# DataFrame of any length, is matched by an equi-join on word n-grams.
+# DataFrame of any length, is matched by an equi-join on words, with the same results.
 MAX_INLINE_PHRASES = 64
 
 DISCUSSION_SOURCES = ("forum", "social_post", "issue_or_feature_request")
@@ -203,4 +194,3 @@ class ScoringConfig:
     evidence_per_signal: float = 0.5
     evidence_base: float = 0.0
     default_reliability: int = 50  # percent, for a source type without a policy row
-    buckets: tuple[str, ...] = field(default=BUCKETS)

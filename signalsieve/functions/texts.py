@@ -96,23 +96,6 @@ def has_any_phrase(text: Column | str, phrases: Sequence[str]) -> Column:
     return once(words_if(text, may_have_any(phrases)), any_of)
 
 
-def word_ngrams(words: Column, longest: int) -> Column:
-    """Distinct runs of 1 to ``longest`` words in the result of :func:`words_of`, as an array."""
-
-    def grams(tokens: Column) -> Column:
-        runs = [tokens]
-        for n in range(2, longest + 1):
-            # Runs of n words are runs of n - 1 with the word n - 1 places on; past the end there
-            # is no such word and the run is NULL.
-            following = F.slice(tokens, F.lit(n), F.size(tokens))
-            runs.append(
-                F.zip_with(runs[-1], following, lambda run, word: F.concat(run, F.lit(" "), word))
-            )
-        return F.array_distinct(F.array_compact(F.concat(*runs)) if longest > 1 else tokens)
-
-    return once(F.split(F.trim(words), " "), grams)
-
-
 _NOT_BLANK = r"[^\s\p{Z}]"
 
 

@@ -34,11 +34,14 @@ def safe_url(url: Column | str) -> Column:
 
 
 def url_host(url: Column | str) -> Column:
-    """Lower-case host without port, user part, ``www.`` or ``m.``; NULL for an invalid URL."""
+    """Lower-case host without port, user part, ``www.`` or ``m.``; NULL for an invalid URL.
+
+    A first label stays where only one other would be left: ``m.com`` is a host of its own.
+    """
     authority = F.regexp_extract(F.lower(trim_url(url)), r"^https?://([^/?#]*)", 1)
     no_user = F.regexp_replace(authority, r"^.*@", "")
     no_port = F.regexp_replace(no_user, r":[0-9]*$", "")
-    return F.when(has_valid_url(url), F.regexp_replace(no_port, r"^(www|m)\.", ""))
+    return F.when(has_valid_url(url), F.regexp_replace(no_port, r"^(www|m)\.(?=[^.]+\.)", ""))
 
 
 def url_key(url: Column | str) -> Column:

@@ -30,12 +30,13 @@ def brief_readiness(briefs: DataFrame) -> DataFrame:
 
 
 def in_scope(
-    signals: DataFrame, briefs: DataFrame, not_before: dt.date | None = None
+    signals: DataFrame, briefs: DataFrame, not_before: dt.date | None = None, keep_old: bool = False
 ) -> DataFrame:
     """Signals within each product's language and time window, with age columns.
 
     ``briefs`` needs product_id, as_of, scope_months and, to filter by language, lang.
-    Undated signals stay and are marked stale. ``not_before`` is an optional
+    Undated signals stay and are marked stale; signals of unknown language stay.
+    With ``keep_old`` signals from before the window stay too, marked stale. ``not_before`` is an optional
     earliest date over all briefs; unlike the per-product window it reaches the file scan.
     """
     if not_before is not None:
@@ -49,12 +50,13 @@ def in_scope(
     joined = salted_join(
         signals, briefs.select(*wanted), ["product_id"], spread_on=["signal_id"]
     )
+    recent = F.col("signal_date") >= F.add_months("as_of", -F.col("scope_months"))
     keep = F.col("signal_date").isNull() | (
-        (F.col("signal_date") >= F.add_months("as_of", -F.col("scope_months")))
-        & (F.col("signal_date") <= F.col("as_of"))
+        (F.lit(keep_old) | recent) & (F.col("signal_date") <= F.col("as_of"))
     )
     if by_language:
-        keep = keep & (F.col("_brief_lang").isNull() | (F.col("lang") == F.col("_brief_lang")))
+        known = F.col("_brief_lang").isNotNull() & F.col("lang").isNotNull()
+        keep = keep & (~known | (F.col("lang") == F.col("_brief_lang")))
     return freshness(joined.filter(keep).drop("_brief_lang"))
 
 

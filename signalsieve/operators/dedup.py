@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from signalsieve.functions.texts import is_blank, name_key, text_key
-from signalsieve.functions.urls import url_host, url_key
+from signalsieve.functions.texts import is_blank, text_key
+from signalsieve.functions.urls import url_key
 from signalsieve.operators.skew import heavy_first_join
 
 
@@ -41,17 +41,19 @@ def dedup_signals(
     text: str | None = "text",
     url: str | None = "source_url",
 ) -> DataFrame:
-    """One signal per text, then one per page among those left; the earliest stays.
+    """One signal per text, then one per page and entity among those left; the earliest stays.
 
-    Texts are compared with white space and case folded, pages by :func:`url_key`. ``scope``
-    columns, such as product_id, keep equal signals of different scopes apart.
+    Texts are compared with white space and case folded, pages by :func:`url_key`. Signals of
+    different entities on one page, such as answers in a thread, are no copies of each other.
+    ``scope`` columns, such as product_id, keep equal signals of different scopes apart.
     """
     kept = signals
     for column, key in ((text, text_key), (url, url_key)):
         if column is not None and column in signals.columns:
             value = key(column)
-            if scope:
-                prefix = F.concat_ws("|", *(F.col(c).cast("string") for c in scope), F.lit(""))
+            apart = [*scope, *(["entity_key"] if key is url_key and "entity_key" in signals.columns else [])]
+            if apart:
+                prefix = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in apart), F.lit(""))
                 value = F.concat(prefix, value)  # NULL for a signal without a text or page
             kept = keep_first(kept, value, order_by)
     return kept
@@ -88,11 +90,6 @@ def copies_of(
     )
 
 
-def entity_key(name: Column | str, url: Column | str) -> Column:
-    """Normalised name, or the host of the source where no name is shown."""
-    return F.coalesce(name_key(name), url_host(url))
-
-
 def resolve_entities(signals: DataFrame, keys: Sequence[str] = ("product_id",)) -> DataFrame:
     """One row per entity with what its signals have in common; needs an ``entity_key`` column.
 

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from signalsieve.config import BUCKETS, MAX_INLINE_PHRASES, Phrase
 from signalsieve.functions.numbers import once
-from signalsieve.functions.texts import has_phrase, may_have_any, word_ngrams, words_if, words_of
+from signalsieve.functions.texts import has_phrase, may_have_any, words_if, words_of
 from signalsieve.operators.skew import salted_join
 
 _LEXICON = T.StructType(
@@ -20,7 +20,6 @@ _LEXICON = T.StructType(
         T.StructField("lang", T.StringType()),
     ]
 )
-MAX_PHRASE_WORDS = 8
 MAX_FOLDED_TERMS = 1000
 
 
@@ -53,58 +52,65 @@ def bucket_array(text: Column, phrases: Sequence[Phrase], lang: Column | None =
 def classify(signals: DataFrame, phrases: Sequence[Phrase], text: str = "text") -> DataFrame:
     """Adds ``buckets``: every bucket whose phrases occur in the text, matched in the row.
 
-    One pass over the text and no shuffle; texts without the letters of any phrase are not
+    A list of over ``MAX_INLINE_PHRASES`` phrases is joined instead, with the same result. Else one
+    pass over the text and no shuffle; texts without the letters of any phrase are not
     even split into words. Phrases with a language match only signals of that language, if
     ``signals`` has a ``lang`` column.
     """
     if len(phrases) > MAX_INLINE_PHRASES:
-        raise ValueError("use classify_with_lexicon() with a lexicon DataFrame for this many phrases")
+        return classify_with_lexicon(signals, lexicon_frame(signals.sparkSession, phrases), text)
     lang = F.col("lang") if "lang" in signals.columns else None
     return signals.withColumn("buckets", bucket_array(F.col(text), phrases, lang))
 
 
-def _with_gram(table: DataFrame, max_words: int) -> DataFrame:
-    """Rows with a phrase, with its words as ``_gram``; a phrase that is too long is an error."""
-    too_long = F.raise_error(F.lit(f"a lexicon phrase has more than {max_words} words"))
-    gram = F.trim(words_of("phrase"))
-    return table.withColumn("_gram", gram).filter(F.col("_gram") != "").withColumn(
-        "_gram", F.when(F.size(F.split("_gram", " ")) <= max_words, F.col("_gram")).otherwise(too_long)
-    )
+def _anchored(table: DataFrame) -> DataFrame:
+    """Rows with a phrase, with its folded words as ``_phrase`` and the longest of them as ``_anchor``."""
+    words = F.split("_phrase", " ")
+    longest = F.array_max(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    folded = table.withColumn("_phrase", F.trim(words_of("phrase"))).filter(F.col("_phrase") != "")
+    return folded.withColumn("_anchor", longest)
 
 
-def _gram_hits(
-    signals: DataFrame, entries: DataFrame, keep: Sequence[str], on: Sequence[str], text: str, max_words: int
+def _anchor_hits(
+    signals: DataFrame, entries: DataFrame, keep: Sequence[str], on: Sequence[str], text: str
 ) -> DataFrame:
-    """Entries whose ``_gram`` occurs in the text of a signal with equal ``on`` columns."""
-    grams = signals.select(
+    """Entries whose ``_phrase`` occurs in the text of a signal with equal ``on`` columns.
+
+    The distinct words of a text meet the one anchor word of each phrase by equality. Phrases of a
+    single word are found by that; longer ones are looked for in the folded text of the few
+    signals that have their anchor. Phrases and lexicons may be of any length.
+    """
+    key = ["signal_id", *on]
+    anchors = signals.select(
         "signal_id",
         *keep,
         # The outer form keeps Spark from adding a filter that would split each text twice.
-        F.explode_outer(word_ngrams(words_of(text), max_words)).alias("_gram"),
+        F.explode_outer(F.array_distinct(F.split(F.trim(words_of(text)), " "))).alias("_anchor"),
     )
-    return salted_join(grams, entries, [*on, "_gram"], spread_on=["signal_id"])
+    met = salted_join(anchors, entries, [*on, "_anchor"])
+    texts = signals.select(*key, words_of(text).alias("_words"))
+    longer = met.filter(F.col("_phrase") != F.col("_anchor")).join(texts, key)
+    stands = F.contains("_words", F.concat(F.lit(" "), "_phrase", F.lit(" ")))
+    return met.filter(F.col("_phrase") == F.col("_anchor")).unionByName(longer.filter(stands).drop("_words"))
 
 
 def phrase_hits(
     signals: DataFrame,
     lexicon: DataFrame,
     text: str = "text",
-    max_words: int = MAX_PHRASE_WORDS,
 ) -> DataFrame:
     """One row per (signal_id, bucket, phrase) found, for lexicons of any length.
 
-    Each text becomes its distinct word n-grams, which meet the lexicon by equality. A short
-    lexicon is broadcast by Spark itself and the texts then stay where they are; a long one
-    is shuffled with salted keys, as common words occur in most texts. ``max_words`` is the
-    length of the longest phrase; a longer one would be missed, so it fails the query.
+    Each text becomes its distinct words, which meet one word of each phrase by equality. A short
+    lexicon is broadcast by Spark itself and the texts then stay where they are.
     """
     entries = (
-        _with_gram(lexicon, max_words)
-        .select("bucket", "phrase", F.col("lang").alias("_lang"), "_gram")
+        _anchored(lexicon)
+        .select("bucket", "phrase", F.col("lang").alias("_lang"), "_phrase", "_anchor")
         .distinct()
     )
     has_lang = "lang" in signals.columns
-    hits = _gram_hits(signals, entries, ["lang"] if has_lang else [], [], text, max_words)
+    hits = _anchor_hits(signals, entries, ["lang"] if has_lang else [], [], text)
     if has_lang:
         hits = hits.filter(F.col("_lang").isNull() | (F.col("_lang") == F.col("lang")))
     return hits.select("signal_id", "bucket", "phrase")
@@ -114,11 +120,10 @@ def classify_with_lexicon(
     signals: DataFrame,
     lexicon: DataFrame,
     text: str = "text",
-    max_words: int = MAX_PHRASE_WORDS,
     buckets: Sequence[str] = BUCKETS,
 ) -> DataFrame:
-    """:func:`classify` for a lexicon DataFrame; same result, by n-gram join."""
-    hits = phrase_hits(signals, lexicon, text, max_words)
+    """:func:`classify` for a lexicon DataFrame; same result, by a join on words."""
+    hits = phrase_hits(signals, lexicon, text)
     seen = hits.groupBy("signal_id").agg(
         *(F.bool_or(F.col("bucket") == b).alias(f"_b{i}") for i, b in enumerate(buckets))
     )
@@ -197,22 +202,23 @@ def match_icp(signals: DataFrame, icp_terms: DataFrame, text: str = "text") -> D
 
 
 def match_icp_by_join(
-    signals: DataFrame, icp_terms: DataFrame, text: str = "text", max_words: int = MAX_PHRASE_WORDS
+    signals: DataFrame, icp_terms: DataFrame, text: str = "text"
 ) -> DataFrame:
-    """:func:`match_icp` for any number of terms per product; same result, by n-gram join."""
-    entries = (
-        _with_gram(icp_terms.select("product_id", "phrase", "icp_role", "kind"), max_words).distinct()
-    )
-    hits = _gram_hits(signals, entries, ["product_id"], ["product_id"], text, max_words)
+    """:func:`match_icp` for any number of terms per product; same result, by a join on words.
+
+    A signal that stands under two products is matched with the terms of each.
+    """
+    entries = _anchored(icp_terms.select("product_id", "phrase", "icp_role", "kind")).distinct()
+    hits = _anchor_hits(signals, entries, ["product_id"], ["product_id"], text)
     fits = F.col("kind") != "disqualifier"
-    seen = hits.groupBy("signal_id").agg(
+    seen = hits.groupBy("signal_id", "product_id").agg(
         F.array_sort(F.collect_set(F.when(fits, F.col("phrase")))).alias("_fit"),
         F.count_if(fits & (F.col("icp_role") == "primary")).alias("_primary"),
         F.count_if(fits & (F.col("icp_role") == "adjacent")).alias("_adjacent"),
         F.bool_or(F.col("kind") == "trigger").alias("_trigger"),
         F.bool_or(~fits).alias("_struck"),
     )
-    return signals.join(seen, "signal_id", "left").select(
+    return signals.join(seen, ["signal_id", "product_id"], "left").select(
         *signals.columns,
         F.coalesce("_fit", F.array().cast("array<string>")).alias("fit_terms"),
         F.when((F.col("_primary") > 0) & (F.col("_primary") >= F.col("_adjacent")), F.lit("primary"))

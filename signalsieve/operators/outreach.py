@@ -11,6 +11,8 @@ from signalsieve.config import CHANNELS, DEFAULT_CHANNEL
 from signalsieve.functions.texts import opener_problems, word_count
 from signalsieve.operators.skew import salted_join
 
+# Most words of a cited title in an opener.
+TITLE_WORDS = 12
 # How a bucket is put into words in an opener.
 _PROBLEM = {
     "explicit_demand": "the search for a tool",
@@ -58,9 +60,15 @@ def draft_openers(prospects: DataFrame, briefs: DataFrame) -> DataFrame:
         problem = F.when(F.col("best_bucket") == bucket, F.lit(words)).otherwise(problem)
 
     def plain(name: str) -> Column:
-        # A cited title keeps its words; its question marks would add a second question.
+        # A cited text's question marks would add a second question.
         return F.trim(F.regexp_replace(F.coalesce(F.col(name), F.lit("")), r"[?\s]+", " "))
 
+    # A cited title keeps its first words: the opener has a limit.
+    words = F.split(plain("source_title"), " ")
+    title = F.when(F.size(words) <= TITLE_WORDS, plain("source_title")).otherwise(
+        F.concat(F.array_join(F.slice(words, 1, TITLE_WORDS), " "), F.lit(" ..."))
+    )
+
     facts = briefs.select("product_id", "product", "promised_outcome", "job_to_be_done")
     joined = salted_join(
         prospects.drop("product", "promised_outcome", "job_to_be_done"),
@@ -71,7 +79,7 @@ def draft_openers(prospects: DataFrame, briefs: DataFrame) -> DataFrame:
     )
     opener = F.concat_ws(
         " ",
-        F.format_string('I read your public post "%s".', plain("source_title")),
+        F.format_string('I read your public post "%s".', title),
         F.format_string("It touches %s, which is what we work on.", problem),
         F.format_string("%s helps to %s.", plain("product"), plain("promised_outcome")),
         F.format_string("How do you handle %s today?", plain("job_to_be_done")),

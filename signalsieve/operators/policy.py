@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from signalsieve.config import BLOCKED_SOURCE_TYPES, MAX_INLINE_PHRASES
+from signalsieve.config import BLOCKED_SOURCE_TYPES, MAX_INLINE_PHRASES, Phrase
 from signalsieve.functions.texts import contact_flags, has_any_phrase, redact_contacts
 from signalsieve.functions.urls import url_host, url_key
+from signalsieve.operators.matching import lexicon_frame, phrase_hits
 from signalsieve.operators.skew import salted_join
 
 
@@ -55,13 +56,15 @@ def exclude_sensitive(
 ) -> DataFrame:
     """Drops signals whose ground is a sensitive attribute.
 
-    ``terms`` is the caller's list of phrases, matched in the row; ``flagged`` is a table of
-    signal_id values marked elsewhere, for instance by phrase_hits() with a long term table.
+    ``terms`` is the caller's list of phrases, matched in the row or, if it is long, by a join;
+    ``flagged`` is a table of signal_id values marked elsewhere, for instance by phrase_hits().
     """
-    if len(terms) > MAX_INLINE_PHRASES:
-        raise ValueError("pass this many terms through phrase_hits() and `flagged`")
     kept = signals
-    if terms:
+    if len(terms) > MAX_INLINE_PHRASES:
+        lexicon = lexicon_frame(signals.sparkSession, [Phrase("sensitive", t) for t in terms])
+        found = phrase_hits(signals, lexicon, text).select("signal_id").distinct()
+        kept = kept.join(found, "signal_id", "left_anti")
+    elif terms:
         kept = kept.filter(~has_any_phrase(text, terms))
     if flagged is not None:
         kept = kept.join(flagged.select("signal_id").distinct(), "signal_id", "left_anti")
@@ -84,6 +87,57 @@ def require_original(signals: DataFrame, originals: DataFrame) -> DataFrame:
     return joined.filter(own | F.col("_read")).drop("_page", "_read")
 
 
+def drop_reasons(
+    signals: DataFrame,
+    briefs: DataFrame,
+    sensitive_terms: Sequence[str] = (),
+    blocked_types: Sequence[str] = BLOCKED_SOURCE_TYPES,
+    blocked_hosts: DataFrame | None = None,
+    originals: DataFrame | None = None,
+) -> DataFrame:
+    """Adds ``reason``, why a signal is not used, or NULL: the first that holds of ``source_type``,
+    ``sensitive``, ``host``, ``snippet`` (without a page in ``originals``), ``brief`` (no ready brief
+    for its product), ``language`` (known and not the brief's) and ``scope`` (dated after it).
+
+    ``briefs`` needs product_id, as_of and lang. The tables behind a reason are joined by the
+    signal's own key, so nothing but the flags is added to a row.
+    """
+    marked = signals.withColumn("_type", F.coalesce(F.col("source_type").isin(list(blocked_types)), F.lit(False)))
+    sensitive = F.lit(False)
+    if len(sensitive_terms) > MAX_INLINE_PHRASES:
+        lexicon = lexicon_frame(signals.sparkSession, [Phrase("sensitive", t) for t in sensitive_terms])
+        found = phrase_hits(signals, lexicon).select("signal_id").distinct().withColumn("_sensitive", F.lit(True))
+        marked = salted_join(marked, found, ["signal_id"], how="left")
+        sensitive = F.coalesce("_sensitive", F.lit(False))
+    elif sensitive_terms:
+        sensitive = has_any_phrase("text", sensitive_terms)
+    hosted = F.lit(False)
+    if blocked_hosts is not None:
+        hosts = blocked_hosts.select(F.lower("host").alias("_host")).distinct().withColumn("_hosted", F.lit(True))
+        marked = salted_join(marked.withColumn("_host", url_host("source_url")), hosts, ["_host"], how="left")
+        hosted = F.coalesce("_hosted", F.lit(False))
+    snippet = F.lit(False)
+    if originals is not None:
+        pages = originals.select(url_key("source_url").alias("_page")).filter("_page IS NOT NULL").distinct()
+        short = F.coalesce("is_snippet", F.lit(False))
+        marked = salted_join(
+            marked.withColumn("_page", F.when(short, url_key("source_url"))), pages.withColumn("_read", F.lit(True)), ["_page"], how="left"
+        )
+        snippet = short & F.col("_read").isNull()
+    wanted = briefs.select("product_id", F.col("as_of").alias("_as_of"), F.col("lang").alias("_lang"), F.lit(True).alias("_ready"))
+    marked = salted_join(marked, wanted, ["product_id"], how="left")
+    reason = (
+        F.when(F.col("_type"), "source_type")
+        .when(sensitive, "sensitive")
+        .when(hosted, "host")
+        .when(snippet, "snippet")
+        .when(F.col("_ready").isNull(), "brief")
+        .when(F.col("lang") != F.col("_lang"), "language")
+        .when(F.col("signal_date") > F.col("_as_of"), "scope")
+    )
+    return marked.withColumn("reason", reason).select(*signals.columns, "reason")
+
+
 def disqualified_entities(evidence: DataFrame, keys: Sequence[str] = ("product_id", "entity_key")) -> DataFrame:
     """Entities with at least one signal that hit a disqualifier of their product."""
     return evidence.filter("disqualified").select(*keys).distinct()

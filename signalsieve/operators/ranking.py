@@ -72,33 +72,37 @@ def rejections(prospects: DataFrame) -> DataFrame:
 def dropped_entities(
     signals: DataFrame, prospects: DataFrame, copies: DataFrame | None = None, keys: Sequence[str] = KEYS
 ) -> DataFrame:
-    """Entities whose signals all fell out before scoring, with the reason.
+    """Entities whose signals all fell out before scoring, with the reasons.
 
-    ``policy`` when every signal was blocked (``is_blocked``), ``duplicate`` when the others
-    were copies of an earlier signal (``copies`` from :func:`copies_of`), else ``no_signal``.
+    The signals' own ``reason`` values when every signal has one (``policy`` for a signal that is
+    only marked ``is_blocked``), ``duplicate`` when the others were copies of an earlier signal
+    (``copies`` from :func:`copies_of`), else ``no_signal``.
     """
     marked = signals
+    if "reason" not in signals.columns:
+        marked = marked.withColumn("reason", F.when(F.col("is_blocked"), F.lit("policy")))
     if copies is not None:
         marked = marked.join(
             copies.select("signal_id", F.lit(True).alias("_copy")), "signal_id", "left"
         )
     else:
         marked = marked.withColumn("_copy", F.lit(False))
-    blocked = F.coalesce("is_blocked", F.lit(False))
+    blocked = F.col("reason").isNotNull()
     entities = marked.groupBy(*keys).agg(
+        F.array_sort(F.collect_set("reason")).alias("_own"),
         F.bool_and(blocked).alias("_policy"),
         F.bool_and(blocked | F.coalesce("_copy", F.lit(False))).alias("_duplicate"),
     )
     reason = (
-        F.when(F.col("_policy"), F.lit("policy"))
-        .when(F.col("_duplicate"), F.lit("duplicate"))
-        .otherwise(F.lit("no_signal"))
+        F.when(F.col("_policy"), F.col("_own"))
+        .when(F.col("_duplicate"), F.array(F.lit("duplicate")))
+        .otherwise(F.array(F.lit("no_signal")))
     )
     # One row per entity on both sides by now.
     return (
         entities.join(prospects.select(*keys), list(keys), "left_anti")
-        .withColumn("reasons", F.array(reason))
-        .drop("_policy", "_duplicate")
+        .withColumn("reasons", reason)
+        .drop("_policy", "_duplicate", "_own")
     )
 
 

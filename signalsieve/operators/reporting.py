@@ -16,15 +16,19 @@ from signalsieve.config import (
 )
 from signalsieve.functions.dates import date_label
 from signalsieve.functions.numbers import clamp
-from signalsieve.functions.urls import has_valid_url
+from signalsieve.functions.urls import has_valid_url, safe_url
 
 
 def prospect_cards(shortlist: DataFrame) -> DataFrame:
     """Report columns of each shortlisted prospect.
 
     Rows need the shortlist columns, the best signal's source columns, ``suggested_channel`` and
-    ``opener``. All text is a template over cited facts.
+    ``opener``. All text is a template over cited facts. An opener that breaks a rule, by
+    ``passes``, is left out.
     """
+    opener = F.col("opener")
+    if "passes" in shortlist.columns:
+        opener = F.when(F.col("passes"), opener).otherwise("")
     ratings = F.struct(
         *(clamp(F.col(f"dimensions.{name}"), 5).alias(name) for name in DIMENSION_LABELS)
     )
@@ -47,7 +51,7 @@ def prospect_cards(shortlist: DataFrame) -> DataFrame:
         "source_type",
         date_label("signal_date").alias("signal_date"),
         "suggested_channel",
-        "opener",
+        opener.alias("opener"),
         F.lit(PROSPECT_DEFAULTS["caution"]).alias("caution"),
         ratings.alias("dimensions"),
     )
@@ -92,7 +96,7 @@ def build_reports(
         "product_id",
         F.lit(DOCUMENT_TITLE).alias("title"),
         "product",
-        "product_url",
+        safe_url("product_url").alias("product_url"),
         "target_customer",
         F.format_string("Public sources, language %s, last %d months", F.coalesce("lang", F.lit("any")), "scope_months").alias("search_scope"),
         F.col("as_of").cast("string").alias("generated_at"),
@@ -143,6 +147,7 @@ def validate_reports(reports: DataFrame) -> DataFrame:
         "within_mode_cap": F.greatest(F.lit(0), count - cap),
         "source_urls_valid": failing(lambda p: has_valid_url(p["source_url"])),
         "scores_in_range": failing(lambda p: p["score"].between(0, 100)),
+        "product_url_valid": F.when(has_valid_url("product_url"), 0).otherwise(1),
         "signals_present": failing(lambda p: F.length(p["pain_signal"]) > 0),
         "openers_present": failing(lambda p: F.length(p["opener"]) > 0),
         "sections_present": F.size(F.array_compact(F.array(*sections))),

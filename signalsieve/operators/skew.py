@@ -11,12 +11,8 @@ from pyspark.sql import functions as F
 
 # A heavy group beyond this many has at most one part in this many of all rows.
 HEAVIEST = 1000
-
-
-def _salts(df: DataFrame) -> int:
-    """A quarter of the shuffle partitions, between 4 and 64."""
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(4, min(64, partitions // 4))
+# Splits of 128 MB by Spark's default, so a table with fewer is small.
+SMALL_SPLITS = 8
 
 
 def salted_join(
@@ -29,18 +25,21 @@ def salted_join(
 ) -> DataFrame:
     """Equi-join of a large, possibly skewed table with one that is narrow and near-unique on ``on``.
 
-    Every dimension row is repeated ``salts`` times and a fact row meets one copy, picked by a
-    hash of ``spread_on``, so one hot key is spread over ``salts`` partitions, which adaptive
-    execution splits further where they are still large. The salt is a function of the row, not
-    a random number: a recomputed task puts every row where it was before. No broadcast is
-    forced; Spark picks one itself while the dimension is under
-    ``spark.sql.autoBroadcastJoinThreshold`` and shuffles both sides otherwise.
+    By default a plain join: Spark sends the dimension to the facts while its measured size is
+    under ``spark.sql.autoBroadcastJoinThreshold`` and shuffles both sides otherwise, where
+    adaptive execution splits the partitions of hot keys.
+
+    With ``salts``, for a hot key that has been measured, every dimension row is repeated so
+    often and a fact row meets one copy, picked by a hash of ``spread_on``. The salt is a
+    function of the row, so a recomputed task puts every row where it was. The copies are
+    shuffled and never broadcast, as their size is no longer the dimension's.
     """
     if how not in {"inner", "left", "left_semi", "left_anti"}:
         raise ValueError(f"salting keeps only the left side whole, so it cannot do {how!r}")
-    count = salts or _salts(facts)
-    copies = dimension.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
-    salt = F.pmod(F.xxhash64(*spread_on), F.lit(count)).cast("int")
+    if salts is None:
+        return facts.join(dimension, list(on), how)
+    copies = dimension.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).hint("merge")
+    salt = F.pmod(F.xxhash64(*spread_on), F.lit(salts)).cast("int")
     return facts.withColumn("_salt", salt).join(copies, [*on, "_salt"], how).drop("_salt")
 
 
@@ -66,14 +65,13 @@ def heavy_first_join(
 
 
 def spread_small(df: DataFrame, key: str) -> DataFrame:
-    """A table stored in fewer splits than there are cores, spread over the cores by ``key``.
+    """A table of under ``SMALL_SPLITS`` splits, spread over as many tasks by ``key``.
 
-    For work that is heavy per row, such as reading texts, on a table too small to fill the
-    cluster by itself. A table with enough splits stays exactly where it is, so nothing large
-    is ever shuffled for this. Filters and column pruning still reach the scan.
+    For work that is heavy per row, such as reading texts, on a table of about a gigabyte at
+    most, whatever the cluster. Any larger table stays exactly where it is. Filters and column
+    pruning still reach the scan.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(SMALL_SPLITS, key) if df.rdd.getNumPartitions() < SMALL_SPLITS else df
 
 
 def stable(df: DataFrame) -> DataFrame:

@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from signalsieve.config import Phrase, ScoringConfig
 from signalsieve.functions.urls import url_host
+from signalsieve.operators.briefs import freshness
 from signalsieve.operators.scoring import entity_profile, rate_prospects
 from signalsieve.operators.skew import salted_join, spread_small
 
 AS_OF = dt.date(2001, 8, 1)
-WINDOW_START = dt.date(2000, 8, 1)
 
 # Step sizes for orders as signals.
 ORDER_CONFIG = ScoringConfig(
@@ -65,13 +65,13 @@ def _priority_bucket() -> Column:
     return F.array_compact(F.array(*found))
 
 
-def order_signals(spark: SparkSession, sf_dir: str, whole_history: bool = False) -> DataFrame:
-    """Orders as dated signals of customers; the last twelve months unless told otherwise."""
+def order_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders as signals of customers: old ones are stale, those of status P have no date, and
+    every seventh has a URL that is no web page."""
     orders = table(spark, sf_dir, "orders")
-    if not whole_history:
-        orders = orders.filter(F.col("o_orderdate") >= F.lit(WINDOW_START).cast("timestamp_ntz"))
     status = F.col("o_orderstatus")
-    return orders.select(
+    scheme = F.when(F.col("o_orderkey") % 7 == 0, F.lit("ftp")).otherwise(F.lit("https"))
+    return freshness(orders.select(
         F.col("o_orderkey").alias("signal_id"),
         F.col("o_custkey").alias("entity_key"),
         F.when(status == "F", F.lit("forum"))
@@ -79,14 +79,13 @@ def order_signals(spark: SparkSession, sf_dir: str, whole_history: bool = False)
         .otherwise(F.lit("social_post"))
         .alias("source_type"),
         F.when(status == "F", F.lit(60)).when(status == "O", F.lit(90)).otherwise(F.lit(40)).alias("reliability"),
-        F.to_date("o_orderdate").alias("signal_date"),
+        F.when(status != "P", F.to_date("o_orderdate")).alias("signal_date"),
         _priority_bucket().alias("buckets"),
-        F.concat(F.lit("https://orders.example/"), F.col("o_orderkey").cast("string")).alias("source_url"),
+        F.concat(scheme, F.lit("://orders.example/"), F.col("o_orderkey").cast("string")).alias("source_url"),
         F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")).alias("source_title"),
         F.lit(AS_OF).alias("as_of"),
         F.lit(12).alias("scope_months"),
-        F.lit(False).alias("stale"),
-    )
+    )).drop("age_days")
 
 
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,21 +99,15 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def order_evidence(spark: SparkSession, sf_dir: str, whole_history: bool = False) -> DataFrame:
+def order_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order signals with their product and entity name."""
-    return salted_join(
-        order_signals(spark, sf_dir, whole_history),
-        customers(spark, sf_dir),
-        ["entity_key"],
-        spread_on=["signal_id"],
-        salts=4,  # customers are many, so only a few copies of each
-    )
+    return salted_join(order_signals(spark, sf_dir), customers(spark, sf_dir), ["entity_key"])
 
 
 def order_prospects(
     spark: SparkSession, sf_dir: str, config: ScoringConfig = ORDER_CONFIG
 ) -> DataFrame:
-    """One rated prospect per customer with a recent order.
+    """One rated prospect per customer with an order.
 
     Orders are aggregated by customer before customers are joined, so a customer with very
     many orders is one row by then and the join has unique keys on both sides.

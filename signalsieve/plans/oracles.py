@@ -26,17 +26,18 @@ _BUCKET = (
 )
 
 
-def _order_rows(name: str, where: str) -> str:
+def _order_rows(name: str) -> str:
     return f"""{name} AS (
   SELECT o_orderkey AS signal_id, o_custkey AS entity_key, {_SOURCE} AS source_type,
          CASE o_orderstatus WHEN 'F' THEN 60 WHEN 'O' THEN 90 ELSE 40 END AS reliability,
-         CAST(o_orderdate AS DATE) AS signal_date, {_BUCKET} AS bucket,
-         'https://orders.example/' || o_orderkey AS source_url, 'Order ' || o_orderkey AS source_title
-  FROM orders WHERE {where})"""
+         CASE WHEN o_orderstatus <> 'P' THEN CAST(o_orderdate AS DATE) END AS signal_date, {_BUCKET} AS bucket,
+         o_orderstatus = 'P' OR o_orderdate < TIMESTAMP '2000-08-01' AS stale, o_orderkey % 7 <> 0 AS linked,
+         CASE WHEN o_orderkey % 7 = 0 THEN 'ftp' ELSE 'https' END || '://orders.example/' || o_orderkey AS source_url,
+         'Order ' || o_orderkey AS source_title
+  FROM orders)"""
 
 
-_RECENT = _order_rows("ev", "o_orderdate >= TIMESTAMP '2000-08-01'")
-_HISTORY = _order_rows("hist", "TRUE")
+_ORDERS = _order_rows("ev")
 _CUSTOMERS = """cust AS (
   SELECT c_custkey AS entity_key, c_mktsegment AS product_id, c_name AS entity_name,
          c_nationkey < 12 AS is_company, c_acctbal < 0 AS is_disqualified
@@ -48,7 +49,8 @@ def _profile(source: str, keys: str) -> str:
     per_bucket = ", ".join(f"count(*) FILTER (bucket = '{b}') AS n_{b}" for b in BUCKETS)
     return f"""profile AS (
   SELECT {keys}, count(*) AS n_signals, {per_bucket}, count(bucket) AS n_observed,
-         count(DISTINCT source_type) AS n_channels, max(signal_date) AS newest,
+         count(bucket) FILTER (linked) AS n_linked, count(*) FILTER (signal_date IS NULL) AS n_undated,
+         count(*) FILTER (stale) AS n_stale, count(DISTINCT CASE WHEN linked THEN source_type END) AS n_channels, max(signal_date) AS newest,
          max(CASE WHEN bucket = 'timing' THEN signal_date END) AS newest_trigger,
          sum(reliability) AS reliability_sum, count(reliability) AS reliability_n,
          count(*) FILTER (source_type IN ('forum','social_post','issue_or_feature_request')) AS n_discussion
@@ -101,8 +103,8 @@ banded AS (
 
 _ORDER_RATED = _rated(pain=2.0, fit_base=1.0, bonus=0, reliability_weight=0.0, per_signal=1.0, base=1.0)
 _PROSPECTS = "pros AS (SELECT * FROM banded JOIN cust USING (entity_key))"
-_ORDER_PROSPECTS = (_RECENT, _CUSTOMERS, _profile("ev", "entity_key"), _ORDER_RATED, _PROSPECTS)
-_GATE = "n_observed >= 1 AND score >= 50 AND stage <> 'Potential fit'"
+_ORDER_PROSPECTS = (_ORDERS, _CUSTOMERS, _profile("ev", "entity_key"), _ORDER_RATED, _PROSPECTS)
+_GATE = "n_observed >= 1 AND n_linked >= 1 AND score >= 50 AND stage <> 'Potential fit'"
 _GATE_ALL = _GATE + " AND NOT is_disqualified"
 _TEN_BEST = f"""best AS (
   SELECT * FROM (
@@ -113,7 +115,7 @@ _add(
     "shortlist_by_product",
     f"""SELECT product_id, CAST(rank AS INTEGER) AS rank, entity_key, entity_name, score, band, stage FROM (
   SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY score DESC, timing DESC, entity_key) AS rank
-  FROM pros WHERE {_GATE}) WHERE rank <= 10""",
+  FROM pros WHERE {_GATE_ALL}) WHERE rank <= 10""",
     *_ORDER_PROSPECTS,
 )
 _RATINGS = "product_id, entity_key, n_signals, pain_strength, product_fit, timing, reachability, evidence_quality, score, band, stage, stage_class"
@@ -121,7 +123,7 @@ _add("prospect_ratings", f"SELECT {_RATINGS} FROM pros", *_ORDER_PROSPECTS)
 _add(
     "prospect_ratings_default",
     f"SELECT {_RATINGS} FROM pros",
-    _RECENT,
+    _ORDERS,
     _CUSTOMERS,
     _profile("ev", "entity_key"),
     _rated(),
@@ -131,7 +133,7 @@ _add(
     "resolved_customers",
     """SELECT product_id, entity_key, count(*) AS n_signals, count(DISTINCT source_type) AS n_source_types,
   min(signal_id) AS first_signal_id FROM ev JOIN cust USING (entity_key) GROUP BY product_id, entity_key""",
-    _RECENT,
+    _ORDERS,
     _CUSTOMERS,
 )
 _add(
@@ -176,7 +178,7 @@ _add(
 _add(
     "rejected_prospects",
     f"""SELECT product_id, entity_key, concat_ws(',',
-    CASE WHEN n_observed < 1 THEN 'no_signal' END, CASE WHEN n_observed < 1 THEN 'bad_url' END,
+    CASE WHEN n_observed < 1 THEN 'no_signal' END, CASE WHEN n_linked < 1 THEN 'bad_url' END,
     CASE WHEN score < 50 THEN 'low_score' END, CASE WHEN stage = 'Potential fit' THEN 'potential_fit' END,
     CASE WHEN is_disqualified THEN 'disqualified' END) AS reasons
   FROM pros WHERE NOT ({_GATE_ALL})""",
@@ -257,12 +259,15 @@ def _limits(source: str) -> str:
   SELECT product_id, coalesce(n_undated_prospects, 0) AS n_undated_prospects, coalesce(n_inferred_only, 0) AS n_inferred_only,
     coalesce(n_single_source, 0) AS n_single_source, coalesce(n_stale_only, 0) AS n_stale_only
   FROM products LEFT JOIN (
-    SELECT product_id, 0::BIGINT AS n_undated_prospects, count(*) FILTER (n_observed = 0) AS n_inferred_only,
-      count(*) FILTER (n_channels <= 1) AS n_single_source, 0::BIGINT AS n_stale_only
+    SELECT product_id, count(*) FILTER (n_undated > 0) AS n_undated_prospects, count(*) FILTER (n_observed = 0) AS n_inferred_only,
+      count(*) FILTER (n_channels <= 1) AS n_single_source, count(*) FILTER (n_stale = n_signals) AS n_stale_only
     FROM {source} GROUP BY product_id) USING (product_id)),
-limited AS (SELECT *, CASE WHEN n_inferred_only + n_single_source = 0 THEN '{DEFAULT_LIMIT}' ELSE concat_ws(' | ',
+limited AS (SELECT *, CASE WHEN n_undated_prospects + n_inferred_only + n_single_source + n_stale_only = 0
+    THEN '{DEFAULT_LIMIT}' ELSE concat_ws(' | ',
+    CASE WHEN n_undated_prospects > 0 THEN n_undated_prospects || ' prospects have a signal without a visible date.' END,
     CASE WHEN n_inferred_only > 0 THEN n_inferred_only || ' prospects rest on inference alone.' END,
-    CASE WHEN n_single_source > 0 THEN n_single_source || ' prospects rest on one kind of source.' END) END AS limits
+    CASE WHEN n_single_source > 0 THEN n_single_source || ' prospects rest on one kind of source.' END,
+    CASE WHEN n_stale_only > 0 THEN n_stale_only || ' prospects have only stale evidence.' END) END AS limits
   FROM noted)"""
 
 
@@ -272,24 +277,23 @@ _add("report_limits", "SELECT * FROM limited", *_ORDER_PROSPECTS, _PRODUCTS, _li
 
 _add(
     "signals_in_scope",
-    """SELECT signal_id, product_id, signal_date, CAST(DATE '2001-08-01' - signal_date AS INTEGER) AS age_days, FALSE AS stale
-  FROM hist JOIN cust USING (entity_key)
-  WHERE signal_date <= DATE '2001-08-01' AND signal_date >= CASE product_id
+    """SELECT signal_id, product_id, signal_date, CAST(DATE '2001-08-01' - signal_date AS INTEGER) AS age_days, signal_date IS NULL AS stale
+  FROM ev JOIN cust USING (entity_key)
+  WHERE signal_date IS NULL OR signal_date <= DATE '2001-08-01' AND signal_date >= CASE product_id
     WHEN 'AUTOMOBILE' THEN DATE '2001-05-01' WHEN 'BUILDING' THEN DATE '1999-08-01' ELSE DATE '2000-08-01' END""",
-    _HISTORY,
+    _ORDERS,
     _CUSTOMERS,
 )
 _add(
     "signal_freshness",
-    """SELECT signal_id, CASE WHEN source_type <> 'social_post' THEN CAST(DATE '2001-08-01' - signal_date AS INTEGER) END AS age_days,
-  source_type = 'social_post' OR signal_date < DATE '2000-08-01' AS stale FROM hist""",
-    _HISTORY,
+    "SELECT signal_id, CAST(DATE '2001-08-01' - signal_date AS INTEGER) AS age_days, stale FROM ev",
+    _ORDERS,
 )
 _add(
     "observed_or_inferred",
     """SELECT signal_id, CASE WHEN bucket IS NOT NULL THEN 'observed' ELSE 'inferred' END AS evidence_kind,
   coalesce(bucket, '') AS buckets FROM ev""",
-    _RECENT,
+    _ORDERS,
 )
 
 
@@ -301,31 +305,33 @@ def _coverage(source: str) -> str:
 
 _EVENTS = """evt AS (
   SELECT event_id AS signal_id, 'app' AS product_id, user_id AS entity_key, event_type AS source_type,
-    CAST(ts AS DATE) AS signal_date, NULL::INTEGER AS reliability,
+    CAST(ts AS DATE) AS signal_date, NULL::INTEGER AS reliability, TRUE AS linked, FALSE AS stale,
     CASE WHEN value >= 150 THEN CASE event_type WHEN 'signup' THEN 'explicit_demand' WHEN 'error' THEN 'pain'
       WHEN 'click' THEN 'workaround' WHEN 'purchase' THEN 'switching' WHEN 'view' THEN 'timing' END END AS bucket
   FROM events)"""
 _ORDER_EVIDENCE = "evidence AS (SELECT * FROM ev JOIN cust USING (entity_key))"
-_add("order_coverage", _coverage("evidence"), _RECENT, _CUSTOMERS, _ORDER_EVIDENCE)
+_add("order_coverage", _coverage("evidence"), _ORDERS, _CUSTOMERS, _ORDER_EVIDENCE)
 _add("event_coverage", _coverage("evt"), _EVENTS)
 _add(
     "coverage_gaps",
     f"""SELECT product_id, count(DISTINCT source_type) AS n_source_types, concat_ws(',', {", ".join(
         f"CASE WHEN count(*) FILTER (bucket = '{b}') = 0 THEN '{b}' END" for b in BUCKETS
     )}) AS missing_buckets FROM evidence GROUP BY product_id""",
-    _RECENT,
+    _ORDERS,
     _CUSTOMERS,
     _ORDER_EVIDENCE,
 )
 _LEDGER = """ledger AS (
   SELECT best.product_id, best.rank, best.entity_key, best.entity_name, best.score, best.pain_strength,
-    ev.signal_id, ev.source_title, ev.source_url, ev.source_type, ev.signal_date, ev.bucket
+    ev.signal_id, ev.source_title, ev.source_url, ev.source_type, ev.signal_date, ev.bucket, ev.stale, ev.linked
   FROM ev JOIN best USING (entity_key))"""
 _add(
     "evidence_ledger",
-    """SELECT product_id, CAST(rank AS INTEGER) AS rank, entity_name, signal_id, source_title, source_url, source_type,
-    CAST(signal_date AS VARCHAR) AS date_label, CASE WHEN bucket IS NULL THEN 'inferred' ELSE 'observed' END AS evidence_kind,
-    coalesce(bucket, '') AS buckets, score, pain_strength, NULL::VARCHAR AS freshness_warning FROM ledger""",
+    """SELECT product_id, CAST(rank AS INTEGER) AS rank, entity_name, signal_id, source_title,
+    CASE WHEN linked THEN source_url ELSE '#' END AS source_url, source_type,
+    coalesce(CAST(signal_date AS VARCHAR), 'date unavailable') AS date_label, CASE WHEN bucket IS NULL THEN 'inferred' ELSE 'observed' END AS evidence_kind,
+    coalesce(bucket, '') AS buckets, score, pain_strength,
+    CASE WHEN signal_date IS NULL THEN 'no date' WHEN stale THEN 'stale' END AS freshness_warning FROM ledger""",
     *_ORDER_PROSPECTS,
     _TEN_BEST,
     _LEDGER,
@@ -343,7 +349,7 @@ def _patterns(source: str) -> str:
     FROM counted JOIN sampled USING (product_id, bucket))"""
 
 
-_add("order_patterns", "SELECT * FROM repeated", _RECENT, _CUSTOMERS, _ORDER_EVIDENCE, _patterns("evidence"))
+_add("order_patterns", "SELECT * FROM repeated", _ORDERS, _CUSTOMERS, _ORDER_EVIDENCE, _patterns("evidence"))
 _add("event_patterns", "SELECT * FROM repeated", _EVENTS, _patterns("evt"))
 _add(
     "event_stages",
@@ -357,7 +363,7 @@ _add(
 
 _STRENGTH = "CASE bucket " + " ".join(f"WHEN '{b}' THEN {i}" for i, b in enumerate(BUCKETS)) + f" ELSE {len(BUCKETS)} END"
 _SHOWN = f"""shown AS (SELECT * FROM (
-    SELECT *, row_number() OVER (PARTITION BY entity_key ORDER BY bucket IS NOT NULL DESC, {_STRENGTH}, signal_date DESC, signal_id) AS k
+    SELECT *, row_number() OVER (PARTITION BY entity_key ORDER BY bucket IS NOT NULL DESC, linked DESC, {_STRENGTH}, signal_date DESC NULLS LAST, signal_id) AS k
     FROM ledger) WHERE k = 1)"""
 _CHANNEL = """CASE source_type WHEN 'forum' THEN 'Reply in the public thread'
     WHEN 'company_page' THEN 'Use the contact form on the company page' ELSE 'Reply to the public post' END"""
@@ -401,8 +407,9 @@ _REPORT_TABLES = (
     _SHOWN,
     _KPIS.format(source="best"),
     _ORDER_EVIDENCE,
-    _patterns("evidence"),
     f"gated AS (SELECT * FROM pros WHERE {_GATE_ALL})",
+    "told AS (SELECT * FROM evidence WHERE entity_key IN (SELECT entity_key FROM gated))",
+    _patterns("told"),
     _limits("gated"),
 )
 _REPORT_ROWS = """SELECT product_id, verdict_flag AS verdict,
@@ -411,15 +418,15 @@ _REPORT_ROWS = """SELECT product_id, verdict_flag AS verdict,
     (SELECT CAST(count(*) AS INTEGER) FROM repeated r WHERE r.product_id = best.product_id) AS n_patterns,
     limits, lpad(best.rank::VARCHAR, 2, '0') AS position, best.entity_name AS name,
     CASE WHEN is_company THEN 'Company' ELSE 'Public prospect' END AS type, best.score,
-    source_url, CAST(signal_date AS VARCHAR) AS signal_date,
-    n_signals || ' signals, ' || n_observed || ' of them observed and linked.' AS evidence,
-    'Newest signal: ' || newest || '.' AS why_now,
+    source_url, coalesce(CAST(signal_date AS VARCHAR), 'date unavailable') AS signal_date,
+    n_signals || ' signals, ' || n_linked || ' of them observed and linked.' AS evidence,
+    'Newest signal: ' || coalesce(CAST(newest AS VARCHAR), 'date unavailable') || '.' AS why_now,
     CAST(round_even(best.pain_strength, 0) AS INTEGER) AS pain_strength
   FROM best JOIN (SELECT entity_key, source_url, signal_date FROM shown) USING (entity_key)
   JOIN verdicts USING (product_id) JOIN limited USING (product_id)"""
 _add("nested_reports", _REPORT_ROWS, *_REPORT_TABLES)
 _add("written_reports", _REPORT_ROWS, *_REPORT_TABLES)
-_CHECKS = ("within_mode_cap", "source_urls_valid", "scores_in_range", "signals_present", "openers_present", "sections_present")
+_CHECKS = ("within_mode_cap", "source_urls_valid", "scores_in_range", "product_url_valid", "signals_present", "openers_present", "sections_present")
 _add(
     "report_checks",
     "SELECT product_id, CAST(n_prospects AS INTEGER) AS n_prospects, unnest(["
@@ -498,8 +505,9 @@ _add(
 )
 _add(
     "documents_in_scope",
-    """SELECT doc_id AS signal_id, source AS product_id, lang, NULL::INTEGER AS age_days, TRUE AS stale FROM documents
-  WHERE lang = CASE WHEN length(source) = 5 THEN 'en' ELSE 'fr' END""",
+    """SELECT doc_id AS signal_id, source AS product_id, CASE WHEN doc_id % 10 <> 0 THEN lang END AS lang,
+    NULL::INTEGER AS age_days, TRUE AS stale FROM documents
+  WHERE doc_id % 10 = 0 OR lang = CASE WHEN length(source) = 5 THEN 'en' ELSE 'fr' END""",
 )
 _MASKED = (
     f"regexp_replace(regexp_replace(regexp_replace(text, '{EMAIL}', '[email]', 'g'), "
@@ -558,7 +566,10 @@ _add(
     f"""SELECT signal_id, source_url FROM (
     SELECT *, row_number() OVER (PARTITION BY {_page_key("source_url")} ORDER BY signal_id) AS k FROM (
       SELECT page_id AS signal_id, url AS source_url FROM pages UNION ALL
-      SELECT page_id + 1000000000, regexp_replace(url, '^https?://(www\\.)?', 'https://www.') FROM pages)) WHERE k = 1""",
+      SELECT page_id + 1000000000, regexp_replace(url, '^https?://(www\\.)?', 'https://www.') FROM pages)) WHERE k = 1
+  UNION ALL SELECT signal_id, source_url FROM (
+    SELECT page_id + 2000000000 AS signal_id, url AS source_url,
+      row_number() OVER (PARTITION BY {_page_key("url")} ORDER BY page_id) AS k FROM pages) WHERE k = 1""",
 )
 _add(
     "page_hosts",

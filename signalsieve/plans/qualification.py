@@ -8,16 +8,16 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from signalsieve.config import BLOCKED_SOURCE_TYPES, SEED_LEXICON, Phrase, ScoringConfig
-from signalsieve.functions.texts import has_any_phrase, name_key
+from signalsieve.config import SEED_LEXICON, Phrase, ScoringConfig
+from signalsieve.functions.texts import name_key
 from signalsieve.functions.urls import url_host
 from signalsieve.operators.aggregates import limits, patterns, report_kpis, verdict
 from signalsieve.operators.briefs import brief_readiness, in_scope
 from signalsieve.operators.dedup import copies_of, dedup_signals
 from signalsieve.operators.evidence import best_evidence, evidence_ledger, label_evidence
-from signalsieve.operators.matching import classify, match_icp
+from signalsieve.operators.matching import classify, match_icp_by_join
 from signalsieve.operators.outreach import draft_openers, lint_openers, outreach_plan, recommend_channel
-from signalsieve.operators.policy import apply_source_policy, exclude_sensitive, redact, require_original
+from signalsieve.operators.policy import drop_reasons, redact
 from signalsieve.operators.ranking import dropped_entities, primary_gate, rejections, shortlist
 from signalsieve.operators.reporting import build_reports, prospect_cards
 from signalsieve.operators.scoring import score_prospects
@@ -45,6 +45,10 @@ def with_entity_key(signals: DataFrame) -> DataFrame:
     return signals.withColumn("entity_key", key).filter(F.col("entity_key").isNotNull())
 
 
+def ready_briefs(briefs: DataFrame) -> DataFrame:
+    return brief_readiness(briefs).filter("ready").drop("missing", "ready")
+
+
 def prepare_evidence(
     briefs: DataFrame,
     signals: DataFrame,
@@ -59,12 +63,12 @@ def prepare_evidence(
 
     Row-local steps come before the shuffles, so deduplication moves only what is left.
     """
-    ready = brief_readiness(briefs).filter("ready").drop("missing", "ready")
-    allowed = exclude_sensitive(apply_source_policy(signals, blocked_hosts=blocked_hosts), sensitive_terms)
-    if originals is not None:
-        allowed = require_original(allowed, originals)
-    scoped = in_scope(with_entity_key(allowed), ready)
-    matched = label_evidence(match_icp(classify(scoped, phrases), icp_terms))
+    ready = ready_briefs(briefs)
+    marked = drop_reasons(signals, ready, sensitive_terms, blocked_hosts=blocked_hosts, originals=originals)
+    allowed = marked.filter("reason IS NULL").drop("reason")
+    # An old request still counts: it is marked stale and rated low on timing.
+    scoped = in_scope(with_entity_key(allowed), ready, keep_old=True)
+    matched = label_evidence(match_icp_by_join(classify(scoped, phrases), icp_terms))
     telling = matched.filter(F.col("evidence_kind").isNotNull() | F.col("disqualified"))
     deduped = dedup_signals(telling, scope=["product_id"])
     evidence = redact(deduped, ["text", "source_title", "entity_name"])
@@ -99,12 +103,11 @@ def qualify(
     drafts = lint_openers(
         draft_openers(recommend_channel(best.join(shown, keys)), briefs)
     )
-    sensitive = evidence_options.get("sensitive_terms", ())
-    blocked = F.coalesce(F.col("source_type").isin(list(BLOCKED_SOURCE_TYPES)), F.lit(False))
-    if sensitive:
-        blocked = blocked | has_any_phrase("text", sensitive)
-    raw = with_entity_key(signals).withColumn("is_blocked", blocked)
-    repeated = patterns(evidence)
+    policies = {k: v for k, v in evidence_options.items() if k in ("sensitive_terms", "blocked_hosts", "originals")}
+    raw = drop_reasons(with_entity_key(signals), ready_briefs(briefs), **policies)
+    # What repeats among prospects that qualify, not among those turned down.
+    qualified = primary_gate(prospects).select(*keys)
+    repeated = patterns(evidence.join(qualified, keys, "left_semi"))
     figures = verdict(report_kpis(best, briefs))
     return Qualification(
         evidence=evidence,
@@ -112,7 +115,7 @@ def qualify(
         shortlist=best,
         rejected=rejections(prospects),
         dropped=dropped_entities(
-            raw.select("signal_id", *keys, "is_blocked"), prospects, copies_of(raw.filter(~F.col("is_blocked")), scope=["product_id"])
+            raw.select("signal_id", *keys, "reason"), prospects, copies_of(raw.filter("reason IS NULL"), scope=["product_id"])
         ),
         ledger=ledger,
         patterns=repeated,

@@ -43,7 +43,7 @@ def _joined(column: str) -> Column:
 @query
 def shortlist_by_product(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best qualified prospects of each product."""
-    gated = ranking.primary_gate(b.order_prospects(spark, sf_dir).drop("is_disqualified"))
+    gated = ranking.primary_gate(b.order_prospects(spark, sf_dir))
     return ranking.rank_top(gated, 10).select(
         "product_id", "rank", "entity_key", "entity_name", "score", "band", "stage"
     )
@@ -196,7 +196,7 @@ def report_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def signals_in_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All orders against each product's own time window, with age and freshness."""
-    signals = b.order_evidence(spark, sf_dir, whole_history=True).drop("as_of", "scope_months", "stale")
+    signals = b.order_evidence(spark, sf_dir).drop("as_of", "scope_months", "stale")
     scoped = briefs.in_scope(signals, b.segment_briefs(spark, sf_dir, modes=True))
     return scoped.select("signal_id", "product_id", "signal_date", "age_days", "stale")
 
@@ -204,9 +204,7 @@ def signals_in_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def signal_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Age and stale flag of every order, old ones and (status P) undated ones too."""
-    dated = b.order_signals(spark, sf_dir, whole_history=True).withColumn(
-        "signal_date", F.when(F.col("source_type") != "social_post", F.col("signal_date"))
-    )
+    dated = b.order_signals(spark, sf_dir).drop("stale")
     return briefs.freshness(dated).select("signal_id", "age_days", "stale")
 
 
@@ -330,7 +328,11 @@ def _reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reporting.build_reports(
         briefed,
         reporting.prospect_cards(drafts),
-        aggregates.patterns(b.order_evidence(spark, sf_dir)),
+        aggregates.patterns(
+            b.order_evidence(spark, sf_dir).join(
+                ranking.primary_gate(prospects).select("product_id", "entity_key"), ["product_id", "entity_key"], "left_semi"
+            )
+        ),
         aggregates.verdict(aggregates.report_kpis(chosen, briefed)),
         aggregates.limits(ranking.primary_gate(prospects), briefed),
     )
@@ -400,7 +402,7 @@ def bucket_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bucket_hits_by_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same hits by n-gram join with a lexicon table."""
     lexicon = matching.lexicon_frame(spark, b.STAND_IN_LEXICON)
-    found = matching.classify_with_lexicon(b.document_signals(spark, sf_dir), lexicon, max_words=2)
+    found = matching.classify_with_lexicon(b.document_signals(spark, sf_dir), lexicon)
     return evidence.bucket_hits(found).select("signal_id", "bucket")
 
 
@@ -413,7 +415,7 @@ def language_bucket_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def language_phrase_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     lexicon = matching.lexicon_frame(spark, b.LANGUAGE_LEXICON)
-    return matching.phrase_hits(b.document_signals(spark, sf_dir), lexicon, max_words=2)
+    return matching.phrase_hits(b.document_signals(spark, sf_dir), lexicon)
 
 
 def _icp_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -436,7 +438,7 @@ def icp_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 def icp_matches_by_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same matches by n-gram join, as for products with very many terms."""
     documents = b.document_signals(spark, sf_dir).withColumn("product_id", F.col("lang"))
-    found = matching.match_icp_by_join(documents, b.language_icp_terms(spark, sf_dir), max_words=2)
+    found = matching.match_icp_by_join(documents, b.language_icp_terms(spark, sf_dir))
     return found.select(
         "signal_id", _joined("fit_terms").alias("fit_terms"), "icp_role", "icp_trigger", "disqualified"
     )
@@ -467,9 +469,13 @@ def document_evidence_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def documents_in_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents in the language their source's brief asks for; undated, so kept as stale."""
+    """Documents in the language their source's brief asks for, or of unknown language (every
+    tenth); undated, so kept as stale."""
     documents = b.document_signals(spark, sf_dir).select(
-        "signal_id", F.col("entity_key").alias("product_id"), "lang", F.lit(None).cast("date").alias("signal_date")
+        "signal_id",
+        F.col("entity_key").alias("product_id"),
+        F.when(F.col("signal_id") % 10 != 0, F.col("lang")).alias("lang"),
+        F.lit(None).cast("date").alias("signal_date"),
     )
     wanted = documents.select("product_id").distinct().select(
         "product_id",
@@ -534,13 +540,18 @@ def page_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def distinct_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages with one row per URL, among the pages and a copy of each under another spelling."""
-    pages = b.page_signals(spark, sf_dir).select("signal_id", "source_url")
+    """Pages with one row per URL and entity, among the pages, a copy of each under another
+    spelling, and a signal of someone else on each."""
+    pages = b.page_signals(spark, sf_dir).select("signal_id", "source_url", "entity_key")
+    guests = pages.select(
+        (F.col("signal_id") + 2000000000).alias("signal_id"), "source_url", F.lit("guest").alias("entity_key")
+    )
     respelled = pages.select(
         (F.col("signal_id") + 1000000000).alias("signal_id"),
         F.regexp_replace("source_url", r"^https?://(www\.)?", "https://www.").alias("source_url"),
+        "entity_key",
     )
-    return dedup.dedup_signals(pages.unionByName(respelled)).select("signal_id", "source_url")
+    return dedup.dedup_signals(pages.unionByName(respelled).unionByName(guests)).select("signal_id", "source_url")
 
 
 @query

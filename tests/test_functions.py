@@ -14,7 +14,6 @@ from signalsieve.functions.texts import (
     name_key,
     opener_problems,
     redact_contacts,
-    word_ngrams,
     words_of,
 )
 from signalsieve.functions.urls import has_valid_url, safe_url, url_host, url_key
@@ -90,12 +89,6 @@ def test_phrases_match_whole_words_only(one):
     assert found == [True, False, True, False, True, True, False, False, True]
 
 
-def test_ngrams_cover_all_runs(one):
-    assert one(["a b a b"], lambda c: F.array_sort(word_ngrams(words_of(c), 2))) == [["a", "a b", "b", "b a"]]
-    assert one(["a"], lambda c: word_ngrams(words_of(c), 3)) == [["a"]]
-    assert one(["a b c d"], lambda c: F.array_contains(word_ngrams(words_of(c), 3), "b c d")) == [True]
-
-
 def test_folding(one):
     assert one([" A  b\n\tC ", "a b c", "  ", None], fold_text) == ["a b c", "a b c", None, None]
     assert one(["  Example-Gym, Inc. ", "--"], name_key) == ["example gym inc", None]

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 from signalsieve.plans import bindings
+from signalsieve.plans.oracles import all_oracles
 from signalsieve.plans.qualification import qualify
+from signalsieve.plans.queries import all_queries
 from signalsieve.operators.reporting import report_json, validate_reports
 from signalsieve.schemas import BRIEFS, ICP_TERMS, SIGNALS
 from signalsieve.sources.reports import import_reports, parse_documents
@@ -24,17 +26,17 @@ def duck():
 
 
 def test_every_query_has_sql():
-    assert contract.queries().keys() == contract.oracle_sql().keys()
+    assert all_queries().keys() == all_oracles().keys()
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(all_queries()))
 def test_query_equals_its_sql(spark, duck, name):
-    assert compare(contract.queries()[name](spark, SMALL), duck, contract.oracle_sql()[name]) == ""
+    assert compare(all_queries()[name](spark, SMALL), duck, all_oracles()[name]) == ""
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(all_queries()))
 def test_no_query_multiplies_rows_or_leaves_the_jvm(spark, name):
-    plan = physical_plan(contract.queries()[name](spark, SMALL))
+    plan = physical_plan(all_queries()[name](spark, SMALL))
     for operator in ("CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython", "InPandas", "CollectLimit"):
         assert operator not in plan
 
@@ -45,14 +47,13 @@ def physical_plan(df):
 
 def test_flagship(spark):
     found = contract.entry(spark)
-    assert found.count() == 45
+    assert found.count() == 50
     assert found.schema.names == ["product_id", "rank", "entity_key", "entity_name", "score", "band", "stage"]
 
 
 def test_flagship_plan(spark):
-    plan = physical_plan(contract.queries()["shortlist_by_product"](spark, SMALL))
-    # The date filter and the columns reach the scan; products are cut before the shuffle.
-    assert "GreaterThanOrEqual(o_orderdate,2000-08-01T00:00)" in plan
+    plan = physical_plan(all_queries()["shortlist_by_product"](spark, SMALL))
+    # The columns reach the scan; products are cut before the shuffle.
     scanned = re.search(r"ReadSchema: struct<o_orderkey[^>]*>", plan).group()
     assert "o_totalprice" not in scanned
     assert "WindowGroupLimit" in plan
@@ -60,13 +61,13 @@ def test_flagship_plan(spark):
 
 @pytest.mark.parametrize("name", ["distinct_documents", "distinct_pages", "order_patterns", "shortlist_by_mode"])
 def test_groups_are_cut_before_the_shuffle(spark, name):
-    plan = physical_plan(contract.queries()[name](spark, SMALL))
+    plan = physical_plan(all_queries()[name](spark, SMALL))
     assert plan.count("WindowGroupLimit") >= 2 and ", Partial" in plan
 
 
 def test_texts_are_split_into_words_once(spark):
     for name in ("bucket_hits", "icp_matches", "bucket_hits_by_join", "document_copies"):
-        plan = physical_plan(contract.queries()[name](spark, SMALL))
+        plan = physical_plan(all_queries()[name](spark, SMALL))
         scans = [line for line in plan.splitlines() if "FileScan parquet" in line and "documents" in line]
         per_scan = plan.count("lower(coalesce(text") + plan.count("lower(text")
         assert per_scan <= len(scans), name
@@ -84,9 +85,9 @@ def signal(i, product, name, text, kind="forum", days=10, url="default", lang="e
 
 
 PLANTED = [
-    signal(1, "gym", "Example Gym", "Payment reminders: the manual follow-up takes hours. Any gym owner here?"),
-    signal(2, "gym", "example-gym", "We are looking for a tool for membership reminders", "company_page", days=3),
-    signal(3, "gym", "EXAMPLE GYM", "Membership chaos: spreadsheets everywhere, mail me at a@b.example.com", "product_review", days=40),
+    signal(1, "gym", "Harbor Gym", "Payment reminders: the manual follow-up takes hours. Any gym owner here?"),
+    signal(2, "gym", "harbor-gym", "We are looking for a tool for membership reminders", "company_page", days=3),
+    signal(3, "gym", "HARBOR GYM", "Membership chaos: spreadsheets everywhere, mail me at a@b.example.com", "product_review", days=40),
     signal(4, "gym", "Copycat", "payment reminders:  the MANUAL follow-up takes hours. Any gym owner here?", days=9),
     signal(5, "gym", "Fit Only", "A gym owner writes about membership", days=5),
     signal(6, "gym", "Old Times", "hate this", days=500),
@@ -119,36 +120,36 @@ def run(spark):
 
 
 def test_evidence_is_allowed_scoped_and_unique(run):
-    assert sorted(r.signal_id for r in run.evidence.collect()) == ["s1", "s10", "s12", "s2", "s3", "s5", "s8"]
+    assert sorted(r.signal_id for r in run.evidence.collect()) == ["s1", "s10", "s12", "s2", "s3", "s5", "s6", "s8"]
+    assert run.evidence.filter("signal_id = 's6'").first().stale
     third = run.evidence.filter("signal_id = 's3'").first()
     assert "[email]" in third.text and third.policy_flags == ["email"]
 
 
 def test_prospects_merge_and_gate(run):
     found = {r.entity_key: r for r in run.prospects.collect()}
-    assert set(found) == {"example gym", "fit only", "hobby club", "linkless", "vet clinic"}
-    gym = found["example gym"]
+    assert set(found) == {"harbor gym", "fit only", "hobby club", "linkless", "old times", "vet clinic"}
+    gym = found["harbor gym"]
     assert (gym.n_signals, gym.stage, gym.n_channels, gym.n_fit_terms) == (3, "High intent", 3, 3)
     # pain 2 hits * 1.5 = 3, fit 3, timing 5, reach 5, evidence 0.03 * 200 / 3 + 1.5 = 3.5
     assert tuple(gym.dimensions) == pytest.approx((3.0, 3.0, 5.0, 5.0, 3.5))
     assert gym.score == 76 and gym.band == "promising"
-    assert [r.entity_key for r in run.shortlist.collect()] == ["example gym"]
+    assert [r.entity_key for r in run.shortlist.collect()] == ["harbor gym"]
     reasons = {r.entity_key: r.reasons for r in run.rejected.collect()}
     assert reasons["fit only"] == ["no_signal", "bad_url", "low_score", "potential_fit"]
     assert "disqualified" in reasons["hobby club"] and "bad_url" in reasons["linkless"]
-    assert set(reasons) == {"fit only", "hobby club", "linkless", "vet clinic"}
+    assert set(reasons) == {"fit only", "hobby club", "linkless", "old times", "vet clinic"}
 
 
 def test_entities_that_fell_out_before_scoring(run):
     found = {(r.product_id, r.entity_key): r.reasons for r in run.dropped.collect()}
     assert found == {
         ("gym", "copycat"): ["duplicate"],
-        ("gym", "broker co"): ["policy"],
-        ("gym", "ailing"): ["policy"],
-        ("gym", "old times"): ["no_signal"],
-        ("gym", "le gym"): ["no_signal"],
+        ("gym", "broker co"): ["source_type"],
+        ("gym", "ailing"): ["sensitive"],
+        ("gym", "le gym"): ["language"],
         ("gym", "silent"): ["no_signal"],
-        ("gone", "nobody"): ["no_signal"],
+        ("gone", "nobody"): ["brief"],
     }
 
 
@@ -182,7 +183,7 @@ def test_copies_change_nothing(spark, run):
         sensitive_terms=["illness"],
         materialise=lambda df: df,
     )
-    gym = again.prospects.filter("entity_key = 'example gym'").first()
+    gym = again.prospects.filter("entity_key = 'harbor gym'").first()
     assert (gym.n_signals, gym.n_observed) == (3, 3)
 
 
@@ -205,4 +206,4 @@ def test_stream_equals_batch(spark, tmp_path):
 def test_bindings_keep_whole_tables(spark):
     for build, name in ((bindings.document_signals, "documents"), (bindings.page_signals, "pages"), (bindings.event_evidence, "events"), (bindings.order_documents, "orders")):
         assert build(spark, SMALL).count() == bindings.table(spark, SMALL, name).count()
-    assert bindings.order_signals(spark, SMALL, whole_history=True).agg(F.count("*")).first()[0] == 1500
+    assert bindings.order_signals(spark, SMALL).agg(F.count("*")).first()[0] == 1500

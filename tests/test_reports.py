@@ -15,7 +15,7 @@ GOLDEN = {
     "product_url": "https://dunning.example",
     "prospects": [
         {
-            "name": "Example Gym",
+            "name": "Harbor Gym",
             "stage": "Problem aware",
             "score": 82,
             "source_url": "https://forum.example/t/1",
@@ -44,7 +44,7 @@ def test_golden_example(spark):
     good, _ = parse_documents(documents(spark, GOLDEN))
     report = import_reports(good).first()
     assert (report.n_prospects, report.n_high_intent, report.average_score) == (1, 0, 82)
-    assert (report.top_name, report.top_score, report.top_text) == ("Example Gym", 82, "asked this month")
+    assert (report.top_name, report.top_score, report.top_text) == ("Harbor Gym", 82, "asked this month")
     assert report.patterns[0]["count"] == 4
     row = reconcile_scores(imported_prospects(good).withColumnRenamed("score", "reported_score")).first()
     assert (row.stage_class, row.reported_score, row.computed_score, row.delta) == ("warm", 82, 90, 8)
