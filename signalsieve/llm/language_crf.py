@@ -32,7 +32,7 @@ LEXICON_COUNT, LEXICON_SHARE = 3, 0.9
 #: Words of a training sequence, and of a lane when labelling.
 SEQUENCE = 64
 LANE = 128
-CACHE_WORDS = 200_000
+CACHE_WORDS = 150_000
 UNDETERMINED = "und"
 
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -268,20 +268,26 @@ class _Labeller:
         return names, np.where(sizes > 0, np.clip(share[np.arange(len(texts)), best], 0, 1), 0.0)
 
 
-def _predict(model, slice_chars: int = 1 << 19) -> Callable:
+def _predict(model, slice_chars: int = 1 << 18, slice_rows: int = 256) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = _Labeller(model.value)
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
+        for rows in (b.slice(i, slice_rows) for b in batches for i in range(0, b.num_rows, slice_rows)):
+            texts = rows.column("text").to_pylist()
+            names: list[str] = []
+            scores: list[np.ndarray] = []
             start, held = 0, 0
-            for i, text in enumerate(texts):
+            for i, text in enumerate(texts, 1):
                 held += len(text or "") + 1
-                if held < slice_chars and i + 1 < len(texts):
-                    continue
-                names, score = labeller.label(texts[start : i + 1])
-                kept = [(batch.column(k).slice(start, i + 1 - start), c) for k, c in enumerate(batch.schema.names) if c != "text"]
-                yield pa.RecordBatch.from_arrays([*(c for c, _ in kept), pa.array(names, pa.string()), pa.array(score)], names=[*(c for _, c in kept), "lang_pred", "score"])
-                start, held = i + 1, 0
+                if held >= slice_chars or i == len(texts):
+                    found, score = labeller.label(texts[start:i])
+                    names += found
+                    scores.append(score)
+                    start, held = i, 0
+            kept = [(rows.column(k), c) for k, c in enumerate(rows.schema.names) if c != "text"]
+            yield pa.RecordBatch.from_arrays(
+                [*(c for c, _ in kept), pa.array(names, pa.string()), pa.array(np.concatenate(scores))],
+                names=[*(c for _, c in kept), "lang_pred", "score"],
+            )
 
     return run
 
