@@ -12,13 +12,18 @@ from signalsieve.config import OPENER_WORD_LIMIT
 from signalsieve.functions.numbers import _col, once
 
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+# Whole numbers only: a part of a longer run of digits is no phone number.
 PHONE = (
-    r"\+[0-9]{1,3}([ .-]?\(?[0-9]{2,5}\)?){2,5}"
-    r"|(\([0-9]{2,4}\)|[0-9]{2,4})[ .-][0-9]{3,4}[ .-][0-9]{3,4}"
+    r"\+[0-9]{1,3}([ .-]?\(?[0-9]{2,5}\)?){2,5}\b"
+    r"|\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}\b"
+    r"|\b[0-9]{3}[ .-]?[0-9]{3}[ .-]?[0-9]{4}\b"
+    r"|\b[0-9]{2,4}[ .-][0-9]{3,4}[ .-][0-9]{4}\b"
+    r"|\b[0-9]{3}-[0-9]{4}\b"
 )
 ADDRESS = (
-    r"[0-9]{1,5} ([A-Z][A-Za-z]+ ){1,4}"
-    r"(Street|Avenue|Road|Lane|Drive|Boulevard|Court|Square)"
+    r"\b[0-9]{1,5} (([A-Z][A-Za-z]+ ){1,4}"
+    r"(Street|Avenue|Road|Lane|Drive|Boulevard|Court|Square|St|Ave|Rd|Ln|Dr|Blvd)"
+    r"|[A-Za-z]+ (street|avenue|road|lane|boulevard))\b\.?"
 )
 CONTACT_PATTERNS = (("email", EMAIL), ("phone", PHONE), ("address", ADDRESS))
 _SENT_CLAIM = (

@@ -14,7 +14,6 @@ from signalsieve.functions.texts import (
     name_key,
     opener_problems,
     redact_contacts,
-    words_of,
 )
 from signalsieve.functions.urls import has_valid_url, safe_url, url_host, url_key
 
@@ -115,3 +114,17 @@ def test_opener_rules(one):
     texts = ["Saw your post. How do you do it?", long, "Mail a@b.co?", "I have sent you a note. Ok?", "No question.", "A? B?"]
     assert one(texts, opener_problems) == [[], ["too_long"], ["contact_data"], ["claims_sent"], ["not_one_question"], ["not_one_question"]]
     assert one(["word " * 88 + "ok?"], opener_problems) == [[]]
+
+
+def test_contact_formats_and_other_numbers(one):
+    texts = [
+        "Call (743)555-3824 now", "7435553824", "555-3824", "743.555.3824 or 743 555 3824", "+1 (743) 555-3824.",
+        "12 High St. please", "47 elm street", "at 5 Old Mill Road", "100 200 300", "12345 678 90123", "id 123456789012345",
+        "in 10 minutes drive",
+    ]
+    masked = [
+        "Call [phone] now", "[phone]", "[phone]", "[phone] or [phone]", "[phone].",
+        "[address] please", "[address]", "at [address]", "100 200 300", "12345 678 90123", "id 123456789012345",
+        "in 10 minutes drive",
+    ]
+    assert one(texts, redact_contacts) == masked
