@@ -24,12 +24,16 @@ def entity_profile(evidence: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame
     and texts are fetched later, for shortlisted prospects only.
 
     Reads buckets, source_type, source_url, signal_date and, where present, reliability
-    (percent), ``stale``, ``as_of``, ``disqualified`` and ``entity_type``.
+    (percent), ``stale``, ``as_of``, ``disqualified``, ``icp_trigger`` and ``entity_type``.
     """
     columns = set(evidence.columns)
     observed = F.size("buckets") > 0
     linked = observed & F.col("_valid")
-    n_bucket = [F.count_if(F.array_contains("buckets", b)).alias(f"n_{b}") for b in BUCKETS]
+    hit = {b: F.array_contains("buckets", b) for b in BUCKETS}
+    if "icp_trigger" in columns:
+        # A product's own trigger is a reason to act now, as the lexicon's are.
+        hit["timing"] = hit["timing"] | F.coalesce("icp_trigger", F.lit(False))
+    n_bucket = [F.count_if(found).alias(f"n_{b}") for b, found in hit.items()]
     rated = F.col("reliability") if "reliability" in columns else F.lit(None).cast("int")
     stale = F.col("stale") if "stale" in columns else F.col("signal_date").isNull()
     extras = []
@@ -48,7 +52,7 @@ def entity_profile(evidence: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame
         F.count_if(stale).alias("n_stale"),
         F.count_if(F.col("source_type").isin(list(DISCUSSION_SOURCES))).alias("n_discussion"),
         F.max("signal_date").alias("newest"),
-        F.max(F.when(F.array_contains("buckets", "timing"), F.col("signal_date"))).alias("newest_trigger"),
+        F.max(F.when(hit["timing"], F.col("signal_date"))).alias("newest_trigger"),
         F.sum(rated).alias("reliability_sum"),
         F.count(rated).alias("reliability_n"),
         F.count_distinct(F.when(F.col("_valid"), F.col("source_type"))).alias("n_channels"),

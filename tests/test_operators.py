@@ -179,6 +179,14 @@ def test_one_signal_under_two_products(spark):
         assert rows(match(df, terms), "product_id", "fit_terms", "disqualified") == [("a", ["gym owner"], False), ("b", [], True)]
 
 
+def test_a_products_own_trigger_counts_as_timing(spark):
+    day = dt.date(2024, 6, 1)
+    df = evidence_frame(spark, [(1, "p", "e", "forum", "https://a.example/1", day, []), (2, "p", "f", "forum", "https://a.example/2", day, [])])
+    marked = df.withColumn("icp_trigger", F.col("signal_id") == 1)
+    found = {r.entity_key: (r.n_timing, r.newest_trigger) for r in scoring.entity_profile(marked).collect()}
+    assert found == {"e": (1, day), "f": (0, None)}
+
+
 def test_an_opener_that_breaks_a_rule_is_not_published(spark):
     brief = [("p", "Desk", "answer " * 80, "late orders")]
     briefs_ = spark.createDataFrame(brief, "product_id string, product string, promised_outcome string, job_to_be_done string")
