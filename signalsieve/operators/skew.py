@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # A heavy group beyond this many has at most one part in this many of all rows.
@@ -14,6 +16,8 @@ HEAVIEST = 1000
 # Splits of 128 MB by Spark's default, so a table with fewer is small.
 SMALL_SPLITS = 8
 
+_own_folder: list[str] = []
+
 
 def salted_join(
     facts: DataFrame,
@@ -74,21 +78,30 @@ def spread_small(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(SMALL_SPLITS, key) if df.rdd.getNumPartitions() < SMALL_SPLITS else df
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: ``spark.checkpoint.dir``.
+
+    Only a local session without that setting gets a folder of its own, removed when it ends.
+    """
+    stated = spark.conf.get("spark.checkpoint.dir", None)
+    if stated is not None:
+        return stated.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    if not _own_folder:
+        _own_folder.append(tempfile.mkdtemp(prefix="spark-"))
+        atexit.register(shutil.rmtree, _own_folder[0], ignore_errors=True)
+    return _own_folder[0]
+
+
 def stable(df: DataFrame) -> DataFrame:
-    """``df`` written to reliable storage, so that later reads all see the same rows.
+    """``df`` as a Parquet table in the shared folder, so that later reads all see the same rows.
 
-    Uses the folder named by ``spark.checkpoint.dir``. Only a local session without that
-    setting gets a folder of its own.
+    Every reader takes only the columns it needs, and lost executors take nothing with them.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if shared is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            shared = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
-        context.setCheckpointDir(shared)
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(df.sparkSession)}/stable-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def ranked_rows(

@@ -14,13 +14,13 @@ from signalsieve.functions.urls import url_host
 from signalsieve.operators.aggregates import limits, patterns, report_kpis, verdict
 from signalsieve.operators.briefs import brief_readiness, in_scope
 from signalsieve.operators.dedup import copies_of, dedup_signals
-from signalsieve.operators.evidence import best_evidence, evidence_ledger, label_evidence
+from signalsieve.operators.evidence import best_evidence, coverage, evidence_ledger, label_evidence
 from signalsieve.operators.matching import classify, match_icp_by_join
 from signalsieve.operators.outreach import draft_openers, lint_openers, outreach_plan, recommend_channel
 from signalsieve.operators.policy import drop_reasons, redact
 from signalsieve.operators.ranking import dropped_entities, primary_gate, rejections, shortlist
 from signalsieve.operators.reporting import build_reports, prospect_cards
-from signalsieve.operators.scoring import score_prospects
+from signalsieve.operators.scoring import dimension_breakdown, score_prospects
 from signalsieve.operators.skew import salted_join, stable
 
 
@@ -34,6 +34,8 @@ class Qualification:
     rejected: DataFrame
     dropped: DataFrame
     ledger: DataFrame
+    coverage: DataFrame
+    breakdown: DataFrame
     patterns: DataFrame
     outreach: DataFrame
     reports: DataFrame
@@ -89,13 +91,14 @@ def qualify(
 ) -> Qualification:
     """Runs every step for all products at once.
 
-    The evidence feeds seven results, so it is written once to reliable storage; pass
+    Evidence, prospects and shortlist feed many results, so each is written once as a Parquet table
+    in the shared folder, of which every result reads only its columns; pass
     ``materialise=lambda df: df`` to keep the whole run one lazy plan.
     """
     evidence = materialise(prepare_evidence(briefs, signals, icp_terms, **evidence_options))
     keys = ["product_id", "entity_key"]
-    prospects = score_prospects(evidence, config)
-    best = shortlist(prospects, briefs)
+    prospects = materialise(score_prospects(evidence, config))
+    best = materialise(shortlist(prospects, briefs))
     ledger = evidence_ledger(evidence, best)
     shown = best_evidence(ledger).select(
         *keys, "entity_name", "entity_type", "source_title", "source_url", "source_type", "signal_date", "best_bucket"
@@ -118,6 +121,8 @@ def qualify(
             raw.select("signal_id", *keys, "reason"), prospects, copies_of(raw.filter("reason IS NULL"), scope=["product_id"])
         ),
         ledger=ledger,
+        coverage=coverage(evidence),
+        breakdown=dimension_breakdown(prospects),
         patterns=repeated,
         outreach=outreach_plan(drafts),
         reports=build_reports(

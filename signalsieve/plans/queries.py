@@ -15,7 +15,7 @@ from signalsieve.functions.scores import band, stage_class
 from signalsieve.functions.texts import fold_text
 from signalsieve.functions.urls import has_valid_url, safe_url, url_host, url_key
 from signalsieve.operators import aggregates, briefs, dedup, evidence, matching, outreach, policy, ranking, reporting, scoring
-from signalsieve.operators.skew import stable
+from signalsieve.operators.skew import shared_folder, stable
 from signalsieve.plans import bindings as b
 from signalsieve.sources import reports as report_source
 from signalsieve.sources.signals import union_signals
@@ -362,7 +362,7 @@ def report_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def written_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reports of all products written as JSON into the shared folder and read back."""
     out = stable(_reports(spark, sf_dir))
-    path = f"{spark.sparkContext.getCheckpointDir()}/reports-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/reports-{uuid.uuid4().hex}"
     report_source.write_reports(out, path)
     return _report_rows(spark.read.schema(out.schema).json(path))
 

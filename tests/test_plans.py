@@ -153,6 +153,18 @@ def test_entities_that_fell_out_before_scoring(run):
     }
 
 
+def test_coverage_and_breakdown(run):
+    total = {r.product_id: r.n_signals for r in run.coverage.filter("is_total").collect()}
+    assert total == {"gym": 7, "vet": 1}
+    assert run.breakdown.count() == 5 * run.prospects.count()
+
+
+def test_scoring_does_not_read_texts(run):
+    for df in (run.prospects, run.patterns, run.coverage):
+        for schema in re.findall(r"ReadSchema: (\S+)", df._jdf.queryExecution().executedPlan().toString()):
+            assert "text:" not in schema
+
+
 def test_ledger_and_outreach(run):
     assert sorted(r.signal_id for r in run.ledger.collect()) == ["s1", "s2", "s3"]
     draft = run.outreach.first()
