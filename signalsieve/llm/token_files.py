@@ -14,7 +14,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,7 +29,7 @@ BLOCK_BYTES = 1 << 20
 
 _IDS = "doc_id bigint, ids binary"
 _COUNTS = "id int, n bigint"
-_CODED = "doc_id bigint, n_tokens bigint, codes binary, checkpoints binary"
+_CODED = "shard int, doc_id bigint, n_tokens bigint, codes binary, checkpoints binary"
 _BLOCKS = (
     "shard int, block int, tokens_before bigint, doc_ids array<bigint>, n_tokens array<bigint>, "
     "starts binary, codes binary, checkpoints binary"
@@ -77,8 +76,11 @@ def _code(kind: str, lengths) -> Callable:
             cuts = np.cumsum(-(-counts // STRIDE))[:-1]
             marks = [c.astype("<u4").tobytes() for c in np.split(checkpoints, cuts)]
             return pa.RecordBatch.from_arrays(
-                [rows.column("doc_id"), pa.array(counts, pa.int64()), pa.array(codes, pa.binary()), pa.array(marks, pa.binary())],
-                names=["doc_id", "n_tokens", "codes", "checkpoints"],
+                [
+                    rows.column("shard"), rows.column("doc_id"), pa.array(counts, pa.int64()),
+                    pa.array(codes, pa.binary()), pa.array(marks, pa.binary()),
+                ],
+                names=["shard", "doc_id", "n_tokens", "codes", "checkpoints"],
             )
 
         return each(batches, CODED_TOGETHER, use)
@@ -87,8 +89,8 @@ def _code(kind: str, lengths) -> Callable:
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of consecutive documents; the task's partition is the shard."""
-    shard, block, before = TaskContext.get().partitionId(), 0, 0
+    """Blocks of consecutive documents of a shard; rows come sorted by shard and id."""
+    shard, block, before = -1, 0, 0
     ids: list = []
     counts: list[int] = []
     codes: list[bytes] = []
@@ -103,7 +105,13 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     held = 0
     for batch in batches:
-        for doc, n, code, mark in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_tokens", "codes", "checkpoints"))):
+        columns = (batch.column(c).to_pylist() for c in ("shard", "doc_id", "n_tokens", "codes", "checkpoints"))
+        for place, doc, n, code, mark in zip(*columns):
+            if place != shard:
+                if ids:
+                    yield row()
+                shard, block, before, held = place, 0, 0, 0
+                ids, counts, codes, marks = [], [], [], []
             ids.append(doc), counts.append(n), codes.append(code), marks.append(mark)
             held += len(code) + 8
             if held >= BLOCK_BYTES:
@@ -136,8 +144,14 @@ def write_token_files(docs: DataFrame, spec: str, end: int = 2, path: str | None
         table[r["id"]] = r["n"]
     lengths = code_lengths(table).tobytes()
     spark.createDataFrame([(bytearray(lengths),)], "lengths binary").coalesce(1).write.parquet(f"{path}/codebook")
-    coded = ids.mapInArrow(_code(kind, spark.sparkContext.broadcast(lengths)), _CODED)
-    ordered = coded.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    # Shards are ranges of doc_id. Their bounds come from the ids alone: a range partitioning of the
+    # codes would make them twice, once to look at a sample.
+    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bounds = sorted(set(ids.approxQuantile("doc_id", [i / shards for i in range(1, shards)], 0.1 / shards)))
+    below = F.filter(F.array(*(F.lit(int(b)) for b in bounds)).cast("array<bigint>"), lambda b: b < F.col("doc_id"))
+    placed = ids.withColumn("shard", F.size(below))
+    coded = placed.mapInArrow(_code(kind, spark.sparkContext.broadcast(lengths)), _CODED)
+    ordered = coded.repartition(shards, "shard").sortWithinPartitions("shard", "doc_id")
     ordered.mapInArrow(_pack, _BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
     return path
 
