@@ -22,11 +22,15 @@ from signalsieve.llm.common import LOCATOR, full_text, let, located, words, writ
 UNIT = 256
 FEATURES = ("x_words", "x_length", "x_symbols", "x_lines", "x_repeats")
 P = len(FEATURES)
-#: Smallest standard deviation per feature: most texts have no symbols or repeats at all, and
-#: differences below this are no reason to reject.
-FLOOR = (1.0, 0.12, 0.04, 0.2, 0.2)
+#: What a text can resolve, per feature; squared it is added to the variances, which are 0 for shares
+#: that most texts of a group lack. Sizes: 5 per cent, as a mean word length over 100 words is known no
+#: better. Shares: 1 symbol in 400 characters, 1 line or word in 100. At the cutoff each feature can
+#: reject below the base rule.
+FLOOR = (0.05, 0.05, 0.05, 0.1, 0.1)
 #: Median of a chi-square variable with P degrees of freedom.
 CHI2_MEDIAN = 4.351
+#: Its quantile of 0.999: distances above it are outliers.
+CHI2_CUTOFF = 20.515
 
 BASE_MIN_WORDS = 50
 BASE_MAX_REPEATS = 50
@@ -175,7 +179,11 @@ def _concentrate(rows: DataFrame, estimate: DataFrame, inner: float) -> DataFram
 
 
 def _scale(rows: DataFrame, estimate: DataFrame) -> DataFrame:
-    """Adds ``scale`` per group: what brings the median distance to that of a normal vector."""
+    """Adds ``scale`` per group: what brings the median distance to that of a normal vector.
+
+    At least 1: features without scatter add nothing to the median distance, which must not shrink
+    the scatter of the others.
+    """
     bins = _binned(rows.join(estimate, "group"), F.count("*").alias("n"))
     nearer = Window.partitionBy("group").orderBy("bin")
     median = (
@@ -197,7 +205,7 @@ def mcd_estimates(rows: DataFrame, inner: float = 0.75, steps: int = 5) -> DataF
 
 
 def judge(
-    docs: DataFrame, cutoff: float = 40.0, min_group: int = 100, inner: float = 0.75, steps: int = 5,
+    docs: DataFrame, cutoff: float = CHI2_CUTOFF, min_group: int = 100, inner: float = 0.75, steps: int = 5,
     extra: Sequence[str] = (),
 ) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text, lang, source), with counts and verdict.
@@ -205,7 +213,7 @@ def judge(
     Returns doc_id, ``extra`` columns, n_words, word_chars, n_symbols, n_lines, n_dup_lines,
     n_repeat_words, base_failed, distance (squared Mahalanobis distance, or null), kept. A null
     text has no words; null languages and sources are groups of their own. Rows that fail the base
-    rule take no part in estimates. Sources with under ``min_group`` rows of a language are
+    rule take no part in estimates. Rows with a distance over ``cutoff`` are outliers. Sources with under ``min_group`` rows of a language are
     estimated together; if these are still too few, the method rejects none of them and distance is
     null. Other columns are not read; an empty table gives an empty result.
     """

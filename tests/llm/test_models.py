@@ -40,6 +40,32 @@ def test_outliers_go_and_clean_rows_stay(spark):
     assert kept.columns == docs.columns and kept.count() == 401
 
 
+def test_outliers_in_each_feature_go(spark):
+    """Planted rows pass the base rule and stand out in one feature each."""
+
+    def lines(words):
+        return "\n".join(" ".join(words[i : i + 2]) for i in range(0, len(words), 2))
+
+    def mixed(words, phrase, every):
+        return [w for i in range(0, len(words), every) for w in (*phrase, *words[i : i + every])]
+
+    clean = [(i, lines(prose(i, 60 + i % 90).split()), "en", "a") for i in range(400)]
+    planted = {"x_words": [], "x_length": [], "x_symbols": [], "x_lines": [], "x_repeats": []}
+    for k in range(12):
+        words = prose(5000 + k, 80 + 2 * k).split()
+        planted["x_words"].append(lines(prose(6000 + k, 6000).split()))
+        planted["x_length"].append(lines([(w + "klmnopqr")[:8] for w in words]))
+        planted["x_symbols"].append(lines([w + "#" if i % 4 == 0 else w for i, w in enumerate(words)]))
+        planted["x_lines"].append("\n".join("aa bb" if i % 3 == 0 else f"{words[i]} {words[i - 1]}" for i in range(len(words))))
+        planted["x_repeats"].append(lines(mixed(words, ("aa", "bb", "cc"), 5)))
+    rows = {1000 * (f + 1) + k: (name, t) for f, (name, texts) in enumerate(planted.items()) for k, t in enumerate(texts)}
+    docs = make(spark, clean + [(i, t, "en", "a") for i, (_, t) in rows.items()])
+    got = {r.doc_id: r for r in quality.judge(docs).collect()}
+    assert not any(got[i].base_failed for i in got)
+    assert {name for i, (name, _) in rows.items() if got[i].kept} == set()
+    assert all(got[i].kept for i, *_ in clean)
+
+
 def test_quality_on_edge_cases(edge_docs, edge_rows, no_docs):
     got = quality.judge(edge_docs)
     assert got.count() == len(edge_rows)
