@@ -146,11 +146,13 @@ def _found(words: Column, templates: Sequence[Template], postings: dict[str, lis
     )
 
     def agreed(ordered: Column) -> Column:
-        def same(vote: Column, k: Column) -> Column:
-            other = F.get(ordered, k + (agree - 1))
+        def alike(vote: Column, k: Column) -> Column:
+            other = F.get(ordered, k)
             return F.coalesce((other["t"] == vote["t"]) & (other["at"] == vote["at"]), F.lit(False))
 
-        return F.array_distinct(F.transform(F.filter(ordered, same), lambda v: F.struct(v["t"].alias("t"), v["at"].alias("at"))))
+        # The first vote of each group that is large enough; array_distinct compares all pairs of structs.
+        firsts = F.filter(ordered, lambda v, k: alike(v, k + (agree - 1)) & ~alike(v, k - 1))
+        return F.transform(firsts, lambda v: F.struct(v["t"].alias("t"), v["at"].alias("at")))
 
     def verified(hit: Column) -> Column:
         def stands(phrase: Column) -> Column:
@@ -195,27 +197,26 @@ def scan(
     frequency = document_frequency(docs, sorted(vocabulary))
     postings = _index(templates, frequency, anchors)
     wanted = _array(list(dict.fromkeys([*postings, *(max(p.split(), key=lambda w: (-frequency.get(w, 0), w)) for p, _ in base)])))
-    starts = F.array_sort(
-        F.concat(
-            *(
-                F.transform(_starts(F.col("_words"), phrase), _start(label))
-                for phrase, label in base
-            )
-        )
-    )
-    # Most files have none of the rare words; one hashed test per file spares them the rest.
-    near = F.arrays_overlap("_words", wanted)
     nothing = F.array()
     labels = lambda *arrays: F.array_sort(F.array_distinct(F.concat(*arrays)))
     names = lambda column: F.transform(column, lambda x: x["label"])
-    return (
-        docs.select("doc_id", license_words(full_text()).alias("_words"))
-        .withColumn("n_words", F.size("_words").cast("long"))
-        .withColumn("base_starts", F.when(near, starts).otherwise(nothing.cast("array<struct<start:bigint,label:string>>")))
-        .withColumn(
-            "found",
-            F.when(near, _found(F.col("_words"), templates, postings, agree)).otherwise(nothing.cast("array<struct<label:string,share:double>>")),
+
+    def read(words: Column) -> Column:
+        # Most files have none of the rare words; one hashed test per file spares them the rest.
+        near = F.arrays_overlap(words, wanted)
+        starts = F.array_sort(F.concat(*(F.transform(_starts(words, phrase), _start(label)) for phrase, label in base)))
+        return F.struct(
+            F.size(words).cast("long").alias("n_words"),
+            F.when(near, starts).otherwise(nothing.cast("array<struct<start:bigint,label:string>>")).alias("base_starts"),
+            F.when(near, _found(words, templates, postings, agree))
+            .otherwise(nothing.cast("array<struct<label:string,share:double>>"))
+            .alias("found"),
         )
+
+    # The words are bound once, in a generator: a filter on any column of the result stays above it,
+    # where it would otherwise put the split into every lambda and do it once per word.
+    return (
+        docs.select("doc_id", F.inline_outer(F.transform(F.array(license_words(full_text())), read)))
         .withColumn("base_labels", labels(names("base_starts")))
         .withColumn("labels", labels(names("base_starts"), names("found")))
         .withColumn(
@@ -224,5 +225,4 @@ def scan(
                 F.coalesce(F.array_max(F.transform("found", lambda x: x["share"])), F.lit(0.0))
             ),
         )
-        .drop("_words")
     )

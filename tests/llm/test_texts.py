@@ -160,3 +160,12 @@ def test_licence_scan_shuffles_nothing(spark, edge_rows):
     plan = scan(edge_docs)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
     assert scan(edge_docs).filter(F.col("score") > 0).count() == 0
+
+
+def test_a_filter_on_licences_splits_each_text_once(spark):
+    long = "mit license " * 50_000  # 100,000 words
+    docs = make(spark, [(1, long, "en", "a"), (1, long, "en", "a"), (None, "cc by nc", None, None), (2, None, None, None)])
+    licensed = scan(docs).filter((F.col("score") > 0) & (F.size("labels") > 0) & (F.size("base_starts") >= 0))
+    assert licensed._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    assert [r.doc_id for r in licensed.collect()] == [None]
+    assert sorted((r.doc_id or -1, r.n_words) for r in scan(docs).collect()) == [(-1, 3), (1, 100_000), (1, 100_000), (2, 0)]
