@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from collections.abc import Callable, Iterator
 from itertools import chain
 
@@ -57,6 +58,31 @@ class Cache:
         return self.young
 
 
+class BatchCache(Cache):
+    """A cache that makes all new pieces of a call together: ``make`` takes and gives a list."""
+
+    def __init__(self, make: Callable[[list[str]], list]):
+        super().__init__(lambda piece: make([piece])[0])
+        self.make_all = make
+
+    def knowing(self, lists: list[list[str]]) -> dict[str, object]:
+        for piece in self.long:
+            del self.young[piece]
+        if len(self.young) >= CACHE_PIECES:
+            self.old, self.young = self.young, {}
+        new = list(set(chain.from_iterable(lists)).difference(self.young))
+        old, young = self.old, self.young
+        unknown = []
+        for piece in new:
+            if piece in old:
+                young[piece] = old[piece]
+            else:
+                unknown.append(piece)
+        young.update(zip(unknown, self.make_all(unknown)))
+        self.long = [p for p in new if len(p) > CACHE_LENGTH]
+        return young
+
+
 class LibraryIds:
     """A tokenizer from the text of its file, without truncation and padding."""
 
@@ -70,21 +96,31 @@ class LibraryIds:
         self.by_words = has_known_patterns(json.loads(spec))
         special = [] if special_as_text else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self._special = re.compile("|".join(map(re.escape, special))) if special else None
+        # Few pieces have a character that all special tokens share; only these are searched.
+        self._sign = next(iter(set(special[0]).intersection(*special[1:])), "") if special else ""
         self._letters = dict(enumerate(byte_characters()))
-        self._words = Cache(self._word)
-        self._pieces = Cache(self._piece)
-
-    def _word(self, word: str) -> bytes:
-        if not word.isascii():
-            word = word.encode("utf-8", "surrogatepass").decode("latin-1")
-        return np.array([t.id for t in self.tokenizer.model.tokenize(word.translate(self._letters))], self.kind).tobytes()
-
-    def _piece(self, piece: str) -> bytes:
-        if not self.by_words or self._special is not None and self._special.search(piece):
-            return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, self.kind).tobytes()
-        words = split_words(piece)
-        known = self._words.knowing([words])
-        return b"".join([known[w] for w in words])
+        self._code = {2: "H", 4: "I"}[self.kind.itemsize]
+        self._words = BatchCache(self._word_ids)
+        self._pieces = BatchCache(self._piece_ids)
+
+    def _word_ids(self, words: list[str]) -> list[bytes]:
+        tokenize, letters, code, out = self.tokenizer.model.tokenize, self._letters, self._code, []
+        for word in words:
+            if not word.isascii():
+                word = word.encode("utf-8", "surrogatepass").decode("latin-1")
+            out.append(array(code, [t.id for t in tokenize(word.translate(letters))]).tobytes())
+        return out
+
+    def _by_library(self, piece: str) -> bool:
+        return not self.by_words or self._special is not None and self._sign in piece and self._special.search(piece) is not None
+
+    def _piece_ids(self, pieces: list[str]) -> list[bytes]:
+        split = [None if self._by_library(p) else split_words(p) for p in pieces]
+        get = self._words.knowing([s for s in split if s is not None]).__getitem__
+        return [
+            array(self._code, self.tokenizer.encode(p, add_special_tokens=False).ids).tobytes() if s is None else b"".join(map(get, s))
+            for p, s in zip(pieces, split)
+        ]
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text, as little-endian numbers of ``kind``; none for a null text."""
