@@ -7,6 +7,7 @@ import re
 from collections.abc import Sequence
 from heapq import heapify, heappop, heappush
 
+import numpy as np
 from sentencepiece import sentencepiece_model_pb2
 
 # --- Fixed values: the white-space marker and the piece types of the model format ---
@@ -47,6 +48,7 @@ class PieceBpe:
         self.bytes = {int(p.piece[1:-1], 16): i for i, p in enumerate(parsed.pieces) if p.type == BYTE}
         if len(self.bytes) < 256:
             raise ValueError("byte pieces are missing")
+        self.size = len(parsed.pieces)
         self._text = {i: p.replace(MARKER, " ").encode() for p, (_, i) in self.pieces.items()}
         self._text.update({i: bytes([b]) for b, i in self.bytes.items()})
         # A line end that only stands alone is a word of its own, as no piece joins it to another.
@@ -91,6 +93,11 @@ class PieceBpe:
         """UTF-8 of one marked word's ids, with a space for every marker."""
         return b"".join([self._text[i] for i in ids])
 
+    def piece_bytes(self) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all ids' pieces one after the other, and where each begins and ends."""
+        parts = [self._text.get(i, b"") for i in range(self.size)]
+        return np.frombuffer(b"".join(parts), np.uint8), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+
 
 _models: dict[str, PieceBpe] = {}
 

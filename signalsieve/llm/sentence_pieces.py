@@ -2,14 +2,19 @@
 
 Pieces of a vocabulary as :class:`signalsieve.llm.piece_bpe.PieceBpe` takes them never cross a
 white-space marker, so a marked word is segmented alike wherever it stands. Documents are written
-once as numbers of words, by blocks that each list their distinct words; a shuffle brings equal words of
-all blocks together, each distinct word is segmented once, and its ids go back to the blocks, where
-they are joined by position. However often a word occurs, it is shuffled once per block.
+once as numbers of words, by blocks that each list their distinct words. A shuffle brings the lists of
+all blocks together by a checksum of the words; there the table of distinct words is made, each word
+segmented once, and its ids go back to the blocks, where they are joined by position. However often
+a word occurs, it is shuffled once per block, and words travel packed by block and bucket, so no word
+and no bucket is hotter than others.
 """
 
 from __future__ import annotations
 
+import zlib
+from collections import defaultdict
 from collections.abc import Callable, Iterator
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -20,127 +25,159 @@ from pyspark.sql import functions as F
 
 from signalsieve.llm.common import importable, written
 from signalsieve.llm.frames import text_slices
-from signalsieve.llm.piece_bpe import piece_model
+from signalsieve.llm.piece_bpe import PieceBpe, piece_model
 
 #: A block closes with so many distinct words, or characters of texts.
-BLOCK_WORDS = 400_000
+BLOCK_WORDS = 1_000_000
 BLOCK_CHARACTERS = 64_000_000
-#: Rows of the word table whose ids are sent back together.
-SENT_TOGETHER = 400_000
-
-_SPOOL = "block bigint, doc_ids array<bigint>, counts array<bigint>, numbers binary, number int, word string"
+#: Buckets of words for each shuffle partition.
+BUCKETS = 4
+#: Words of a bucket's table; one with more starts the table anew and segments some words again.
+TABLE_WORDS = 2_000_000
+#: Words of a document joined at once.
+JOINED_TOGETHER = 1 << 18
+
+_SPOOL = "block bigint, bucket int, doc_ids array<bigint>, counts array<bigint>, numbers binary, lengths binary, words binary"
 _TABLE = "block bigint, numbers binary, lengths binary, ids binary"
 _JOINED = "doc_id bigint, ids array<int>, decoded string"
+_KINDS = {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64())}
 
 
-def _arrays(schema: str, **columns) -> pa.RecordBatch:
-    """A batch of this schema; columns not given are null."""
-    kinds = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64())}
+def _row(schema: str, **values) -> pa.RecordBatch:
+    """A batch of one row of this schema; columns not given are null."""
     fields = [f.split() for f in schema.split(", ")]
-    rows = len(next(iter(columns.values())))
-    return pa.RecordBatch.from_arrays(
-        [pa.array(columns[n], kinds[k]) if n in columns else pa.nulls(rows, kinds[k]) for n, k in fields], names=[n for n, _ in fields]
-    )
+    return pa.RecordBatch.from_arrays([pa.array([values.get(n)], _KINDS[k]) for n, k in fields], names=[n for n, _ in fields])
+
+
+def packed(numbers: np.ndarray) -> bytes:
+    """Numbers below 2 to the 32nd, compressed byte plane by byte plane."""
+    planes = np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1).astype(np.int64)
+
 
+def gather(flat: np.ndarray, starts: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """The parts ``chosen`` of ``flat`` one after the other; part i lies from starts[i] to starts[i + 1]."""
+    begins = starts[chosen]
+    sizes = starts[chosen + 1] - begins
+    ends = np.cumsum(sizes)
+    return flat[np.repeat(begins - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
 
-def _numbered(model, block_words: int, block_characters: int) -> Callable:
-    """Documents as numbers of words, and each block's words in their order."""
+
+def _numbered(model, buckets: int, block_words: int, block_characters: int) -> Callable:
+    """Documents as numbers of words, and each block's words by buckets, in their order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, pack = piece_model(model.value).words, zstandard.ZstdCompressor(level=3).compress
-        block, held, numbers = TaskContext.get().partitionId() << 32, 0, {}
-
-        def words() -> Iterator[pa.RecordBatch]:
-            ordered = sorted(numbers.items())
-            for i in range(0, len(ordered), 10_000):
-                part = ordered[i : i + 10_000]
-                yield _arrays(_SPOOL, block=[block] * len(part), number=[n for _, n in part], word=[w for w, _ in part])
+        block, held = TaskContext.get().partitionId() << 32, 0
+        numbers: dict[str, int] = defaultdict(count().__next__)
+
+        def lists() -> Iterator[pa.RecordBatch]:
+            words = sorted(numbers)
+            data = [w.encode() for w in words]
+            dealt = np.fromiter(map(zlib.crc32, data), np.int64, len(data)) % buckets
+            order = np.argsort(dealt, kind="stable")
+            cuts = np.searchsorted(dealt[order], np.arange(buckets + 1))
+            for bucket in np.flatnonzero(np.diff(cuts)).tolist():
+                chosen = order[cuts[bucket] : cuts[bucket + 1]].tolist()
+                parts = [data[i] for i in chosen]
+                yield _row(
+                    _SPOOL,
+                    block=block,
+                    bucket=bucket,
+                    numbers=packed(np.array([numbers[words[i]] for i in chosen])),
+                    lengths=packed(np.array([len(p) for p in parts])),
+                    words=pack(b"".join(parts)),
+                )
 
         for rows in text_slices(batches):
             texts = [split(t) for t in rows.column("text").to_pylist()]
-            for text in texts:
-                for word in set(text).difference(numbers):
-                    numbers[word] = len(numbers)
-            flat = np.fromiter((numbers[w] for t in texts for w in t), "<u4", sum(map(len, texts)))
             counts = [len(t) for t in texts]
-            yield _arrays(_SPOOL, block=[block], doc_ids=[rows.column("doc_id").to_pylist()], counts=[counts], numbers=[pack(flat.tobytes())])
-            held += sum(len(w) for t in texts for w in t)
+            flat = np.fromiter(map(numbers.__getitem__, chain.from_iterable(texts)), np.int64, sum(counts))
+            yield _row(_SPOOL, block=block, doc_ids=rows.column("doc_id").to_pylist(), counts=counts, numbers=packed(flat))
+            held += sum(map(len, chain.from_iterable(texts)))
             if len(numbers) >= block_words or held >= block_characters:
-                yield from words()
-                block, held, numbers = block + 1, 0, {}
-        yield from words()
+                yield from lists()
+                block, held, numbers = block + 1, 0, defaultdict(count().__next__)
+        yield from lists()
 
     return run
 
 
-def _segmented(model, kind: str, together: int) -> Callable:
-    """Ids of each distinct word of rows sorted by word, sent back to every block that has it."""
+def _segmented(model, kind: str, table_words: int) -> Callable:
+    """Ids of every listed word, by a table of the distinct words of each bucket; rows come by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, pack = piece_model(model.value).encode_word, zstandard.ZstdCompressor(level=3).compress
-        latest, ids = None, b""
-        blocks: list[int] = []
-        numbers: list[int] = []
-        parts: list[bytes] = []
-
-        def send() -> pa.RecordBatch:
-            size = np.dtype(kind).itemsize
-            by_block = np.array(blocks, np.int64)
-            order = np.lexsort((np.array(numbers), by_block))
-            ends = np.flatnonzero(np.diff(by_block[order], append=-1)) + 1
-            rows = [order[a:b].tolist() for a, b in zip([0, *ends[:-1]], ends)]
-            return _arrays(
-                _TABLE,
-                block=[blocks[r[0]] for r in rows],
-                numbers=[pack(np.array([numbers[i] for i in r], "<u4").tobytes()) for r in rows],
-                lengths=[pack(np.array([len(parts[i]) // size for i in r], "<u4").tobytes()) for r in rows],
-                ids=[pack(b"".join([parts[i] for i in r])) for r in rows],
-            )
-
-        for batch in batches:
-            for word, block, number in zip(*(batch.column(c).to_pylist() for c in ("word", "block", "number"))):
-                if word != latest:
-                    latest, ids = word, np.array(encode(word), kind).tobytes()
-                blocks.append(block), numbers.append(number), parts.append(ids)
-                if len(blocks) >= together:
-                    yield send()
-                    blocks, numbers, parts = [], [], []
-        if blocks:
-            yield send()
+        encode = piece_model(model.value).encode_word
+        unpack, pack = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=3).compress
+        bucket, table = None, {}
+        for row in chain.from_iterable(b.to_pylist() for b in batches):
+            if row["bucket"] != bucket or len(table) > table_words:
+                bucket, table = row["bucket"], {}
+            data, ends = unpack(row["words"]), np.cumsum(unpacked(row["lengths"])).tolist()
+            parts = [data[a:b] for a, b in zip([0, *ends], ends)]
+            for part in parts:
+                if part not in table:
+                    table[part] = np.array(encode(part.decode()), kind).tobytes()
+            ids = list(map(table.__getitem__, parts))
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // np.dtype(kind).itemsize
+            yield _row(_TABLE, block=row["block"], numbers=row["numbers"], lengths=packed(sizes), ids=pack(b"".join(ids)))
 
     return run
 
 
+class _Words:
+    """Ids and decoded bytes of all words of a block, by their numbers."""
+
+    def __init__(self, model: PieceBpe, kind: str, rows: list[dict]):
+        unpack = zstandard.ZstdDecompressor().decompress
+        none = np.zeros(0, np.int64)
+        numbers = np.concatenate([none, *(unpacked(r["numbers"]) for r in rows)])
+        sizes = np.concatenate([none, *(unpacked(r["lengths"]) for r in rows)])
+        flat = np.frombuffer(b"".join([unpack(r["ids"]) for r in rows]), kind)
+        listed, order = np.concatenate([[0], np.cumsum(sizes)]), np.argsort(numbers)
+        self.ids = gather(flat, listed, order)
+        self.id_starts = np.concatenate([[0], np.cumsum(sizes[order])])
+        pieces, piece_starts = model.piece_bytes()
+        self.data = gather(pieces, piece_starts, self.ids.astype(np.int64))
+        widths = np.concatenate([[0], np.cumsum(np.diff(piece_starts)[self.ids])])
+        self.data_starts = widths[self.id_starts]
+
+    def batches(self, row: dict) -> pa.RecordBatch:
+        """The documents of a row by the numbers of their words."""
+        numbers = unpacked(row["numbers"])
+        borders = np.concatenate([[0], np.cumsum(np.array(row["counts"], np.int64))])
+        steps = [numbers[i : i + JOINED_TOGETHER] for i in range(0, len(numbers), JOINED_TOGETHER)]
+        ids = np.concatenate([np.zeros(0, np.int32), *(gather(self.ids, self.id_starts, s).astype(np.int32) for s in steps)])
+        data = b"".join([gather(self.data, self.data_starts, s).tobytes() for s in steps])
+        at_id, at_byte = (np.concatenate([[0], np.cumsum(np.diff(s)[numbers])])[borders] for s in (self.id_starts, self.data_starts))
+        cuts = at_byte.tolist()
+        # The marker put before a text is no part of it.
+        texts = [data[a + 1 : b].decode() for a, b in zip(cuts, cuts[1:])]
+        lists = pa.ListArray.from_arrays(pa.array(at_id, pa.int32()), pa.array(ids))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(row["doc_ids"], pa.int64()), lists, pa.array(texts, pa.string())], names=["doc_id", "ids", "decoded"]
+        )
+
+
 def _joined(model, kind: str) -> Callable:
     """Documents of each block, after the block's words, with ids and decoded texts by position."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decode, unpack = piece_model(model.value).decode_word, zstandard.ZstdDecompressor().decompress
-        block, ids, texts = None, {}, {}
-        for batch in batches:
-            for row in batch.to_pylist():
-                if row["block"] != block:
-                    block, ids, texts = row["block"], {}, {}
-                numbers = np.frombuffer(unpack(row["numbers"]), "<u4").tolist()
-                if row["ids"] is not None:
-                    all_ids = np.frombuffer(unpack(row["ids"]), kind)
-                    ends = np.cumsum(np.frombuffer(unpack(row["lengths"]), "<u4"))
-                    flat, data, size = all_ids.tolist(), all_ids.tobytes(), all_ids.itemsize
-                    for number, start, end in zip(numbers, [0, *ends[:-1].tolist()], ends.tolist()):
-                        ids[number] = data[start * size : end * size]
-                        texts[number] = decode(flat[start:end])
-                    continue
-                parts = [ids[n] for n in numbers]
-                words = [texts[n] for n in numbers]
-                borders = np.cumsum([0, *row["counts"]]).tolist()
-                sizes = np.cumsum([0, *map(len, parts)])[borders] // np.dtype(kind).itemsize
-                # The marker put before a text is no part of it.
-                decoded = [b"".join(words[a:b])[1:].decode() for a, b in zip(borders, borders[1:])]
-                flat = np.frombuffer(b"".join(parts), kind).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(flat))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(row["doc_ids"], pa.int64()), lists, pa.array(decoded, pa.string())], names=["doc_id", "ids", "decoded"]
-                )
+        block, rows, words = None, [], None
+        for row in chain.from_iterable(b.to_pylist() for b in batches):
+            if row["block"] != block:
+                block, rows, words = row["block"], [], None
+            if row["ids"] is not None:
+                rows.append(row)
+                continue
+            if words is None:
+                words = _Words(piece_model(model.value), kind, rows)
+            yield words.batches(row)
 
     return run
 
@@ -150,7 +187,7 @@ def encode_pieces(
     model: bytes,
     block_words: int = BLOCK_WORDS,
     block_characters: int = BLOCK_CHARACTERS,
-    together: int = SENT_TOGETHER,
+    table_words: int = TABLE_WORDS,
 ) -> DataFrame:
     """Ids of each text of ``docs`` (doc_id, text) and the text decoded from them: doc_id, ids, decoded.
 
@@ -158,18 +195,21 @@ def encode_pieces(
     and decodes to the empty string. Rows are handled by themselves: repeated rows and equal texts
     give a row each, a null doc_id stays null, a table without rows gives none. Texts of any length
     are read whole; only doc_id and text are read, so columns of any other names do no harm.
-    A block holds at most ``block_words`` distinct words before the slice of texts that closes it.
+    A task holds one block's words (``block_words`` of them, or ``block_characters`` of texts, before the slice
+    that closes it) or one bucket's table (``table_words``) at a time.
     """
     spark = docs.sparkSession
     importable(spark)
-    kind = "<u2" if len(piece_model(model).pieces) + 259 <= 65536 else "<u4"
+    kind = "<u2" if piece_model(model).size <= 65536 else "<u4"
     sent = spark.sparkContext.broadcast(model)
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    spool = written(rows.mapInArrow(_numbered(sent, block_words, block_characters), _SPOOL), "words")
-    words = spool.filter("word is not null").select("word", "block", "number").repartition("word").sortWithinPartitions("word")
-    table = words.mapInArrow(_segmented(sent, kind, together), _TABLE)
-    documents = spool.filter("word is null").select("block", "doc_ids", "counts", "numbers")
+    numbered = _numbered(sent, BUCKETS * partitions, block_words, block_characters)
+    spool = written(rows.mapInArrow(numbered, _SPOOL), "words")
+    lists = spool.filter("bucket is not null").select("bucket", "block", "numbers", "lengths", "words")
+    table = lists.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_segmented(sent, kind, table_words), _TABLE)
+    documents = spool.filter("bucket is null").select("block", "doc_ids", "counts", "numbers")
     both = table.unionByName(documents, allowMissingColumns=True).withColumn("_last", F.col("ids").isNull())
     # A block's words first, then its documents.
-    together_ = both.repartition("block").sortWithinPartitions("block", "_last")
-    return together_.mapInArrow(_joined(sent, kind), _JOINED)
+    in_order = both.repartition("block").sortWithinPartitions("block", "_last")
+    return in_order.mapInArrow(_joined(sent, kind), _JOINED)

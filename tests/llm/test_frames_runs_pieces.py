@@ -18,7 +18,7 @@ from signalsieve.llm.piece_bpe import PieceBpe
 from signalsieve.llm.queries import (
     op11_fill_middle, op12_periodic_runs, op13_sentence_pieces, piece_vocabulary, with_planted_period,
 )
-from signalsieve.llm.sentence_pieces import encode_pieces
+from signalsieve.llm.sentence_pieces import encode_pieces, packed, unpacked
 from tests.llm.conftest import make
 
 SMALL = "/root/testdata/sf0.001"
@@ -221,7 +221,7 @@ def test_words_and_pieces_equal_the_library(pieces):
         assert b"".join(own.decode_word(own.encode_word(w)) for w in words)[1:].decode() == pieces.decode(ids)
 
 
-@pytest.mark.parametrize("options", [{}, {"block_words": 1, "together": 3}, {"block_characters": 500, "together": 50}])
+@pytest.mark.parametrize("options", [{}, {"block_words": 1, "table_words": 3}, {"block_characters": 500}])
 def test_encoded_pieces_of_edge_cases(edge_docs, edge_rows, pieces, options):
     got = encode_pieces(edge_docs, piece_vocabulary(), **options).collect()
     expected = [(r[0], pieces.encode(r[1] or "")) for r in edge_rows]
@@ -239,8 +239,10 @@ def test_encoded_pieces_of_no_documents(no_docs):
 
 def test_each_distinct_word_is_shuffled_once_per_block(spark):
     docs = make(spark, [(i, "same words again", None, None) for i in range(2000)]).coalesce(1)
+    numbers = np.random.default_rng(1).integers(0, 2**32, 999)
+    assert (unpacked(packed(numbers)) == numbers).all() and len(unpacked(packed(numbers[:0]))) == 0
     plan = encode_pieces(docs, piece_vocabulary())._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("hashpartitioning(word") == 1 and plan.count("hashpartitioning(block") == 1
+    assert plan.count("hashpartitioning(bucket") == 1 and plan.count("hashpartitioning(block") == 1
 
 
 # --- The registered queries ---
