@@ -34,11 +34,13 @@ BLOCK_CHARACTERS = 64_000_000
 BUCKETS = 4
 #: Words of a bucket's table; one with more starts the table anew and segments some words again.
 TABLE_WORDS = 2_000_000
+#: Level of compression of what is stored and sent.
+LEVEL = 9
 #: Words of a document joined at once.
 JOINED_TOGETHER = 1 << 18
 
 _SPOOL = "block bigint, bucket int, doc_ids array<bigint>, counts array<bigint>, numbers binary, lengths binary, words binary"
-_TABLE = "block bigint, numbers binary, lengths binary, ids binary"
+_TABLE = "block bigint, bucket int, lengths binary, ids binary"
 _JOINED = "doc_id bigint, ids array<int>, decoded string"
 _KINDS = {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64())}
 
@@ -49,10 +51,14 @@ def _row(schema: str, **values) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([values.get(n)], _KINDS[k]) for n, k in fields], names=[n for n, _ in fields])
 
 
+def _pack(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=LEVEL).compress(data)
+
+
 def packed(numbers: np.ndarray) -> bytes:
     """Numbers below 2 to the 32nd, compressed byte plane by byte plane."""
     planes = np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T)
-    return zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
+    return _pack(planes.tobytes())
 
 
 def unpacked(data: bytes) -> np.ndarray:
@@ -68,42 +74,52 @@ def gather(flat: np.ndarray, starts: np.ndarray, chosen: np.ndarray) -> np.ndarr
     return flat[np.repeat(begins - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
 
 
-def _numbered(model, buckets: int, block_words: int, block_characters: int) -> Callable:
-    """Documents as numbers of words, and each block's words by buckets, in their order."""
+class _Block:
+    """Documents of a block as numbers of words; frequent words get small numbers when it closes."""
+
+    def __init__(self):
+        self.numbers: dict[str, int] = defaultdict(count().__next__)
+        self.documents: list[tuple[list, list[int], np.ndarray]] = []
+        self.characters = 0
+
+    def add(self, ids: list, texts: list[list[str]]) -> None:
+        counts = [len(t) for t in texts]
+        flat = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(texts)), "<u4", sum(counts))
+        self.documents.append((ids, counts, flat))
+        self.characters += sum(map(len, chain.from_iterable(texts)))
+
+    def rows(self, block: int, buckets: int) -> Iterator[pa.RecordBatch]:
+        """The words by bucket, their numbers by bucket, and the documents."""
+        words = list(self.numbers)
+        total = np.zeros(len(words), np.int64)
+        for _, _, flat in self.documents:
+            total += np.bincount(flat, minlength=len(words))
+        ranked = np.argsort(-total, kind="stable")
+        rank = np.empty(len(words), np.int64)
+        rank[ranked] = np.arange(len(words))
+        data = [words[i].encode() for i in ranked.tolist()]
+        dealt = np.fromiter(map(zlib.crc32, data), np.int64, len(data)) % buckets
+        order = np.argsort(dealt, kind="stable")
+        cuts = np.searchsorted(dealt[order], np.arange(buckets + 1))
+        for bucket in np.flatnonzero(np.diff(cuts)).tolist():
+            chosen = order[cuts[bucket] : cuts[bucket + 1]]
+            parts = [data[i] for i in chosen.tolist()]
+            lengths = np.fromiter(map(len, parts), np.int64, len(parts))
+            yield _row(_SPOOL, block=block, bucket=bucket, lengths=packed(lengths), words=_pack(b"".join(parts)))
+            yield _row(_SPOOL, block=block, bucket=bucket, numbers=packed(np.diff(chosen, prepend=0)))
+        for ids, counts, flat in self.documents:
+            yield _row(_SPOOL, block=block, doc_ids=ids, counts=counts, numbers=packed(rank[flat]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, pack = piece_model(model.value).words, zstandard.ZstdCompressor(level=3).compress
-        block, held = TaskContext.get().partitionId() << 32, 0
-        numbers: dict[str, int] = defaultdict(count().__next__)
-
-        def lists() -> Iterator[pa.RecordBatch]:
-            words = sorted(numbers)
-            data = [w.encode() for w in words]
-            dealt = np.fromiter(map(zlib.crc32, data), np.int64, len(data)) % buckets
-            order = np.argsort(dealt, kind="stable")
-            cuts = np.searchsorted(dealt[order], np.arange(buckets + 1))
-            for bucket in np.flatnonzero(np.diff(cuts)).tolist():
-                chosen = order[cuts[bucket] : cuts[bucket + 1]].tolist()
-                parts = [data[i] for i in chosen]
-                yield _row(
-                    _SPOOL,
-                    block=block,
-                    bucket=bucket,
-                    numbers=packed(np.array([numbers[words[i]] for i in chosen])),
-                    lengths=packed(np.array([len(p) for p in parts])),
-                    words=pack(b"".join(parts)),
-                )
 
+def _numbered(model, buckets: int, block_words: int, block_characters: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, number, block = piece_model(model.value).words, TaskContext.get().partitionId() << 32, _Block()
         for rows in text_slices(batches):
-            texts = [split(t) for t in rows.column("text").to_pylist()]
-            counts = [len(t) for t in texts]
-            flat = np.fromiter(map(numbers.__getitem__, chain.from_iterable(texts)), np.int64, sum(counts))
-            yield _row(_SPOOL, block=block, doc_ids=rows.column("doc_id").to_pylist(), counts=counts, numbers=packed(flat))
-            held += sum(map(len, chain.from_iterable(texts)))
-            if len(numbers) >= block_words or held >= block_characters:
-                yield from lists()
-                block, held, numbers = block + 1, 0, defaultdict(count().__next__)
-        yield from lists()
+            block.add(rows.column("doc_id").to_pylist(), [split(t) for t in rows.column("text").to_pylist()])
+            if len(block.numbers) >= block_words or block.characters >= block_characters:
+                yield from block.rows(number, buckets)
+                number, block = number + 1, _Block()
+        yield from block.rows(number, buckets)
 
     return run
 
@@ -112,8 +128,7 @@ def _segmented(model, kind: str, table_words: int) -> Callable:
     """Ids of every listed word, by a table of the distinct words of each bucket; rows come by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = piece_model(model.value).encode_word
-        unpack, pack = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=3).compress
+        encode, unpack = piece_model(model.value).encode_word, zstandard.ZstdDecompressor().decompress
         bucket, table = None, {}
         for row in chain.from_iterable(b.to_pylist() for b in batches):
             if row["bucket"] != bucket or len(table) > table_words:
@@ -125,7 +140,7 @@ def _segmented(model, kind: str, table_words: int) -> Callable:
                     table[part] = np.array(encode(part.decode()), kind).tobytes()
             ids = list(map(table.__getitem__, parts))
             sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // np.dtype(kind).itemsize
-            yield _row(_TABLE, block=row["block"], numbers=row["numbers"], lengths=packed(sizes), ids=pack(b"".join(ids)))
+            yield _row(_TABLE, block=row["block"], bucket=bucket, lengths=packed(sizes), ids=_pack(b"".join(ids)))
 
     return run
 
@@ -133,10 +148,10 @@ def _segmented(model, kind: str, table_words: int) -> Callable:
 class _Words:
     """Ids and decoded bytes of all words of a block, by their numbers."""
 
-    def __init__(self, model: PieceBpe, kind: str, rows: list[dict]):
+    def __init__(self, model: PieceBpe, kind: str, rows: list[dict], numbered: dict[int, bytes]):
         unpack = zstandard.ZstdDecompressor().decompress
         none = np.zeros(0, np.int64)
-        numbers = np.concatenate([none, *(unpacked(r["numbers"]) for r in rows)])
+        numbers = np.concatenate([none, *(np.cumsum(unpacked(numbered[r["bucket"]])) for r in rows)])
         sizes = np.concatenate([none, *(unpacked(r["lengths"]) for r in rows)])
         flat = np.frombuffer(b"".join([unpack(r["ids"]) for r in rows]), kind)
         listed, order = np.concatenate([[0], np.cumsum(sizes)]), np.argsort(numbers)
@@ -168,16 +183,17 @@ def _joined(model, kind: str) -> Callable:
     """Documents of each block, after the block's words, with ids and decoded texts by position."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, rows, words = None, [], None
+        block, rows, numbered, words = None, [], {}, None
         for row in chain.from_iterable(b.to_pylist() for b in batches):
             if row["block"] != block:
-                block, rows, words = row["block"], [], None
+                block, rows, numbered, words = row["block"], [], {}, None
             if row["ids"] is not None:
                 rows.append(row)
-                continue
-            if words is None:
-                words = _Words(piece_model(model.value), kind, rows)
-            yield words.batches(row)
+            elif row["bucket"] is not None:
+                numbered[row["bucket"]] = row["numbers"]
+            else:
+                words = words or _Words(piece_model(model.value), kind, rows, numbered)
+                yield words.batches(row)
 
     return run
 
@@ -206,10 +222,10 @@ def encode_pieces(
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     numbered = _numbered(sent, BUCKETS * partitions, block_words, block_characters)
     spool = written(rows.mapInArrow(numbered, _SPOOL), "words")
-    lists = spool.filter("bucket is not null").select("bucket", "block", "numbers", "lengths", "words")
+    lists = spool.filter("words is not null").select("bucket", "block", "lengths", "words")
     table = lists.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_segmented(sent, kind, table_words), _TABLE)
-    documents = spool.filter("bucket is null").select("block", "doc_ids", "counts", "numbers")
-    both = table.unionByName(documents, allowMissingColumns=True).withColumn("_last", F.col("ids").isNull())
+    documents = spool.filter("words is null").select("block", "bucket", "doc_ids", "counts", "numbers")
+    both = table.unionByName(documents, allowMissingColumns=True).withColumn("_last", F.col("doc_ids").isNotNull())
     # A block's words first, then its documents.
     in_order = both.repartition("block").sortWithinPartitions("block", "_last")
     return in_order.mapInArrow(_joined(sent, kind), _JOINED)
