@@ -36,10 +36,13 @@ BUCKETS = 4
 TABLE_WORDS = 2_000_000
 #: Level of compression of what is stored and sent.
 LEVEL = 9
+#: Numbers below these bounds take one and two bytes.
+ONE_BYTE = 192
+TWO_BYTES = ONE_BYTE + (255 - ONE_BYTE) * 256
 #: Words of a document joined at once.
 JOINED_TOGETHER = 1 << 18
 
-_SPOOL = "block bigint, bucket int, doc_ids array<bigint>, counts array<bigint>, numbers binary, lengths binary, words binary"
+_SPOOL = "block bigint, bucket int, doc_ids array<bigint>, counts array<bigint>, single bigint, numbers binary, lengths binary, words binary"
 _TABLE = "block bigint, bucket int, lengths binary, ids binary"
 _JOINED = "doc_id bigint, ids array<int>, decoded string"
 _KINDS = {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64())}
@@ -66,6 +69,27 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").reshape(-1).astype(np.int64)
 
 
+def short(numbers: np.ndarray) -> bytes:
+    """Numbers of which most are small, compressed: a byte each, then the second bytes of those that need
+    one, then all four of the few largest."""
+    two = (numbers >= ONE_BYTE) & (numbers < TWO_BYTES)
+    three = numbers >= TWO_BYTES
+    first = np.where(two, ONE_BYTE + (numbers - ONE_BYTE >> 8), np.where(three, 255, numbers))
+    rest = (numbers[three] - TWO_BYTES).astype("<u4").view(np.uint8).reshape(-1, 4)
+    return _pack(b"".join([first.astype(np.uint8).tobytes(), (numbers[two] - ONE_BYTE & 255).astype(np.uint8).tobytes(), rest.T.tobytes()]))
+
+
+def long(data: bytes, n: int) -> np.ndarray:
+    """The ``n`` numbers of :func:`short`."""
+    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).astype(np.int64)
+    numbers, rest = flat[:n].copy(), flat[n:]
+    two, three = (numbers >= ONE_BYTE) & (numbers < 255), numbers == 255
+    k = int(np.count_nonzero(two))
+    numbers[two] = ONE_BYTE + (numbers[two] - ONE_BYTE << 8) + rest[:k]
+    numbers[three] = TWO_BYTES + (rest[k:].reshape(4, -1) << np.array([[0], [8], [16], [24]])).sum(axis=0)
+    return numbers
+
+
 def gather(flat: np.ndarray, starts: np.ndarray, chosen: np.ndarray) -> np.ndarray:
     """The parts ``chosen`` of ``flat`` one after the other; part i lies from starts[i] to starts[i + 1]."""
     begins = starts[chosen]
@@ -75,7 +99,7 @@ def gather(flat: np.ndarray, starts: np.ndarray, chosen: np.ndarray) -> np.ndarr
 
 
 class _Block:
-    """Documents of a block as numbers of words; frequent words get small numbers when it closes."""
+    """Documents of a block as numbers of words; when it closes, frequent words get small numbers."""
 
     def __init__(self):
         self.numbers: dict[str, int] = defaultdict(count().__next__)
@@ -107,8 +131,13 @@ class _Block:
             lengths = np.fromiter(map(len, parts), np.int64, len(parts))
             yield _row(_SPOOL, block=block, bucket=bucket, lengths=packed(lengths), words=_pack(b"".join(parts)))
             yield _row(_SPOOL, block=block, bucket=bucket, numbers=packed(np.diff(chosen, prepend=0)))
+        # Words found once come last, in the order in which they are met, so that a row needs the first of its own only.
+        often = int(np.count_nonzero(total > 1))
         for ids, counts, flat in self.documents:
-            yield _row(_SPOOL, block=block, doc_ids=ids, counts=counts, numbers=packed(rank[flat]))
+            chosen = rank[flat]
+            once = chosen >= often
+            first = int(chosen[once][0]) if once.any() else 0
+            yield _row(_SPOOL, block=block, doc_ids=ids, counts=counts, single=first, numbers=short(np.where(once, 0, chosen + 1)))
 
 
 def _numbered(model, buckets: int, block_words: int, block_characters: int) -> Callable:
@@ -164,8 +193,10 @@ class _Words:
 
     def batches(self, row: dict) -> pa.RecordBatch:
         """The documents of a row by the numbers of their words."""
-        numbers = unpacked(row["numbers"])
         borders = np.concatenate([[0], np.cumsum(np.array(row["counts"], np.int64))])
+        numbers = long(row["numbers"], int(borders[-1])) - 1
+        once = numbers < 0
+        numbers[once] = row["single"] + np.arange(np.count_nonzero(once))
         steps = [numbers[i : i + JOINED_TOGETHER] for i in range(0, len(numbers), JOINED_TOGETHER)]
         ids = np.concatenate([np.zeros(0, np.int32), *(gather(self.ids, self.id_starts, s).astype(np.int32) for s in steps)])
         data = b"".join([gather(self.data, self.data_starts, s).tobytes() for s in steps])
@@ -224,7 +255,7 @@ def encode_pieces(
     spool = written(rows.mapInArrow(numbered, _SPOOL), "words")
     lists = spool.filter("words is not null").select("bucket", "block", "lengths", "words")
     table = lists.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_segmented(sent, kind, table_words), _TABLE)
-    documents = spool.filter("words is null").select("block", "bucket", "doc_ids", "counts", "numbers")
+    documents = spool.filter("words is null").select("block", "bucket", "doc_ids", "counts", "single", "numbers")
     both = table.unionByName(documents, allowMissingColumns=True).withColumn("_last", F.col("doc_ids").isNotNull())
     # A block's words first, then its documents.
     in_order = both.repartition("block").sortWithinPartitions("block", "_last")

@@ -18,7 +18,7 @@ from signalsieve.llm.piece_bpe import PieceBpe
 from signalsieve.llm.queries import (
     op11_fill_middle, op12_periodic_runs, op13_sentence_pieces, piece_vocabulary, with_planted_period,
 )
-from signalsieve.llm.sentence_pieces import encode_pieces, packed, unpacked
+from signalsieve.llm.sentence_pieces import encode_pieces, long, packed, short, unpacked
 from tests.llm.conftest import make
 
 SMALL = "/root/testdata/sf0.001"
@@ -241,6 +241,9 @@ def test_each_distinct_word_is_shuffled_once_per_block(spark):
     docs = make(spark, [(i, "same words again", None, None) for i in range(2000)]).coalesce(1)
     numbers = np.random.default_rng(1).integers(0, 2**32, 999)
     assert (unpacked(packed(numbers)) == numbers).all() and len(unpacked(packed(numbers[:0]))) == 0
+    edges = np.array([0, 1, 191, 192, 193, 447, 448, 16319, 16320, 16321, 70_000, 2**23, 2**24 + 16319, 2**31])
+    for some in (edges, edges[:3], edges[:0], edges[-2:], np.random.default_rng(2).permutation(40_000)):
+        assert (long(short(some), len(some)) == some).all()
     plan = encode_pieces(docs, piece_vocabulary())._jdf.queryExecution().executedPlan().toString()
     assert plan.count("hashpartitioning(bucket") == 1 and plan.count("hashpartitioning(block") == 1
 
