@@ -16,7 +16,7 @@ from signalsieve.operators.evidence import KEYS
 DEFAULT_CONFIG = ScoringConfig()
 
 
-def entity_profile(evidence: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+def entity_profile(evidence: DataFrame, keys: Sequence[str] = KEYS, channels: bool = False) -> DataFrame:
     """All counts the ratings need, in one aggregation per entity.
 
     Every buffer has a fixed width, so Spark aggregates by hashing and combines on the map
@@ -24,7 +24,8 @@ def entity_profile(evidence: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame
     and texts are fetched later, for shortlisted prospects only.
 
     Reads buckets, source_type, source_url, signal_date and, where present, reliability
-    (percent), ``stale``, ``as_of``, ``disqualified``, ``icp_trigger`` and ``entity_type``.
+    (percent), ``stale``, ``as_of``, ``disqualified``, ``icp_trigger`` and ``entity_type``. With ``channels``
+    the set of linked source types is given instead of their number, so that profiles can be merged.
     """
     columns = set(evidence.columns)
     observed = F.size("buckets") > 0
@@ -43,6 +44,8 @@ def entity_profile(evidence: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame
         extras.append(F.bool_or("disqualified").alias("is_disqualified"))
     if "entity_type" in columns:
         extras.append(F.coalesce(F.bool_or(F.col("entity_type").isin(list(COMPANY_TYPES))), F.lit(False)).alias("is_company"))
+    channel = F.when(F.col("_valid"), F.col("source_type"))
+    reached = F.array_sort(F.collect_set(channel)).alias("channels") if channels else F.count_distinct(channel).alias("n_channels")
     return evidence.withColumn("_valid", has_valid_url("source_url")).groupBy(*keys).agg(
         F.count("*").alias("n_signals"),
         *n_bucket,
@@ -55,7 +58,7 @@ def entity_profile(evidence: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame
         F.max(F.when(hit["timing"], F.col("signal_date"))).alias("newest_trigger"),
         F.sum(rated).alias("reliability_sum"),
         F.count(rated).alias("reliability_n"),
-        F.count_distinct(F.when(F.col("_valid"), F.col("source_type"))).alias("n_channels"),
+        reached,
         *extras,
     )
 

@@ -49,6 +49,12 @@ LANGUAGE_LEXICON = [
 SENSITIVE_STAND_IN = ["worthless", "idiots"]
 
 
+# Syllables of the names of customers, one per digit; any two differ in two letters or more.
+SYLLABLES = ["bal", "cen", "dir", "fos", "gum", "hax", "jep", "kit", "lov", "muz"]
+EVENT_GAP, EVENT_LATENESS = "6 hours", "12 hours"
+SHARED_SITES = ("forum.example", "social.example")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -99,6 +105,41 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def customer_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up to five profiles of each customer, as sources would show it: its own page, a directory entry in
+    capitals with a legal form, a forum name with a letter missing, a social handle and a shop page.
+
+    A customer's number gives its name; ``profile_id`` is the number times eight plus the kind."""
+    key = F.col("c_custkey")
+    digits = F.lpad(((key + 1) * 617_920_037 % 1_000_000_000).cast("string"), 9, "0")
+    part = lambda i: F.element_at(F.array(*map(F.lit, SYLLABLES)), F.substring("_digits", i, 1).cast("int") + 1)
+    words = [F.concat(*(part(i) for i in range(k, k + 3))) for k in (1, 4, 7)]
+    named = table(spark, sf_dir, "customer").select("c_custkey", digits.alias("_digits")).select(
+        "c_custkey", *(w.alias(f"_{i}") for i, w in enumerate(words))
+    )
+    name, compact, handle = F.initcap(F.concat_ws(" ", "_0", "_1", "_2")), F.concat("_0", "_1", "_2"), F.concat_ws("_", "_0", "_1", "_2")
+    at = (key % 15 + 12).cast("int")
+    typo = F.concat(F.substring(name, F.lit(1), at - 1), F.substring(name, at + 1, F.lit(99)))
+    text = F.lit(None).cast("string")
+    kinds = [
+        (1, name, F.when(key % 3 == 0, F.concat(F.lit("www."), compact, F.lit(".example"))), text),
+        (2, F.concat(F.upper(name), F.lit(", INC.")), text, F.concat(F.lit("@"), handle)),
+        (3, typo, F.lit("forum.example"), text),
+        (5, text, F.lit("m.social.example"), handle),
+        (6, text, F.concat(F.lit("shop."), compact, F.lit(".example")), text),
+    ]
+    profiles = F.array(
+        *(
+            F.when(
+                key % every == 0,
+                F.struct((key * 8 + i).alias("profile_id"), n.alias("name"), h.alias("host"), a.alias("handle")),
+            )
+            for i, (every, n, h, a) in enumerate(kinds)
+        )
+    )
+    return named.select(F.inline(F.array_compact(profiles)))
+
+
 def order_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order signals with their product and entity name."""
     return salted_join(order_signals(spark, sf_dir), customers(spark, sf_dir), ["entity_key"])
@@ -180,6 +221,17 @@ def event_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def arriving_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as signals with a short text, and the microsecond of their arrival, up to nine hours late."""
+    at = F.col("ts").cast("timestamp")
+    return table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("signal_id"),
+        at.alias("event_time"),
+        F.concat_ws(" ", "event_type", (F.col("user_id") % 10).cast("string")).alias("text"),
+        (F.unix_micros(at) + F.col("event_id") % 10 * 3_600_000_000).alias("arrival"),
+    )
+
+
 def document_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as signal texts; their source is the entity."""
     return spread_small(table(spark, sf_dir, "documents"), "doc_id").select(

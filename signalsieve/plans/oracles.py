@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from signalsieve.config import BUCKETS, DEFAULT_LIMIT, DIMENSION_LABELS
 from signalsieve.functions.texts import ADDRESS, EMAIL, PHONE
-from signalsieve.plans.bindings import LANGUAGE_LEXICON, SENSITIVE_STAND_IN, STAND_IN_LEXICON
+from signalsieve.plans.bindings import LANGUAGE_LEXICON, SENSITIVE_STAND_IN, STAND_IN_LEXICON, SYLLABLES
 
 _ORACLES: dict[str, str] = {}
 
@@ -136,6 +136,43 @@ _add(
     _ORDERS,
     _CUSTOMERS,
 )
+_SYLLABLES = "[" + ", ".join(f"'{x}'" for x in SYLLABLES) + "]"
+# Every pair of profiles is looked at here, so the blocks of the Spark query must lose none.
+_PROFILES = f"""named AS (
+  SELECT c_custkey AS k, [list_aggregate([{_SYLLABLES}[CAST(x AS INT) + 1] FOR x IN string_split(d[i:i + 2], '')], 'string_agg', '') FOR i IN [1, 4, 7]] AS w
+  FROM (SELECT *, lpad(CAST((c_custkey + 1) * 617920037 % 1000000000 AS VARCHAR), 9, '0') AS d FROM customer)
+), spelled AS (
+  SELECT k, array_to_string(w, '') AS compact, array_to_string(w, '_') AS handle,
+         array_to_string([upper(x[1]) || x[2:] FOR x IN w], ' ') AS name FROM named
+), profiles AS (
+  SELECT k * 8 AS id, name, CASE WHEN k % 3 = 0 THEN compact || '.example' END AS site, NULL AS handle FROM spelled
+  UNION ALL SELECT k * 8 + 1, name, NULL, handle FROM spelled WHERE k % 2 = 0
+  UNION ALL SELECT k * 8 + 2, name[:k % 15 + 11] || name[k % 15 + 13:], NULL, NULL FROM spelled WHERE k % 3 = 0
+  UNION ALL SELECT k * 8 + 3, NULL, NULL, handle FROM spelled WHERE k % 5 = 0
+  UNION ALL SELECT k * 8 + 4, NULL, compact || '.example', NULL FROM spelled WHERE k % 6 = 0
+), plain AS (
+  SELECT id, replace(lower(name), ' ', '') AS name, array_to_string(list_sort(string_split(lower(name), ' ')), '') AS sorted, site, replace(handle, '_', '') AS handle,
+         split_part(site, '.', 1) AS label
+  FROM profiles
+), pairs AS (
+  SELECT x.id AS a, y.id AS b, 1 - least(levenshtein(x.name, y.name), levenshtein(x.sorted, y.sorted)) / greatest(length(x.name), length(y.name)) AS n,
+         CAST(x.site = y.site AS INT) AS s, CAST(x.handle = y.handle AS INT) AS h,
+         coalesce(x.name = y.handle, FALSE) OR coalesce(x.handle = y.name, FALSE) OR coalesce(x.name = y.label, FALSE)
+         OR coalesce(x.label = y.name, FALSE) OR coalesce(x.handle = y.label, FALSE) OR coalesce(x.label = y.handle, FALSE) AS alias
+  FROM plain x JOIN plain y ON x.id < y.id
+), links AS (
+  SELECT a, b FROM pairs
+  WHERE (alias OR s = 1 OR h = 1 OR n = 1 OR n >= 1 - 1 / 26.0)
+    AND (coalesce(0.5 * n, 0) + coalesce(0.2 * s, 0) + coalesce(0.3 * h, 0) + CASE WHEN alias THEN 0.4 ELSE 0 END)
+      / (CASE WHEN n IS NULL THEN 0 ELSE 0.5 END + CASE WHEN s IS NULL THEN 0 ELSE 0.2 END + CASE WHEN h IS NULL THEN 0 ELSE 0.3 END
+         + CASE WHEN alias THEN 0.4 ELSE 0 END) >= 0.65
+), ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached AS (SELECT id, id AS top FROM plain UNION SELECT b, top FROM reached JOIN ways ON reached.id = ways.a)"""
+_add(
+    "resolved_profiles",
+    "SELECT id AS profile_id, min(top) AS entity_id FROM reached GROUP BY id",
+    "RECURSIVE " + _PROFILES,
+)
 _add(
     "score_breakdown",
     "SELECT product_id, entity_key, position, dimension, label, rating, rating * 20 AS bar_percent FROM ("
@@ -534,6 +571,20 @@ _add(
     SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS first_id FROM folded) WHERE doc_id <> first_id""",
     _FOLDED,
 )
+_add(
+    "near_document_classes",
+    "SELECT doc_id AS signal_id, min(top) AS class_id FROM reached GROUP BY doc_id",
+    "RECURSIVE " + _FOLDED,
+    """firsts AS (SELECT t, min(doc_id) AS id FROM folded WHERE t IS NOT NULL AND t <> '' GROUP BY t),
+split AS (SELECT id, string_split(t, ' ') AS w FROM firsts),
+runs AS (SELECT DISTINCT id, array_to_string(w[i + 1:i + 5], ' ') AS s FROM (SELECT *, unnest(range(greatest(len(w) - 4, 1))) AS i FROM split)),
+sizes AS (SELECT id, count(*) AS n FROM runs GROUP BY id),
+shared AS (SELECT x.id AS a, y.id AS b, count(*) AS n FROM runs x JOIN runs y ON x.s = y.s AND x.id < y.id GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN sizes p ON a = p.id JOIN sizes q ON b = q.id WHERE 10 * shared.n >= 8 * (p.n + q.n - shared.n)
+  UNION ALL SELECT f.id, d.doc_id FROM folded d JOIN firsts f USING (t) WHERE f.id < d.doc_id),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached AS (SELECT doc_id, doc_id AS top FROM documents UNION SELECT b, top FROM reached JOIN ways ON doc_id = a)""",
+)
 
 # --- Pages ---
 
@@ -659,3 +710,18 @@ _add(
     f"SELECT document_id, input_position, name, stage, score, source_url, why_now, {_FIVE} FROM items",
     _IMPORTED,
 )
+
+# --- Stored tables and streams ---
+
+_ORACLES["refreshed_ratings"] = _ORACLES["prospect_ratings"]
+_add(
+    "streamed_first_events",
+    """SELECT first(signal_id ORDER BY ts, signal_id) AS signal_id, text, epoch_us(min(ts)) AS started,
+  epoch_us(max(ts) + INTERVAL 6 HOURS) AS ended, count(*) AS n_copies
+FROM numbered GROUP BY text, session HAVING max(ts) + INTERVAL 6 HOURS <= (SELECT max(ts) FROM texts) - INTERVAL 12 HOURS""",
+    "texts AS (SELECT event_id AS signal_id, CAST(ts AS TIMESTAMP) AS ts, event_type || ' ' || (user_id % 10) AS text FROM events)",
+    """marked AS (SELECT *, coalesce(ts > lag(ts) OVER same + INTERVAL 6 HOURS, TRUE) AS opens FROM texts
+  WINDOW same AS (PARTITION BY text ORDER BY ts, signal_id))""",
+    """numbered AS (SELECT *, count(*) FILTER (WHERE opens) OVER (PARTITION BY text ORDER BY ts, signal_id
+  ROWS UNBOUNDED PRECEDING) AS session FROM marked)""",
+)

@@ -14,11 +14,12 @@ from signalsieve.functions.numbers import clamp, clamp_text
 from signalsieve.functions.scores import band, stage_class
 from signalsieve.functions.texts import fold_text
 from signalsieve.functions.urls import has_valid_url, safe_url, url_host, url_key
-from signalsieve.operators import aggregates, briefs, dedup, evidence, matching, outreach, policy, ranking, reporting, scoring
+from signalsieve.operators import aggregates, briefs, dedup, entities, evidence, incremental, matching, near_copies, outreach, policy, ranking, reporting, scoring
 from signalsieve.operators.skew import shared_folder, stable
 from signalsieve.plans import bindings as b
 from signalsieve.sources import reports as report_source
 from signalsieve.sources.signals import union_signals
+from signalsieve.streaming import dedup as stream_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 _REGISTRY: dict[str, Query] = {}
@@ -74,11 +75,29 @@ def prospect_ratings_default(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scores(b.order_prospects(spark, sf_dir, ScoringConfig(fit_source="buckets")))
 
 
+@query
+def refreshed_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same prospects from a stored table of profiles to which the orders came in four batches."""
+    path = f"{shared_folder(spark)}/profiles-{uuid.uuid4().hex}"
+    signals = stable(b.order_signals(spark, sf_dir).withColumn("_batch", F.col("signal_id") % 4))
+    for batch in range(4):
+        incremental.refresh_profiles(path, signals.filter(F.col("_batch") == batch), batch, ["entity_key"], 8)
+    profiles = incremental.stored_profiles(spark, path, signals, ["entity_key"])
+    rated = incremental.rated_profiles(profiles, b.AS_OF, b.ORDER_CONFIG)
+    return _scores(rated.join(b.customers(spark, sf_dir), "entity_key"))
+
+
 @query
 def resolved_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.resolve_entities(b.order_evidence(spark, sf_dir))
 
 
+@query
+def resolved_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profiles of customers under different names, handles and sites, with the entity they are of."""
+    return entities.resolve_profiles(b.customer_profiles(spark, sf_dir), b.SHARED_SITES)
+
+
 @query
 def score_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.dimension_breakdown(b.order_prospects(spark, sf_dir))
@@ -514,6 +533,12 @@ def document_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.copies_of(b.document_signals(spark, sf_dir))
 
 
+@query
+def near_document_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of equal and reworded documents each document is of."""
+    return near_copies.near_classes(b.document_signals(spark, sf_dir))
+
+
 # --- Pages as sources ---
 
 
@@ -689,3 +714,27 @@ def round_trip_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
         "document_id", "input_position", "name", "stage", "score", "source_url", "why_now",
         *(F.col(f"dimensions.{name}").alias(name) for name in DIMENSION_LABELS),
     )
+
+
+# --- Streams ---
+
+
+@query
+def streamed_first_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first event of each closed session of like events, from a stream that is stopped and started again.
+
+    Events arrive up to nine hours late, in three parts; the state waits twelve hours."""
+    folder = f"{shared_folder(spark)}/events-{uuid.uuid4().hex}"
+    events = stable(b.arriving_events(spark, sf_dir))
+    span = events.agg(F.min("arrival").alias("low"), F.max("arrival").alias("high")).first()
+    part = F.floor((F.col("arrival") - F.lit(span["low"])) * 3 / F.lit((span["high"] or 0) - (span["low"] or 0) + 1))
+    placed = events.withColumn("_part", part).drop("arrival")
+    schema = placed.drop("_part").schema
+    for k in range(3):
+        placed.filter(F.col("_part") == k).drop("_part").write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{folder}/in")
+        first = stream_dedup.first_of_sessions(stream, "event_time", b.EVENT_GAP, b.EVENT_LATENESS)
+        stream_dedup.append_first_signals(first, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return spark.read.schema(first.schema).parquet(f"{folder}/out").select(
+        "signal_id", "text", F.unix_micros("session_start").alias("started"), F.unix_micros("session_end").alias("ended"), "n_copies"
+    )
