@@ -140,20 +140,20 @@ def customer_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select(F.inline(F.array_compact(profiles)))
 
 
-def order_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+def order_evidence(spark: SparkSession, sf_dir: str, signals: DataFrame | None = None) -> DataFrame:
     """Order signals with their product and entity name."""
-    return salted_join(order_signals(spark, sf_dir), customers(spark, sf_dir), ["entity_key"])
+    return salted_join(order_signals(spark, sf_dir) if signals is None else signals, customers(spark, sf_dir), ["entity_key"])
 
 
 def order_prospects(
-    spark: SparkSession, sf_dir: str, config: ScoringConfig = ORDER_CONFIG
+    spark: SparkSession, sf_dir: str, config: ScoringConfig = ORDER_CONFIG, signals: DataFrame | None = None
 ) -> DataFrame:
     """One rated prospect per customer with an order.
 
     Orders are aggregated by customer before customers are joined, so a customer with very
     many orders is one row by then and the join has unique keys on both sides.
     """
-    profile = entity_profile(order_signals(spark, sf_dir), ["entity_key"])
+    profile = entity_profile(order_signals(spark, sf_dir) if signals is None else signals, ["entity_key"])
     return rate_prospects(profile, config).join(customers(spark, sf_dir), "entity_key")
 
 
@@ -252,6 +252,20 @@ def page_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def linked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with links to originals: of every eight, three lie on a chain, two on a cycle, one sends readers on
+    to a page of its site that is not in the table, and two name none."""
+    pages = page_signals(spark, sf_dir)
+    last = F.col("signal_id") % 8
+    step = F.when(last.isin(0, 1, 2), 1).when(last == 4, 1).when(last == 5, -1)
+    target = pages.select((F.col("signal_id")).alias("_to"), F.col("source_url").alias("_target"))
+    joined = pages.withColumn("_to", F.col("signal_id") + step).join(target, "_to", "left")
+    canonical = F.concat(F.lit("<link rel='canonical' href='"), F.col("_target"), F.lit("'>"))
+    refresh = F.lit('<meta http-equiv="refresh" content="0; url=/moved?x=1&amp;y=2">')
+    tag = F.when(F.col("_target").isNotNull(), canonical).when(last == 6, refresh).otherwise(F.lit(""))
+    return joined.select("signal_id", "source_url", F.replace("text", F.lit("</title>"), F.concat(F.lit("</title>"), tag)).alias("text"))
+
+
 def language_icp_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ICP terms per product, one product per document language."""
     terms = [

@@ -711,6 +711,41 @@ _add(
     _IMPORTED,
 )
 
+# --- Originals, triggers, sketches ---
+
+_add(
+    "page_originals",
+    """SELECT page, original, cyclic FROM (
+  SELECT page, CASE WHEN cyclic THEN list_min(path[list_position(path, last):]) ELSE last END AS original, cyclic,
+         row_number() OVER (PARTITION BY page ORDER BY len(path)) AS n
+  FROM ended) WHERE n = 1""",
+    f"""RECURSIVE keyed AS (SELECT page_id, {_page_key("url")} AS page, {_host("url")} || '/moved?x=1&y=2' AS moved FROM pages),
+named AS (
+  SELECT a.page, CASE WHEN a.page_id % 8 = 6 THEN a.moved ELSE t.page END AS target FROM keyed a LEFT JOIN keyed t
+  ON t.page_id = CASE WHEN a.page_id % 8 IN (0, 1, 2, 4) THEN a.page_id + 1 WHEN a.page_id % 8 = 5 THEN a.page_id - 1 END)""",
+    "pointers AS (SELECT page, min(target) AS target FROM named GROUP BY page)",
+    "nodes AS (SELECT page FROM pointers UNION SELECT target FROM pointers WHERE target IS NOT NULL)",
+    """walks AS (
+  SELECT page, page AS last, [page] AS path, FALSE AS cyclic FROM nodes
+  UNION ALL SELECT w.page, target, list_append(path, target), list_contains(path, target)
+  FROM walks w JOIN pointers p ON w.last = p.page WHERE target IS NOT NULL AND target <> w.last AND NOT cyclic)""",
+    """ended AS (SELECT w.* FROM walks w LEFT JOIN pointers p ON w.last = p.page WHERE cyclic OR target IS NULL OR target = w.last)""",
+)
+_add(
+    "current_event_triggers",
+    """SELECT event_id, user_id, CASE WHEN near THEN found END AS trigger_id, CASE WHEN near THEN round(age, 3) END AS trigger_age
+FROM (SELECT e.event_id, e.user_id, t.event_id AS found, (epoch_us(e.ts) - epoch_us(t.ts)) / 1e6 AS age, epoch_us(e.ts) - epoch_us(t.ts) <= 7 * 86400000000 AS near
+  FROM events e ASOF LEFT JOIN (SELECT user_id, ts, max(event_id) AS event_id FROM events WHERE event_type = 'purchase' GROUP BY ALL) t
+  ON e.user_id = t.user_id AND e.ts >= t.ts)""",
+)
+_add(
+    "order_pattern_estimates",
+    """SELECT product_id, bucket, count(*) AS n_hits, count(DISTINCT entity_key) AS n_exact, TRUE AS is_near
+FROM ev JOIN cust USING (entity_key) WHERE bucket IS NOT NULL GROUP BY ALL""",
+    _ORDERS,
+    _CUSTOMERS,
+)
+
 # --- Stored tables and streams ---
 
 _ORACLES["refreshed_ratings"] = _ORACLES["prospect_ratings"]

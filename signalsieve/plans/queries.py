@@ -14,10 +14,11 @@ from signalsieve.functions.numbers import clamp, clamp_text
 from signalsieve.functions.scores import band, stage_class
 from signalsieve.functions.texts import fold_text
 from signalsieve.functions.urls import has_valid_url, safe_url, url_host, url_key
-from signalsieve.operators import aggregates, briefs, dedup, entities, evidence, incremental, matching, near_copies, outreach, policy, ranking, reporting, scoring
+from signalsieve.operators import aggregates, asof, briefs, dedup, entities, evidence, incremental, matching, near_copies, originals, outreach, policy, ranking, reporting, scoring, sketches
 from signalsieve.operators.skew import shared_folder, stable
 from signalsieve.plans import bindings as b
 from signalsieve.sources import reports as report_source
+from signalsieve.sources.keyed_tables import read_keyed
 from signalsieve.sources.signals import union_signals
 from signalsieve.streaming import dedup as stream_dedup
 
@@ -254,8 +255,8 @@ def _standard_shortlist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.shortlist(b.order_prospects(spark, sf_dir), b.segment_briefs(spark, sf_dir))
 
 
-def _ledger(spark: SparkSession, sf_dir: str, chosen: DataFrame) -> DataFrame:
-    return evidence.evidence_ledger(b.order_signals(spark, sf_dir), chosen, ["entity_key"])
+def _ledger(spark: SparkSession, sf_dir: str, chosen: DataFrame, signals: DataFrame | None = None) -> DataFrame:
+    return evidence.evidence_ledger(b.order_signals(spark, sf_dir) if signals is None else signals, chosen, ["entity_key"])
 
 
 @query
@@ -284,6 +285,30 @@ def order_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("samples", _joined("samples"))
 
 
+@query
+def order_pattern_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers per product and bucket by daily sketches that came in three batches, beside exact counts:
+    whether each estimate lies within four standard errors."""
+    path = f"{shared_folder(spark)}/sketches-{uuid.uuid4().hex}"
+    rows = stable(b.order_evidence(spark, sf_dir).withColumn("_batch", F.col("signal_id") % 3))
+    for batch in range(3):
+        sketches.refresh_sketches(path, rows.filter(F.col("_batch") == batch), batch, buckets=8)
+    stored = read_keyed(spark, path, sketches.daily_sketches(rows).schema)
+    exact = evidence.bucket_hits(rows).groupBy("product_id", "bucket").agg(F.count_distinct("entity_key").alias("n_exact"))
+    both = sketches.estimated_patterns(stored).join(exact, ["product_id", "bucket"])
+    near = F.abs(F.col("n_prospects") - F.col("n_exact")) <= F.greatest(4 * sketches.relative_error() * F.col("n_exact"), F.lit(1.0))
+    return both.select("product_id", "bucket", "n_hits", "n_exact", near.alias("is_near"))
+
+
+@query
+def current_event_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event with the latest purchase of its user in the week before it."""
+    events = b.table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("signal_time"))
+    bought = events.filter("event_type = 'purchase'").select("user_id", F.col("signal_time").alias("trigger_time"), F.col("event_id").alias("trigger_id"))
+    found = asof.current_triggers(events, bought, 7, ["user_id"])
+    return found.select("event_id", "user_id", "trigger_id", F.round("trigger_age", 3).alias("trigger_age"))
+
+
 @query
 def event_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = aggregates.patterns(b.event_evidence(spark, sf_dir))
@@ -300,9 +325,9 @@ def event_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- Outreach drafts and reports ---
 
 
-def _drafts(spark: SparkSession, sf_dir: str, chosen: DataFrame) -> DataFrame:
+def _drafts(spark: SparkSession, sf_dir: str, chosen: DataFrame, signals: DataFrame | None = None) -> DataFrame:
     briefed = b.segment_briefs(spark, sf_dir)
-    shown = evidence.best_evidence(_ledger(spark, sf_dir, chosen), ["entity_key"]).select(
+    shown = evidence.best_evidence(_ledger(spark, sf_dir, chosen, signals), ["entity_key"]).select(
         "entity_key", "source_title", "source_url", "source_type", "signal_date", "best_bucket"
     )
     joined = outreach.recommend_channel(chosen.join(shown, "entity_key"))
@@ -338,17 +363,18 @@ def opener_lint_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     briefed = b.segment_briefs(spark, sf_dir)
-    # Three parts of a report need the prospects, so they are written out once.
-    prospects = stable(b.order_prospects(spark, sf_dir))
-    chosen = ranking.shortlist(prospects, briefed)
-    drafts = _drafts(spark, sf_dir, chosen).withColumn(
+    # Several parts of a report need the signals, the prospects and the shortlist: each is written once.
+    signals = stable(b.order_signals(spark, sf_dir))
+    prospects = stable(b.order_prospects(spark, sf_dir, signals=signals))
+    chosen = stable(ranking.shortlist(prospects, briefed))
+    drafts = _drafts(spark, sf_dir, chosen, signals).withColumn(
         "entity_type", F.when(F.col("is_company"), F.lit("Company"))
     )
     return reporting.build_reports(
         briefed,
         reporting.prospect_cards(drafts),
         aggregates.patterns(
-            b.order_evidence(spark, sf_dir).join(
+            b.order_evidence(spark, sf_dir, signals).join(
                 ranking.primary_gate(prospects).select("product_id", "entity_key"), ["product_id", "entity_key"], "left_semi"
             )
         ),
@@ -616,6 +642,12 @@ def original_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policy.require_original(snippets, originals).select("signal_id", "is_snippet")
 
 
+@query
+def page_originals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page behind each page, by the originals that pages name, through chains and cycles."""
+    return originals.page_originals(b.linked_pages(spark, sf_dir))
+
+
 @query
 def signal_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents, pages and user turns as one table of signals by source type."""

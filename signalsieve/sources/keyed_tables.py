@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from signalsieve.operators.skew import stable
 
 BUCKETS = 64
+#: Name of the folders of buckets; no column of a table may have it.
+FOLDER = "keyed_bucket"
 _COMMITS = "bucket int, folder string, buckets int, batch bigint"
 
 Fold = Callable[[DataFrame], DataFrame]
@@ -46,7 +48,7 @@ def current_folders(spark: SparkSession, path: str) -> dict[int, str]:
 def read_keyed(spark: SparkSession, path: str, schema, only: Sequence[int] | None = None) -> DataFrame:
     """The table's rows, of all buckets or ``only`` some."""
     folders = current_folders(spark, path)
-    wanted = [f"{path}/data/{f}/bucket={b}" for b, f in sorted(folders.items()) if only is None or b in set(only)]
+    wanted = [f"{path}/data/{f}/{FOLDER}={b}" for b, f in sorted(folders.items()) if only is None or b in set(only)]
     return spark.read.schema(schema).parquet(*wanted) if wanted else spark.createDataFrame([], schema)
 
 
@@ -70,8 +72,8 @@ def merge_keyed(path: str, rows: DataFrame, keys: Sequence[str], fold: Fold, bat
     folder = f"batch-{batch}-{uuid.uuid4().hex}"
     if touched:
         old = read_keyed(spark, path, new.schema, touched)
-        merged = fold(old.unionByName(new)).withColumn("bucket", bucket_of(keys, buckets))
-        merged.repartition(min(buckets, len(touched)), "bucket").write.partitionBy("bucket").parquet(f"{path}/data/{folder}")
+        merged = fold(old.unionByName(new)).withColumn(FOLDER, bucket_of(keys, buckets))
+        merged.repartition(min(buckets, len(touched)), FOLDER).write.partitionBy(FOLDER).parquet(f"{path}/data/{folder}")
     # A batch without rows is committed too, under no bucket.
     entries = [(b, folder, buckets, batch) for b in touched or [-1]]
     spark.createDataFrame(entries, _COMMITS).coalesce(1).write.mode("append").parquet(f"{path}/commits")

@@ -12,7 +12,7 @@ from signalsieve.config import ScoringConfig
 from signalsieve.operators import incremental
 from signalsieve.operators.scoring import score_prospects
 from signalsieve.plans import bindings as b
-from signalsieve.sources.keyed_tables import bucket_of, commits, current_folders, merge_keyed, read_keyed
+from signalsieve.sources.keyed_tables import FOLDER, bucket_of, commits, current_folders, merge_keyed, read_keyed
 from signalsieve.streaming.dedup import append_first_signals, first_of_sessions
 
 SMALL = "/root/testdata/sf0.001"
@@ -59,8 +59,8 @@ def test_a_batch_counts_once_whatever_breaks(spark, tmp_path):
     merge_keyed(path, rows, ["k"], fold, 0, 4)
     assert merge_keyed(path, rows, ["k"], fold, 0, 4) == []  # sent again
     # A job that wrote its files and was lost before the commit.
-    lost = spark.createDataFrame([(1, 100, 100)], COUNTED).withColumn("bucket", bucket_of(["k"], 4))
-    lost.write.partitionBy("bucket").parquet(f"{path}/data/batch-1-lost")
+    lost = spark.createDataFrame([(1, 100, 100)], COUNTED).withColumn(FOLDER, bucket_of(["k"], 4))
+    lost.write.partitionBy(FOLDER).parquet(f"{path}/data/batch-1-lost")
     assert {r.k: r.n for r in read_keyed(spark, path, COUNTED).collect()} == {1: 1, 2: 1}
     merge_keyed(path, rows, ["k"], fold, 1, 4)
     assert merge_keyed(path, rows.limit(0), ["k"], fold, 2, 4) == []
