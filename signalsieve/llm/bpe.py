@@ -157,6 +157,9 @@ def encode_documents(docs: DataFrame, spec: str) -> DataFrame:
     ``spec`` is the text of the vocabulary's file; it is sent to the workers, whose size it does
     not outgrow. A null or empty text has no ids and decodes to the empty string. Special tokens'
     strings in a text become their ids. Columns named ids or decoded are replaced.
+
+    Rows are encoded by themselves: repeated rows and equal texts give a row each, nulls in other columns stay,
+    and a table without rows gives none. Texts of any length are read whole.
     """
     spark = docs.sparkSession
     importable(spark)

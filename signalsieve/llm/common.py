@@ -25,11 +25,13 @@ _own_folder: list[str] = []
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where it is unset, as in local tests, one folder of this process, removed when it ends.
+    Where it is unset in a local session, as in tests, one folder of this process, removed when it ends.
     """
     stated = spark.conf.get("spark.checkpoint.dir", None)
     if stated:
         return stated.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     if not _own_folder:
         _own_folder.append(tempfile.mkdtemp(prefix="spark-"))
         atexit.register(shutil.rmtree, _own_folder[0], ignore_errors=True)

@@ -321,6 +321,11 @@ def language_ids(docs: DataFrame, holdout: tuple[int, int] = (4, 2), docs_per_la
 
     Learns from texts and non-null languages of rows that are not held out; languages and ids are no
     input of a prediction. A null doc_id is not held out and not learned from.
+
+    A text that is null or has no letter is ``und``. Repeated rows and equal texts get one prediction, a row each;
+    of languages that are as likely the first by name is given. Texts of any length are read whole. Without
+    a row to learn from every text is ``und``; a table without rows gives none. Other columns, whatever
+    their names, are not read.
     """
     of, out = holdout
     model = fit(docs, holdout, docs_per_language)

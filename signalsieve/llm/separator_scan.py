@@ -140,6 +140,9 @@ def token_counts(docs: DataFrame, spec: str, end: int) -> DataFrame:
     Texts are encoded as a whole, special tokens' strings as ordinary text, and closed by ``end``,
     which n_tokens includes; a null text is empty. start counts within the flat file, which
     has the rows of one file of ``docs`` in its order. Other columns are not read.
+
+    Rows are told apart by their place in their file, so repeated rows, equal ids and null ids have a
+    result each. A table without rows gives none; a text of any length spans as many blocks as it needs.
     """
     placed = with_locator(docs.select("doc_id", "text"))
     kind = library_ids(spec).kind.str

@@ -206,6 +206,11 @@ def toxicity(
     the held-out one, at most ``rows_per_class`` per class. An id labelled more than once counts as
     toxic if any label says so; null labels and ids do not count. A null doc_id is not held out.
     Ids and labels decide which rows are learned from and are no input of a score.
+
+    A null or empty text scores as one without n-grams. Repeated rows and equal texts score alike, a row each;
+    of repeated rows of a labelled id one is learned from. Texts of any length are read whole, a
+    million characters at a time. Without labels of both classes every text has one score; a table
+    without rows gives none. Other columns, whatever their names, are not read.
     """
     of, out = holdout
     known = labels.filter(F.col("toxic").isNotNull() & (remainder("doc_id", of) != out)).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("label"))
