@@ -760,3 +760,9 @@ FROM numbered GROUP BY text, session HAVING max(ts) + INTERVAL 6 HOURS <= (SELEC
     """numbered AS (SELECT *, count(*) FILTER (WHERE opens) OVER (PARTITION BY text ORDER BY ts, signal_id
   ROWS UNBOUNDED PRECEDING) AS session FROM marked)""",
 )
+_add(
+    "arrived_reports",
+    f"""SELECT CASE WHEN reason IS NULL THEN 'Order ' || o_orderkey END AS title,
+  CASE reason WHEN 'not_an_object' THEN '[' || o_orderkey || ']' WHEN 'not_json' THEN '{{"title":' || o_orderkey END AS body, reason
+FROM (SELECT *, CASE {_DIGIT} WHEN '4' THEN 'not_an_object' WHEN '5' THEN 'not_json' END AS reason FROM orders)""",
+)

@@ -21,6 +21,7 @@ from signalsieve.sources import reports as report_source
 from signalsieve.sources.keyed_tables import read_keyed
 from signalsieve.sources.signals import union_signals
 from signalsieve.streaming import dedup as stream_dedup
+from signalsieve.streaming import reports as report_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 _REGISTRY: dict[str, Query] = {}
@@ -770,3 +771,19 @@ def streamed_first_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(first.schema).parquet(f"{folder}/out").select(
         "signal_id", "text", F.unix_micros("session_start").alias("started"), F.unix_micros("session_end").alias("ended"), "n_copies"
     )
+
+
+@query
+def arrived_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why each report document of an order was taken in or set aside, from files that came in two arrivals."""
+    folder = f"{shared_folder(spark)}/arrivals-{uuid.uuid4().hex}"
+    documents = stable(b.order_documents(spark, sf_dir))
+    for part in range(2):
+        bodies = documents.filter(F.col("document_id") % 2 == part).select("body")
+        bodies.write.mode("append").text(f"{folder}/in")
+        arriving = report_stream.arriving_documents(spark, f"{folder}/in", one_per_line=True)
+        report_stream.take_in(arriving, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    good, quarantine = report_stream.taken_in(spark, f"{folder}/out")
+    title = F.try_variant_get("document", "$.title", "string").alias("title")
+    kept = good.select(title, F.lit(None).cast("string").alias("body"), F.lit(None).cast("string").alias("reason"))
+    return kept.unionByName(quarantine.select(F.lit(None).cast("string").alias("title"), "body", "reason"))
