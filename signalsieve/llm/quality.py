@@ -92,6 +92,10 @@ def with_statistics(docs: DataFrame) -> DataFrame:
     )
 
 
+#: The group of rows that are too few for an estimate of their own; others have JSON names.
+ALL = "all"
+
+
 def with_features(counted: DataFrame) -> DataFrame:
     """Adds the transformed statistics: logarithms of sizes, square roots of shares."""
     n = F.greatest(F.col("n_words"), F.lit(1))
@@ -214,27 +218,32 @@ def judge(
     n_repeat_words, base_failed, distance (squared Mahalanobis distance, or null), kept. A null
     text has no words; null languages and sources are groups of their own. Rows that fail the base
     rule take no part in estimates. Rows with a distance over ``cutoff`` are outliers. Sources with under ``min_group`` rows of a language are
-    estimated together; if these are still too few, the method rejects none of them and distance is
-    null. Other columns are not read; an empty table gives an empty result.
+    estimated together; if these are still too few, they are measured by an estimate of all rows of
+    the table. Only where the whole table has fewer rows than that, distance is null and nothing but the base
+    rule rejects. Other columns are not read; an empty table gives an empty result.
     """
     key = lambda *c: F.to_json(F.struct(*c))  # noqa: E731  absent fields are nulls
     rows = written(
         with_features(with_statistics(docs.select("doc_id", "text", "lang", "source", *extra))).drop("text"), "statistics"
     )
-    sizes = rows.filter(~F.col("base_failed")).groupBy("lang", "source").agg(F.count("*").alias("_n"))
+    sizes = written(rows.filter(~F.col("base_failed")).groupBy("lang", "source").agg(F.count("*").alias("_n")), "sizes")
+    enough = (sizes.agg(F.sum("_n")).first()[0] or 0) >= min_group
     large = F.col("_n") >= min_group
     few = F.sum(F.when(large, 0).otherwise(F.col("_n"))).over(Window.partitionBy("lang"))
     groups = written(
         sizes.withColumn("_few", few).select(
             F.col("lang").alias("_lang"),
             F.col("source").alias("_source"),
-            F.when(large, key("lang", "source")).when(F.col("_few") >= min_group, key("lang")).alias("group"),
+            F.when(large, key("lang", "source")).when(F.col("_few") >= min_group, key("lang")).when(F.lit(enough), F.lit(ALL)).alias("group"),
         ),
         "groups",
     )
     same = F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source"))
     rows = rows.join(groups, same, "left").drop("_lang", "_source")
-    fitted = rows.filter(~F.col("base_failed") & F.col("group").isNotNull()).select("group", *FEATURES)
+    passing = rows.filter(~F.col("base_failed"))
+    fitted = passing.filter(F.col("group") != ALL).select("group", *FEATURES)
+    if not groups.filter(F.col("group") == ALL).isEmpty():
+        fitted = fitted.unionByName(passing.select(F.lit(ALL).alias("group"), *FEATURES))
     estimates = mcd_estimates(fitted, inner, steps)
     distance = _distance2() / F.col("scale")
     return (

@@ -31,13 +31,59 @@ def test_statistics(spark):
 def test_outliers_go_and_clean_rows_stay(spark):
     clean = [(i, prose(i, 60 + i % 90), "en", ("a", "b")[i % 3 == 0]) for i in range(400)]
     junk = [(1000 + i, " ".join(w + "###" for w in prose(i, 80).split()), "en", "a") for i in range(30)]
-    few = [(2000, " ".join(w + "###" for w in prose(7, 80).split()), "xx", None)]
+    few = [(2000, " ".join(w + "###" for w in prose(7, 80).split()), "xx", None), (2001, prose(8, 80), "xx", None)]
     docs = make(spark, clean + junk + few)
     got = {r.doc_id: r for r in quality.judge(docs).collect()}
     assert all(got[i].kept for i, *_ in clean) and not any(got[i].kept for i, *_ in junk)
-    assert got[2000].kept and got[2000].distance is None  # too few rows to judge by
+    # Two rows of a language are measured by all rows.
+    assert not got[2000].kept and got[2001].kept and all(r.distance is not None for r in got.values())
     kept = quality.kept_documents(docs)
     assert kept.columns == docs.columns and kept.count() == 401
+    # A table with too few rows for any estimate is judged by the base rule alone.
+    small = quality.judge(make(spark, clean[:40] + few)).collect()
+    assert all(r.kept and r.distance is None for r in small)
+
+
+def _plain_distances(x, of, inner=0.75, steps=5):
+    """Squared distances of ``of`` by an estimate of ``x``, in plain numpy."""
+    floor = np.diag([(f * quality.UNIT) ** 2 for f in quality.FLOOR])
+
+    def squared(rows, centre, scatter):
+        away = rows - centre
+        return np.einsum("ij,jk,ik->i", away, np.linalg.inv(scatter + floor), away)
+
+    bins = lambda d: np.floor(16 * np.log2(d + 2.0**-10))
+    low, centre, high = np.percentile(x, [25, 50, 75], axis=0)
+    scatter = np.diag(((high - low) / 1.349) ** 2)
+    for _ in range(steps):
+        at = bins(squared(x, centre, scatter))
+        before = np.array([np.count_nonzero(at < b) for b in at])
+        near = x[before < inner * len(x)]
+        centre, scatter = near.mean(axis=0), np.cov(near.T, bias=True)
+    at = np.sort(bins(squared(x, centre, scatter)))
+    median = at[-(-len(x) // 2) - 1]
+    scale = max(1.0, 2 ** ((median + 1) / 16) / quality.CHI2_MEDIAN)
+    return squared(of, centre, scatter) / scale
+
+
+def test_whole_verdict_equals_numpy(spark):
+    """Groups of their own, pooled sources of a language, and languages measured by all rows."""
+    texts = [(i, prose(i, 55 + i % 120), "en", "a") for i in range(200)] + [(300 + i, prose(300 + i, 60 + i), "en", "bcd"[i % 3]) for i in range(150)]
+    texts += [(600 + i, prose(600 + i, 70 + i) + " %" * (i % 9) * 3, "fr", None) for i in range(30)]
+    texts += [(800 + i, " ".join(w + "##" for w in prose(i, 90).split()), ("en", "fr")[i % 2], "a") for i in range(20)] + [(900, "few words", "en", "a")]
+    docs = make(spark, texts)
+    counted = quality.with_features(quality.with_statistics(docs.select("doc_id", "text"))).collect()
+    vector = {r.doc_id: np.array([r[f] for f in quality.FEATURES], float) for r in counted if r.n_words >= 50}
+    group = {i: (s if lang == "en" and s == "a" else lang) for i, _, lang, s in texts if i in vector}
+    every = np.array(list(vector.values()))
+    got = {r.doc_id: r for r in quality.judge(docs).collect()}
+    for name in ("a", "en", "fr"):
+        mine = [i for i in group if group[i] == name]
+        x = np.array([vector[i] for i in mine])
+        expected = _plain_distances(every if name == "fr" else x, x)
+        assert np.allclose([got[i].distance for i in mine], expected, rtol=1e-6)
+        assert [got[i].kept for i in mine] == [bool(d <= quality.CHI2_CUTOFF) for d in expected]
+    assert got[900].base_failed and not got[900].kept and not any(got[800 + i].kept for i in range(20))
 
 
 def test_outliers_in_each_feature_go(spark):
