@@ -51,7 +51,7 @@ SENSITIVE_STAND_IN = ["worthless", "idiots"]
 
 # Syllables of the names of customers, one per digit; any two differ in two letters or more.
 SYLLABLES = ["bal", "cen", "dir", "fos", "gum", "hax", "jep", "kit", "lov", "muz"]
-EVENT_GAP, EVENT_LATENESS = "6 hours", "12 hours"
+EVENT_GAP, EVENT_LATENESS = "24 hours", "12 hours"
 SHARED_SITES = ("forum.example", "social.example")
 
 
@@ -227,7 +227,7 @@ def arriving_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(
         F.col("event_id").alias("signal_id"),
         at.alias("event_time"),
-        F.concat_ws(" ", "event_type", (F.col("user_id") % 10).cast("string")).alias("text"),
+        F.concat_ws(" ", "event_type", F.col("user_id").cast("string")).alias("text"),
         (F.unix_micros(at) + F.col("event_id") % 10 * 3_600_000_000).alias("arrival"),
     )
 

@@ -752,10 +752,10 @@ _ORACLES["refreshed_ratings"] = _ORACLES["prospect_ratings"]
 _add(
     "streamed_first_events",
     """SELECT first(signal_id ORDER BY ts, signal_id) AS signal_id, text, epoch_us(min(ts)) AS started,
-  epoch_us(max(ts) + INTERVAL 6 HOURS) AS ended, count(*) AS n_copies
-FROM numbered GROUP BY text, session HAVING max(ts) + INTERVAL 6 HOURS <= (SELECT max(ts) FROM texts) - INTERVAL 12 HOURS""",
-    "texts AS (SELECT event_id AS signal_id, CAST(ts AS TIMESTAMP) AS ts, event_type || ' ' || (user_id % 10) AS text FROM events)",
-    """marked AS (SELECT *, coalesce(ts > lag(ts) OVER same + INTERVAL 6 HOURS, TRUE) AS opens FROM texts
+  epoch_us(max(ts) + INTERVAL 24 HOURS) AS ended, count(*) AS n_copies
+FROM numbered GROUP BY text, session HAVING max(ts) + INTERVAL 24 HOURS <= (SELECT max(ts) FROM texts) - INTERVAL 12 HOURS""",
+    "texts AS (SELECT event_id AS signal_id, CAST(ts AS TIMESTAMP) AS ts, event_type || ' ' || user_id AS text FROM events)",
+    """marked AS (SELECT *, coalesce(ts > lag(ts) OVER same + INTERVAL 24 HOURS, TRUE) AS opens FROM texts
   WINDOW same AS (PARTITION BY text ORDER BY ts, signal_id))""",
     """numbered AS (SELECT *, count(*) FILTER (WHERE opens) OVER (PARTITION BY text ORDER BY ts, signal_id
   ROWS UNBOUNDED PRECEDING) AS session FROM marked)""",
