@@ -2,6 +2,7 @@ import hashlib
 import math
 import re
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import public_tokenizers
 import pytest
@@ -10,9 +11,10 @@ from tokenizers import Tokenizer
 import __spark_entry__ as contract
 import corpus_pipeline
 from signalsieve.llm.oracles import llm_oracles
+from signalsieve.llm.quality import judge
 from signalsieve.llm.queries import llm_queries
-from signalsieve.llm.simhash_dedup import simhash
 from tests.llm.conftest import prose
+from tests.llm.test_near_texts import classes, edited, jaccard
 from tests.oracle_check import compare, connect
 
 SMALL = "/root/testdata/sf0.001"
@@ -65,25 +67,25 @@ def _kept_by_rule(text):
 
 
 def test_pipeline_equals_brute_force(spark, tmp_path):
-    """Groups are too small for the outlier test here, so the first stage is its base rule."""
+    """The outlier test's verdict is compared with numpy elsewhere; here it has to take effect."""
     texts = {i: prose(i, 40 + i % 40) for i in range(80)}
     texts |= {200 + i: texts[i] for i in range(0, 60, 3)}  # exact copies
     texts |= {300 + i: prose(1000, 4000) + f" end{i}" for i in range(4)}  # near copies
+    texts |= {310 + i: edited(prose(2000 + i // 2, 300), 0.015 * (i % 2), i) for i in range(40)}  # edited throughout
     texts |= {400: None, 401: "", 402: "x y z " * 40}
     rows = [(i, t, "en", "ab"[i % 2], len(t or "")) for i, t in texts.items()]
     folder = str(tmp_path)
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
-    kept = {i: t for i, t in texts.items() if _kept_by_rule(t)}
+    verdict = {r.doc_id for r in judge(spark.read.parquet(f"{folder}/documents.parquet")).filter("kept").collect()}
+    assert verdict < {i for i, t in texts.items() if _kept_by_rule(t)}
+    kept = {i: texts[i] for i in verdict}
     last = {}
     for i, t in kept.items():
         last[t] = max(i, last.get(t, i))
     kept = {i: t for t, i in last.items()}
-    prints = {i: simhash(t) for i, t in kept.items()}
-    top = {}
-    for i in sorted(kept):
-        near = [j for j in sorted(top) if bin(prints[i] ^ prints[j]).count("1") <= 2]
-        top[i] = min((top[j] for j in near), default=i)
-    kept = {i: t for i, t in kept.items() if top[i] == i}
+    top = classes((a, b) for a, b in combinations(sorted(kept), 2) if jaccard(kept[a], kept[b]) >= 0.8)
+    assert len(top) >= 40
+    kept = {i: t for i, t in kept.items() if top.get(i, i) == i}
     assert len(kept) < len(last)
     got = corpus_pipeline.run(spark, folder).collect()
     copies = Counter(r.doc_id for r in got)
