@@ -11,18 +11,22 @@ buckets leave open in a reduction tree, so no task ever holds a whole source.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from signalsieve.llm.common import fresh, full_text, importable, words, written
+from signalsieve.llm.common import LOCATOR, fresh, full_text, importable, located, words, written
 
 BUCKET_ROWS = 4096
 FAN_IN = 64
 
-UNITS = "doc_id long, source string, text_key long, size long, mass double, open double, base int, bucket long, ord long"
+#: Parts that the rows of one unit are ranked in.
+RANK_PARTS = 64
+
+UNITS = "doc_id long, source string, text_key long, n long, mass double, open double, base int, sure long, bucket long, ord long"
 
 
 def source_targets(
@@ -100,27 +104,37 @@ def _text_key(text: str) -> Column:
     return F.xxhash64(full_text(text))
 
 
-def mix(
-    docs: DataFrame,
-    weights: Sequence[float] = (3, 1, 2),
-    share: float = 1.5,
-    cap: float = 2.0,
-    seed: int = 1,
-    bucket_rows: int = BUCKET_ROWS,
-    fan_in: int = FAN_IN,
-) -> DataFrame:
-    """How many copies of each document a mix takes.
+def _same(left: list[Column], right: list[Column]) -> Column:
+    """Equal keys, nulls included, which Spark joins by hash or sort."""
+    return reduce(lambda a, b: a & b, (x.eqNullSafe(y) for x, y in zip(left, right)))
 
-    Needs ``doc_id``, ``text`` and ``source``; other columns are not read. Returns one row per row
-    of ``docs``: doc_id, source, text_key, size (words; null text: 0), source_size, target, copies,
-    taken (copies times size). Rows with the same id, source and text are one unit and share a
-    decision. An empty table gives an empty result; a source without words has target 0 and copies
-    0. The same rows give the same mix however they are partitioned.
-    """
-    spark = docs.sparkSession
-    importable(spark)
+
+def _lucky(rows: DataFrame) -> DataFrame:
+    """Locators of the ``more`` first rows of each unit. A unit's rows are counted in parts and ranked within them."""
+    key = ["doc_id", "source", "text_key"]
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64(*LOCATOR), F.lit(RANK_PARTS)))
+    earlier = Window.partitionBy(*key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = dealt.groupBy(*key, "part").agg(F.count("*").alias("here"))
+    parts = parts.withColumn("before", F.coalesce(F.sum("here").over(earlier), F.lit(0)))
+    parts = parts.select(*(F.col(c).alias(f"_{c}") for c in [*key, "part"]), "before")
+    ranked = dealt.withColumn("rank", F.row_number().over(Window.partitionBy(*key, "part").orderBy(*LOCATOR)))
+    both = [*key, "part"]
+    return (
+        ranked.join(parts, _same([F.col(c) for c in both], [F.col(f"_{c}") for c in both]))
+        .filter(F.col("before") + F.col("rank") <= F.col("more"))
+        .select(*LOCATOR)
+    )
+
+
+def _row_copies(
+    narrow: DataFrame, weights: Sequence[float], share: float, cap: float, seed: int, bucket_rows: int, fan_in: int
+) -> tuple[DataFrame, DataFrame]:
+    """Locator, unit, size and copies of each row of ``narrow`` (doc_id, text, source, locator); and the sources."""
+    importable(narrow.sparkSession)
+    key = ["doc_id", "source", "text_key"]
     sized = written(
-        docs.select(
+        narrow.select(
+            *LOCATOR,
             F.col("doc_id").cast("long").alias("doc_id"),
             F.col("source").cast("string").alias("source"),
             _text_key("text").alias("text_key"),
@@ -135,18 +149,18 @@ def mix(
         "mix-targets",
     )
     rated = sources.select(F.col("source").alias("_source"), "rate", "_rows")
+    extra = F.col("n") * (F.col("rate") - F.floor("rate"))
     level = (
-        sized.groupBy("doc_id", "source", "text_key", "size")
-        .agg(F.count("*").alias("_n"))
+        sized.groupBy(*key, "size")
+        .agg(F.count("*").alias("n"))
         .join(rated, F.col("source").eqNullSafe(F.col("_source")))
         .select(
-            "doc_id",
-            "source",
-            "text_key",
-            "size",
-            (F.col("size") * F.col("_n")).cast("double").alias("mass"),
-            (F.col("size") * F.col("_n") * (F.col("rate") - F.floor("rate"))).alias("open"),
+            *key,
+            "n",
+            F.col("size").cast("double").alias("mass"),
+            (F.col("size") * (extra - F.floor(extra))).alias("open"),
             F.floor("rate").cast("int").alias("base"),
+            F.floor(extra).cast("long").alias("sure"),
             F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text_key"), F.ceil(F.col("_rows") / bucket_rows)).cast("long").alias("bucket"),
             F.xxhash64("doc_id", "text_key", F.lit(seed)).alias("ord"),
         )
@@ -162,44 +176,64 @@ def mix(
             break
         level = done.filter(is_open).withColumn("bucket", F.floor(F.col("bucket") / fan_in))
         buckets, step = -(-buckets // fan_in), step + 1
-    decided = settled[0]
-    for more in settled[1:]:
-        decided = decided.unionByName(more)
-    decided = decided.select(
-        F.col("doc_id").alias("_id"),
-        F.col("source").alias("_src"),
-        F.col("text_key").alias("_key"),
-        (F.col("base") + F.when((F.col("mass") > 0) & (F.col("open") >= F.col("mass")), 1).otherwise(0)).alias("copies"),
+    decided = reduce(DataFrame.unionByName, settled).select(
+        *(F.col(c).alias(f"_{c}") for c in key),
+        "n",
+        "base",
+        (F.col("sure") + F.when((F.col("mass") > 0) & (F.col("open") >= F.col("mass")), 1).otherwise(0)).alias("more"),
     )
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_src")) & (F.col("text_key") == F.col("_key"))
+    rows = sized.join(decided, _same([F.col(c) for c in key], [F.col(f"_{c}") for c in key])).drop(*(f"_{c}" for c in key))
+    parted = (F.col("more") > 0) & (F.col("more") < F.col("n"))
+    if not decided.filter(parted).limit(1).isEmpty():
+        rows = written(rows, "mix-rows")
+        lucky = _lucky(rows.filter(parted)).withColumn("_first", F.lit(True))
+        ranked = rows.filter(parted).join(lucky, LOCATOR, "left").withColumn("more", F.when(F.col("_first"), F.col("n")).otherwise(0)).drop("_first")
+        rows = rows.filter(~parted).unionByName(ranked)
+    copies = F.col("base") + F.when(F.col("more") > 0, 1).otherwise(0)
+    return rows.select(*LOCATOR, *key, "size", copies.alias("copies")), sources
+
+
+def mix(
+    docs: DataFrame,
+    weights: Sequence[float] = (3, 1, 2),
+    share: float = 1.5,
+    cap: float = 2.0,
+    seed: int = 1,
+    bucket_rows: int = BUCKET_ROWS,
+    fan_in: int = FAN_IN,
+) -> DataFrame:
+    """How many copies of each document a mix takes.
+
+    Needs ``doc_id``, ``text`` and ``source``; other columns are not read. Returns one row per row
+    of ``docs``: doc_id, source, text_key, size (words; null text: 0), source_size, target, copies,
+    taken (copies times size). Rows with the same id, source and text are one unit: the copies that they have
+    in common are rounded as a number, so that a source misses its target by the words of one row at most,
+    and the rows that get one more differ in nothing else here. An empty table gives an empty result; a source
+    without words has target 0 and copies 0. The same rows give the same mix however they are partitioned.
+    """
+    _, narrow, _ = located(docs, "doc_id", "text", "source")
+    rows, sources = _row_copies(narrow, weights, share, cap, seed, bucket_rows, fan_in)
     totals = sources.select(F.col("source").alias("_source"), "source_size", "target")
-    return (
-        sized.join(decided, same)
-        .join(totals, F.col("source").eqNullSafe(F.col("_source")))
-        .select(
-            "doc_id", "source", "text_key", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
-        )
+    return rows.join(totals, F.col("source").eqNullSafe(F.col("_source"))).select(
+        "doc_id", "source", "text_key", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
     )
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with each row as often as the mix takes it, in its own columns."""
-    key = ["doc_id", "source", "text_key"]
-    name = dict(zip([*key, "copies", "copy"], fresh(docs, "_id", "_src", "_key", "_copies", "_copy")))
-    copies = (
-        mix(docs, **options)
-        .groupBy(*key)
-        .agg(F.first("copies").alias("copies"))
-        .filter("copies > 0")
-        .select(*(F.col(c).alias(name[c]) for c in [*key, "copies"]))
-    )
-    same = (
-        F.col("doc_id").eqNullSafe(F.col(name["doc_id"]))
-        & F.col("source").eqNullSafe(F.col(name["source"]))
-        & (_text_key("text") == F.col(name["text_key"]))
-    )
-    return (
-        docs.join(copies, same)
-        .withColumn(name["copy"], F.explode(F.sequence(F.lit(1), F.col(name["copies"]))))
-        .select(*docs.columns)
-    )
+def mixed_documents(
+    docs: DataFrame,
+    weights: Sequence[float] = (3, 1, 2),
+    share: float = 1.5,
+    cap: float = 2.0,
+    seed: int = 1,
+    bucket_rows: int = BUCKET_ROWS,
+    fan_in: int = FAN_IN,
+) -> DataFrame:
+    """``docs`` with each row as often as the mix takes it, in its own columns.
+
+    Which of the rows of one id, source and text come once more is settled by where they lie.
+    """
+    placed, narrow, names = located(docs, "doc_id", "text", "source")
+    rows, _ = _row_copies(narrow, weights, share, cap, seed, bucket_rows, fan_in)
+    times, copy = fresh(placed, "_copies", "_copy")
+    taken = rows.filter("copies > 0").select(*LOCATOR, "copies").toDF(*names, times)
+    return placed.join(taken, names).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)

@@ -195,6 +195,25 @@ def test_rounding_keeps_expectations(spark):
     assert abs(counts.mean() - rate) < 0.1 and np.abs(counts - rate).max() < 0.45
 
 
+def test_repeated_rows_are_rounded_as_a_number(spark):
+    """One row repeated 2,000 times is over half of its source, which still comes within one row of its target."""
+    rows = [(1, prose(1, 40), "en", "a")] * 2000 + [(10 + i, prose(i, 30), "en", "a") for i in range(300)]
+    docs = make(spark, rows + [(5000 + i, prose(i, 30), "en", "b") for i in range(700)])
+    got = mix(docs, bucket_rows=64, fan_in=4).collect()
+    assert len(got) == 3000
+    for source in "ab":
+        here = [r for r in got if r.source == source]
+        assert abs(sum(r.taken for r in here) - here[0].target) <= 40
+    rate = next(r.target / r.source_size for r in got if r.source == "a")
+    repeated = [r.copies for r in got if r.doc_id == 1]
+    assert rate % 1 > 0.01 and set(repeated) == {int(rate), int(rate) + 1}
+    assert abs(sum(repeated) - 2000 * rate) <= 1
+    again = mix(docs.repartition(5), bucket_rows=64, fan_in=4).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+    out = mixed_documents(docs, bucket_rows=64, fan_in=4)
+    assert out.filter("doc_id = 1").count() == sum(repeated) and out.count() == sum(r.copies for r in got)
+
+
 def test_mix_on_edge_cases(edge_docs, edge_rows, no_docs):
     got = mix(edge_docs).collect()
     assert len(got) == len(edge_rows) and all(r.taken <= 2 * r.size for r in got)
