@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from signalsieve.config import BUCKETS, MAX_INLINE_PHRASES, Phrase
 from signalsieve.functions.numbers import once
 from signalsieve.functions.texts import has_phrase, may_have_any, words_if, words_of
-from signalsieve.operators.skew import salted_join
+from signalsieve.operators.skew import salted_join, stable
 
 _LEXICON = T.StructType(
     [
@@ -169,6 +169,8 @@ def match_icp(signals: DataFrame, icp_terms: DataFrame, text: str = "text") -> D
             "_terms", F.when(F.size("_terms") <= MAX_FOLDED_TERMS, F.col("_terms")).otherwise(too_many)
         )
     )
+    # As a table its size is known before any text moves: one that fits is sent to the texts, which stay where they are.
+    per_product = stable(per_product)
     joined = salted_join(
         signals, per_product, ["product_id"], how="left", spread_on=["signal_id"]
     ).withColumn("_terms", F.coalesce("_terms", F.array().cast(per_product.schema["_terms"].dataType)))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from signalsieve.config import BUCKETS, MAX_INLINE_PHRASES, SEED_LEXICON, Phrase
 from signalsieve.operators import aggregates, briefs, dedup, evidence, matching, outreach, policy, ranking, scoring, skew
-from signalsieve.operators.skew import ranked_rows, salted_join
+from signalsieve.operators.skew import ranked_rows, salted_join, spread_small
 from signalsieve.sources.signals import read_signals, union_signals
 
 
@@ -450,3 +450,21 @@ def test_signals_of_several_sources(spark, tmp_path):
     issues.write.json(str(tmp_path / "i"))
     assert read_signals(spark, {"forum": str(tmp_path / "f")}).count() == 1
     assert rows(read_signals(spark, {"issue": str(tmp_path / "i")}, "json"), "signal_id", "lang") == [("issue:1", "en")]
+
+
+def test_folded_terms_are_sent_to_the_texts(spark):
+    """Few terms out of a large table do not move the texts by product, on which one product would be one task."""
+    terms = spark.range(10**7).filter("id < 3").select(
+        F.concat(F.lit("p"), F.col("id") % 2).alias("product_id"), F.lit("primary").alias("icp_role"), F.lit("positive").alias("kind"),
+        F.concat(F.lit("w"), "id").alias("phrase"),
+    )
+    signals = spark.range(10**7).select(F.col("id").alias("signal_id"), F.concat(F.lit("p"), F.col("id") % 2).alias("product_id"), F.lit("a w1 b").alias("text"))
+    found = matching.match_icp(signals, terms).groupBy("product_id").count()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_small_tables_are_spread_by_their_size(spark):
+    spread = spread_small(spark.range(100, numPartitions=1), "id")
+    plan = spread._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_COL" in plan
