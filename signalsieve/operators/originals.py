@@ -10,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from signalsieve.functions.numbers import once
 from signalsieve.functions.urls import url_key
+from signalsieve.operators.columns import compute_once
 from signalsieve.operators.skew import stable
 
 # An attribute's value with or without quotes.
@@ -22,7 +24,7 @@ ROUNDS = 60
 
 def _attribute(tag: Column, name: str) -> Column:
     pattern = rf"(?i)\s{name}{_VALUE}"
-    found = F.concat(*(F.coalesce(F.regexp_extract(tag, pattern, k), F.lit("")) for k in (1, 2, 3)))
+    found = once(tag, lambda t: F.concat(*(F.coalesce(F.regexp_extract(t, pattern, k), F.lit("")) for k in (1, 2, 3))))
     for entity, character in _ENTITIES:
         found = F.replace(found, F.lit(entity), F.lit(character))
     return F.trim(found)
@@ -37,13 +39,14 @@ def resolved_url(link: Column, base: Column) -> Column:
     root = F.regexp_extract(base, r"(?i)^(https?://[^/?#]*)", 1)
     page = F.regexp_extract(base, r"^([^?#]*)", 1)
     directory = F.when(F.length(page) > F.length(root), F.regexp_replace(page, r"[^/]*$", "")).otherwise(F.concat(root, F.lit("/")))
-    return (
-        F.when(link == "", F.lit(None))
-        .when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), link)
-        .when(link.startswith("//"), F.concat(scheme, link))
-        .when(link.startswith("/"), F.concat(root, link))
-        .when(link.startswith("?") | link.startswith("#"), F.concat(page, link))
-        .otherwise(F.concat(directory, link))
+    return once(
+        link,
+        lambda to: F.when(to == "", F.lit(None))
+        .when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), to)
+        .when(to.startswith("//"), F.concat(scheme, to))
+        .when(to.startswith("/"), F.concat(root, to))
+        .when(to.startswith("?") | to.startswith("#"), F.concat(page, to))
+        .otherwise(F.concat(directory, to)),
     )
 
 
@@ -51,15 +54,17 @@ def declared_original(html: Column | str, url: Column | str) -> Column:
     """The URL a page names as its original: its canonical link, else where its refresh leads; NULL for none."""
     html = F.col(html) if isinstance(html, str) else html
     url = F.col(url) if isinstance(url, str) else url
-    plain = F.regexp_replace(html, _COMMENTS, "")
-    links = F.filter(F.regexp_extract_all(plain, F.lit(r"(?is)<link\b[^>]*>"), 0), lambda t: F.lower(_attribute(t, "rel")) == "canonical")
-    metas = F.regexp_extract_all(plain, F.lit(r"(?is)<meta\b[^>]*>"), 0)
-    refresh = F.filter(metas, lambda t: F.lower(_attribute(t, "http-equiv")) == "refresh")
-    ahead = F.regexp_extract(_attribute(F.get(refresh, 0), "content"), r"""(?i)^[\d.]*\s*[;,]\s*url\s*=\s*['"]?([^'"]*)""", 1)
-    canonical = resolved_url(_attribute(F.get(links, 0), "href"), url)
+
+    def found(plain: Column) -> Column:
+        links = F.filter(F.regexp_extract_all(plain, F.lit(r"(?is)<link\b[^>]*>"), 0), lambda t: F.lower(_attribute(t, "rel")) == "canonical")
+        metas = F.regexp_extract_all(plain, F.lit(r"(?is)<meta\b[^>]*>"), 0)
+        refresh = F.filter(metas, lambda t: F.lower(_attribute(t, "http-equiv")) == "refresh")
+        ahead = F.regexp_extract(_attribute(F.get(refresh, 0), "content"), r"""(?i)^[\d.]*\s*[;,]\s*url\s*=\s*['"]?([^'"]*)""", 1)
+        return F.coalesce(resolved_url(_attribute(F.get(links, 0), "href"), url), resolved_url(ahead, url))
+
     # Most pages have neither tag; a search for the words spares them the patterns.
-    hinted = F.lower(html).contains("canonical") | F.lower(html).contains("refresh")
-    return F.when(hinted, F.coalesce(canonical, resolved_url(ahead, url)))
+    hinted = once(F.lower(html), lambda low: low.contains("canonical") | low.contains("refresh"))
+    return F.when(hinted, once(F.regexp_replace(html, _COMMENTS, ""), found))
 
 
 def follow_pointers(pointers: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -94,8 +99,9 @@ def follow_pointers(pointers: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
 def page_originals(pages: DataFrame, url: str = "source_url", html: str = "text") -> DataFrame:
     """(page, original, cyclic) by URL keys for all ``pages`` with a valid URL and all pages they name."""
-    named = pages.select(url_key(url).alias("page"), url_key(declared_original(html, url)).alias("target"))
-    return follow_pointers(named)
+    declared = compute_once(pages.select(url, html), _declared=declared_original(html, url))
+    # Pointers are read several times, pages once.
+    return follow_pointers(stable(declared.select(url_key(url).alias("page"), url_key("_declared").alias("target"))))
 
 
 def with_original(signals: DataFrame, originals: DataFrame, url: str = "source_url") -> DataFrame:

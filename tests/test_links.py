@@ -155,3 +155,11 @@ def test_sketches_of_batches_count_like_one_pass(spark, tmp_path):
         seen = {e for p, e, buckets, day in rows if p == r.product_id and "pain" in buckets and day and day <= dt.date(2024, 1, 2)}
         assert abs(r.n_prospects - len(seen)) <= 4 * relative_error() * len(seen)
     assert estimated_patterns(daily_sketches(evidence.limit(0))).count() == 0
+
+
+def test_tags_are_looked_for_once(spark):
+    pages = spark.createDataFrame([("https://a.example/x", "<link rel=canonical href=y>")], "source_url string, text string")
+    named = pages.select(declared_original("text", "source_url").alias("target"))
+    plan = named._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 2
+    assert named.first().target == "https://a.example/y"
