@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from signalsieve.config import BUCKETS, MAX_INLINE_PHRASES, Phrase
 from signalsieve.functions.numbers import once
 from signalsieve.functions.texts import has_phrase, may_have_any, words_if, words_of
+from signalsieve.operators.columns import compute_once
 from signalsieve.operators.skew import salted_join, stable
 
 _LEXICON = T.StructType(
@@ -21,6 +22,8 @@ _LEXICON = T.StructType(
     ]
 )
 MAX_FOLDED_TERMS = 1000
+#: Up to so many different phrases are sent to the texts.
+MAX_SENT_PHRASES = 10_000
 
 
 def lexicon_frame(spark: SparkSession, phrases: Iterable[Phrase]) -> DataFrame:
@@ -78,9 +81,17 @@ def _anchor_hits(
 
     The distinct words of a text meet the one anchor word of each phrase by equality. Phrases of a
     single word are found by that; longer ones are looked for in the folded text of the few
-    signals that have their anchor. Phrases and lexicons may be of any length.
+    signals that have their anchor. Phrases and lexicons may be of any length. Few phrases are sent to the
+    texts, which are then folded once and stay where they are; for many, words and texts are shuffled.
     """
     key = ["signal_id", *on]
+    entries = stable(entries)
+    if entries.count() <= MAX_SENT_PHRASES:
+        folded = compute_once(signals.select("signal_id", *keep, text), _words=words_of(text)).drop(text)
+        split = folded.withColumn("_anchor", F.explode_outer(F.array_distinct(F.split(F.trim("_words"), " "))))
+        met = split.join(F.broadcast(entries), [*on, "_anchor"])
+        stands = F.contains("_words", F.concat(F.lit(" "), "_phrase", F.lit(" ")))
+        return met.filter((F.col("_phrase") == F.col("_anchor")) | stands).drop("_words")
     anchors = signals.select(
         "signal_id",
         *keep,

@@ -468,3 +468,13 @@ def test_small_tables_are_spread_by_their_size(spark):
     spread = spread_small(spark.range(100, numPartitions=1), "id")
     plan = spread._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_COL" in plan
+
+
+def test_few_phrases_are_sent_to_the_texts(spark, monkeypatch):
+    lexicon = matching.lexicon_frame(spark, [Phrase("pain", "so slow"), Phrase("timing", "now"), Phrase("pain", "now", "fr")])
+    df = spark.createDataFrame([(1, "en", "It is so, slow"), (2, "fr", "So slow now"), (3, "en", ""), (4, "en", None)], "signal_id int, lang string, text string")
+    hits = matching.phrase_hits(df, lexicon)
+    assert "Exchange hashpartitioning" not in hits._jdf.queryExecution().executedPlan().toString()
+    sent = sorted(map(tuple, hits.collect()))
+    monkeypatch.setattr(matching, "MAX_SENT_PHRASES", 0)
+    assert sent == sorted(map(tuple, matching.phrase_hits(df, lexicon).collect())) == [(2, "pain", "now"), (2, "pain", "so slow"), (2, "timing", "now")]
