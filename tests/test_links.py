@@ -163,3 +163,10 @@ def test_tags_are_looked_for_once(spark):
     plan = named._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all(") == 2
     assert named.first().target == "https://a.example/y"
+
+
+def test_customers_of_one_row_group_are_named_by_all_cores(spark):
+    from signalsieve.plans.bindings import customer_profiles
+
+    profiles = customer_profiles(spark, "/root/testdata/sf0.001")
+    assert profiles.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism > 1
