@@ -2,8 +2,8 @@
 
 A word's symbols form a doubly linked list; a priority queue holds the ranks of adjacent pairs. The
 best pair is merged and its new neighbours are queued; entries whose pair is gone are skipped when
-they come up. Decoding joins the vocabulary's strings. Words repeat, so each worker keeps those
-seen lately with their ids and strings, in caches of bounded size.
+they come up. Decoding joins the vocabulary's strings. Words repeat, so each worker keeps the ids of those
+seen lately, in caches of bounded size. Strings are not kept with them, as a text's own ids give them.
 """
 
 from __future__ import annotations
@@ -11,7 +11,8 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Callable, Iterator
+from array import array
+from collections.abc import Callable, Iterable, Iterator
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -19,9 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from signalsieve.llm.common import importable
-from signalsieve.llm.token_ids import Cache, pieces_of
+from signalsieve.llm.token_ids import BatchCache, pieces_of
 from signalsieve.llm.words import byte_characters, has_known_patterns, split_words
 
+#: Words, and runs without white space, per generation of a worker's caches.
+CACHED = 250_000
+
+
 class Bpe:
     """One vocabulary, from the text of its file."""
 
@@ -42,7 +47,7 @@ class Bpe:
         self.inner = [vocabulary.get(c) for c in characters]
         self.last = [vocabulary.get(c + end) for c in characters]
         self._special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        self._words, self._pieces = Cache(self._word), Cache(self._piece)
+        self._words, self._pieces = BatchCache(self._word_ids, CACHED), BatchCache(self._piece_ids, CACHED)
 
     def encode_word(self, word: str) -> list[int]:
         """Ids of one word of the pre-tokenizer."""
@@ -81,42 +86,45 @@ class Bpe:
                     heappush(queue, pair[0] << 32 | h)
         return [s for s in symbols if s >= 0]
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: Iterable[int]) -> str:
         """Vocabulary strings, one after the other with a space between."""
-        return " ".join([self.strings[i] for i in ids])
-
-    def _word(self, word: str) -> tuple[bytes, str]:
-        ids = self.encode_word(word)
-        return np.array(ids, dtype="<i4").tobytes(), self.decode(ids)
-
-    def _piece(self, piece: str) -> tuple[bytes, str]:
-        """Ids (as bytes) and decoded string of a run without white space."""
-        parts = self._special.split(piece) if self._special is not None and "<" in piece else [piece]
-        out: list[tuple[bytes, str]] = []
-        for k, part in enumerate(parts):
-            if k % 2:
-                out.append((np.array([self.special[part]], dtype="<i4").tobytes(), part))
-            else:
-                words = split_words(part)
-                known = self._words.knowing([words])
-                out += [known[w] for w in words]
-        return b"".join([x[0] for x in out]), " ".join([x[1] for x in out])
+        return " ".join(map(self.strings.__getitem__, ids))
+
+    def _word_ids(self, words: list[str]) -> list[bytes]:
+        return [array("I", self.encode_word(word)).tobytes() for word in words]
+
+    def _piece_ids(self, pieces: list[str]) -> list[bytes]:
+        """Ids (as bytes) of runs without white space."""
+        split = [self._special.split(p) if self._special is not None and "<" in p else [p] for p in pieces]
+        words = [[_own_words(part) for part in parts[::2]] for parts in split]
+        get = self._words.knowing([w for parts in words for w in parts]).__getitem__
+        out = []
+        for parts, own in zip(split, words):
+            made = [b"".join(map(get, own[0]))]
+            for special, after in zip(parts[1::2], own[1:]):
+                made += [array("I", [self.special[special]]).tobytes(), *map(get, after)]
+            out.append(b"".join(made))
+        return out
 
     def encode_texts(self, texts: list[str | None]) -> list[tuple[bytes, str]]:
         """Ids (as bytes) and decoded string of each text."""
         split = [pieces_of(t) for t in texts]
-        known = self._pieces.knowing(split)
-        out = []
+        get, out = self._pieces.knowing(split).__getitem__, []
         for pieces in split:
-            found = [known[p] for p in pieces]
-            # A piece may have no ids at all, and then no string either.
-            out.append((b"".join([x[0] for x in found]), " ".join([x[1] for x in found if x[0]])))
+            ids = array("I", b"".join(map(get, pieces)))
+            out.append((ids.tobytes(), self.decode(ids)))
         return out
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_texts([text])[0][0], dtype="<i4").tolist()
 
 
+def _own_words(text: str) -> list[str]:
+    """Words of a text; one that is the whole text is that very string, so that both caches hold it once."""
+    words = split_words(text)
+    return [text] if words == [text] else words
+
+
 _models: dict[str, Bpe] = {}
 
 

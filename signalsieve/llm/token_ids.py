@@ -37,10 +37,10 @@ def pieces_of(text: str | None) -> list[str]:
 
 
 class Cache:
-    """``make(piece)`` of pieces seen lately."""
+    """``make(piece)`` of pieces seen lately, ``most`` per generation and those of one call."""
 
-    def __init__(self, make: Callable[[str], object]):
-        self.make = make
+    def __init__(self, make: Callable[[str], object], most: int | None = None):
+        self.make, self.most = make, most or CACHE_PIECES
         self.young: dict[str, object] = {}
         self.old: dict[str, object] = {}
         self.long: list[str] = []
@@ -49,7 +49,7 @@ class Cache:
         """A dictionary that has all these pieces, until the next call."""
         for piece in self.long:
             del self.young[piece]
-        if len(self.young) >= CACHE_PIECES:
+        if len(self.young) >= self.most:
             self.old, self.young = self.young, {}
         new = set(chain.from_iterable(lists)).difference(self.young)
         old, make = self.old, self.make
@@ -61,14 +61,14 @@ class Cache:
 class BatchCache(Cache):
     """A cache that makes all new pieces of a call together: ``make`` takes and gives a list."""
 
-    def __init__(self, make: Callable[[list[str]], list]):
-        super().__init__(lambda piece: make([piece])[0])
+    def __init__(self, make: Callable[[list[str]], list], most: int | None = None):
+        super().__init__(lambda piece: make([piece])[0], most)
         self.make_all = make
 
     def knowing(self, lists: list[list[str]]) -> dict[str, object]:
         for piece in self.long:
             del self.young[piece]
-        if len(self.young) >= CACHE_PIECES:
+        if len(self.young) >= self.most:
             self.old, self.young = self.young, {}
         new = list(set(chain.from_iterable(lists)).difference(self.young))
         old, young = self.old, self.young

@@ -1,5 +1,6 @@
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -8,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from signalsieve.llm import bpe
 from signalsieve.llm.bpe import Bpe, encode_documents
 from signalsieve.llm.huffman import STRIDE, Codebook, code_lengths
 from signalsieve.llm.licenses import BASE_PHRASES, scan
@@ -48,6 +50,22 @@ def test_long_words_merge_alike(spec, library):
     assert Bpe(spec).encode(text) == library.encode(text, add_special_tokens=False).ids
 
 
+def test_caches_of_a_worker_stay_small(spec, monkeypatch):
+    own, texts = Bpe(spec), [" ".join(f"W{k}x{'qzjk'[k % 4]}{i}," for k in range(100)) for i in range(200)]
+    own.encode("a")
+    tracemalloc.start()
+    own.encode_texts(texts)
+    own.encode("a")
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held / 20_000 < 200  # bytes per run; with decoded strings 282
+
+    monkeypatch.setattr(bpe, "CACHED", 300)
+    small = Bpe(spec)
+    assert [small.encode(t) for t in texts] == [own.encode(t) for t in texts]
+    assert all(len(c.young) + len(c.old) <= 2 * (300 + 100) for c in (small._pieces, small._words))
+
+
 def test_encoded_documents(spec, library, edge_docs, edge_rows, no_docs):
     got = encode_documents(edge_docs.select("doc_id", "text", "ids"), spec)
     expected = sorted((r[0] or -1, library.encode(r[1] or "", add_special_tokens=False).ids) for r in edge_rows)
