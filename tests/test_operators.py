@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from signalsieve.config import BUCKETS, MAX_INLINE_PHRASES, SEED_LEXICON, Phrase
 from signalsieve.operators import aggregates, briefs, dedup, evidence, matching, outreach, policy, ranking, scoring, skew
+from signalsieve.plans.bindings import order_documents
 from signalsieve.operators.skew import ranked_rows, salted_join, spread_small
 from signalsieve.sources.signals import read_signals, union_signals
 
@@ -470,6 +471,21 @@ def test_small_tables_are_spread_by_their_size(spark):
     assert "REPARTITION_BY_COL" in plan
 
 
+def test_orders_of_one_row_group_are_spread(spark, tmp_path):
+    fields = "id AS o_orderkey, id AS o_custkey, 'F' AS o_orderstatus, 1.0D AS o_totalprice, '1-URGENT' AS o_orderpriority"
+    spark.range(20_000, numPartitions=1).selectExpr(*fields.split(", ")).write.parquet(f"{tmp_path}/orders.parquet")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    for k in before:
+        spark.conf.set(k, "8k")
+    try:
+        tasks = order_documents(spark, str(tmp_path)).groupBy(F.spark_partition_id()).agg(F.count("body"), F.sum("document_id")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(t[1] for t in tasks) == 20_000 and sum(t[2] for t in tasks) == sum(range(20_000))
+    assert len(tasks) > 8 and max(t[1] for t in tasks) < 5_000
+
+
 def test_few_phrases_are_sent_to_the_texts(spark, monkeypatch):
     lexicon = matching.lexicon_frame(spark, [Phrase("pain", "so slow"), Phrase("timing", "now"), Phrase("pain", "now", "fr")])
     df = spark.createDataFrame([(1, "en", "It is so, slow"), (2, "fr", "So slow now"), (3, "en", ""), (4, "en", None)], "signal_id int, lang string, text string")
