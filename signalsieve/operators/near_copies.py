@@ -11,6 +11,8 @@ similarity always share one of these, so nothing that a full block holds is lost
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,8 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from signalsieve.functions.texts import fold_text, text_key
-from signalsieve.operators.dedup import keep_first
+from signalsieve.functions.texts import fold_text
 from signalsieve.operators.graph import connected
 from signalsieve.operators.skew import heavy_first_join, salted_join, stable
 
@@ -50,6 +51,72 @@ def shingles(text: Column | str, words: int = WORDS) -> Column:
     return F.transform(F.array(split), of)[0]
 
 
+def _hashed_texts(words: int, id_name: str) -> Callable:
+    """Tasks that turn folded texts into a key of the whole text and the hashes of its runs of words, each once."""
+    random = np.random.default_rng(11)
+    of_byte = random.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    of_byte[32] = 0  # the space behind a word adds nothing to it
+    base, factor, second = np.uint64(0xD1342543DE82EF93), np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+
+    def mixed(values: np.ndarray) -> np.ndarray:
+        out = (values ^ values >> np.uint64(31)) * factor
+        out = (out ^ out >> np.uint64(29)) * second
+        return out ^ out >> np.uint64(32)
+
+    def word_hashes(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        sizes = np.diff(np.append(starts, len(data)))
+        powers = np.multiply.accumulate(np.full(sizes.max(), base, np.uint64))
+        terms = of_byte[data]
+        terms *= powers[np.arange(len(data)) - np.repeat(starts, sizes)]
+        return mixed(np.add.reduceat(terms, starts))
+
+    def run_hashes(hashes: np.ndarray, first: np.ndarray, count: int) -> np.ndarray:
+        out = np.full(len(first), count, np.uint64)
+        for k in range(count):
+            out = out * factor + hashes[first + k]
+        return mixed(out)
+
+    def sets_of(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+        """One set per text; texts lie between ``offsets``, their words are parted by single spaces."""
+        filled = np.flatnonzero(np.diff(offsets))
+        found = [np.zeros(0, np.uint64)] * (len(offsets) - 1)
+        if not len(filled):
+            return found
+        begins = offsets[filled]
+        starts = np.sort(np.concatenate([begins, np.flatnonzero(data == 32) + 1]))
+        hashes = word_hashes(data, starts)
+        first = np.searchsorted(starts, begins)
+        counts = np.diff(np.append(first, len(starts)))
+        short = {m: run_hashes(hashes, first[counts == m], m) for m in range(1, words)}
+        runs = run_hashes(hashes, np.arange(max(0, len(starts) - words + 1)), words)
+        taken = dict.fromkeys(short, 0)
+        for i, at, n in zip(filled.tolist(), first.tolist(), counts.tolist()):
+            if n < words:
+                found[i] = short[n][taken[n] : taken[n] + 1]
+                taken[n] += 1
+            else:
+                found[i] = np.sort(runs[at : at + n - words + 1])
+                found[i] = found[i][np.append(True, found[i][1:] != found[i][:-1])]
+        return found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, SLICE):
+                part = batch.slice(start, SLICE)
+                texts = part.column("_text").cast(pa.large_binary())
+                raw = [t.as_buffer() if t.is_valid else None for t in texts]
+                keys = [None if b is None else hashlib.sha256(b).hexdigest() for b in raw]
+                offsets = np.cumsum([0, *(0 if b is None else b.size for b in raw)])
+                data = np.frombuffer(b"".join(b for b in raw if b is not None), np.uint8)
+                sets = sets_of(data, offsets)
+                ends = np.cumsum([0, *map(len, sets)])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
+                columns = [part.column("_row"), part.column(id_name), pa.array(keys, pa.string()), lists]
+                yield pa.RecordBatch.from_arrays(columns, names=["_row", id_name, "_key", "shingles"])
+
+    return run
+
+
 def _minima(bands: int, rows: int, id_name: str) -> Callable:
     random = np.random.default_rng(7)
     seeds = random.integers(0, 2**63, bands * rows, dtype=np.uint64)
@@ -88,7 +155,9 @@ def band_values(sets: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFr
 
 
 def similar_pairs(pairs: DataFrame, sets: DataFrame, least: float = LEAST) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose sets have the Jaccard similarity ``least`` or more."""
+    """Those of the written ``pairs`` (a, b) whose sets have the Jaccard similarity ``least`` or more."""
+    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    sets = stable(sets.select("id", "shingles").join(wanted, "id", "left_semi"))
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("_x"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("_y"))
     both = pairs.join(left, "a").join(right, "b")
@@ -96,18 +165,15 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, least: float = LEAST) -> Da
     return both.filter(shared >= F.lit(least) * (F.size("_x") + F.size("_y") - shared)).select("a", "b")
 
 
-def _prefix(least: float) -> Column:
-    """The first shingles of a set, of which two similar sets share one."""
-    size = F.size("shingles")
-    return F.slice("shingles", 1, (size - F.ceil(size * F.lit(least)) + 1).cast("int"))
-
-
-def near_links(sets: DataFrame, least: float = LEAST, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) of sets (id, shingles) that are similar and meet in a band.
+def near_links(
+    sets: DataFrame, least: float = LEAST, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK, among: DataFrame | None = None
+) -> DataFrame:
+    """Links (a, b) of sets (id, shingles) that are similar and meet in a band; only of the ids ``among`` if these are given.
 
     Not all pairs of a full block are listed, but all that connect it.
     """
-    values = stable(band_values(sets, bands, rows))
+    values = band_values(sets, bands, rows)
+    values = stable(values if among is None else values.join(among, "id", "left_semi"))
     groups = values.groupBy("band", "value").agg(F.count("*").alias("n"), F.min("id").alias("leader")).filter("n > 1")
     members = stable(salted_join(values, groups, ["band", "value"]))
     small, full = members.filter(F.col("n") <= block), members.filter(F.col("n") > block)
@@ -115,16 +181,76 @@ def near_links(sets: DataFrame, least: float = LEAST, bands: int = BANDS, rows:
     other = small.select("band", "value", F.col("id").alias("b"))
     pairs = one.join(other, ["band", "value"]).filter("a < b").select("a", "b")
     stars = full.filter("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b"))
-    links = stable(similar_pairs(pairs.unionByName(stars).distinct(), sets, least))
+    links = stable(similar_pairs(stable(pairs.unionByName(stars).distinct()), sets, least))
     # Texts of full blocks that are not like the leader, against all texts there.
     linked = links.select(F.col("a").alias("leader"), F.col("b").alias("id"))
     loose = stable(full.filter("id <> leader").join(linked, ["leader", "id"], "left_anti").select("band", "value", "id"))
-    blocks = loose.select("band", "value").distinct()
-    first = sets.select("id", F.explode(_prefix(least)).alias("_shingle"))
-    here = full.select("band", "value", "id").join(blocks, ["band", "value"], "left_semi").join(first, "id")
-    mine = loose.join(first, "id").withColumnRenamed("id", "_other")
-    met = mine.join(here, ["band", "value", "_shingle"]).filter("id <> _other")
-    rest = met.select(F.least("id", "_other").alias("a"), F.greatest("id", "_other").alias("b")).distinct()
+    if loose.isEmpty():
+        return links
+    here = full.join(loose.select("band", "value").distinct(), ["band", "value"], "left_semi").select("id").distinct()
+    marked = here.join(loose.select("id", F.lit(True).alias("loose")).distinct(), "id", "left").fillna(False)
+    return _loose_links(marked, sets, links, least, block)
+
+
+def _often_enough(x: str, y: str, least: float) -> Column:
+    """Whether two sets may be similar though they share frequent shingles only."""
+    return F.least(f"{x}often", f"{y}often") >= F.lit(least / (1 + least)) * (F.col(f"{x}size") + F.col(f"{y}size")) - F.lit(1e-6)
+
+
+def _like(x: str, y: str, least: float) -> Column:
+    """Whether two sets may be similar by their sizes."""
+    return F.least(f"{x}size", f"{y}size") >= F.lit(least) * F.greatest(f"{x}size", f"{y}size")
+
+
+def _first_shingles(here: DataFrame, sets: DataFrame, least: float, block: int) -> DataFrame:
+    """(shingle, hot, id, loose, size, often, last) of the first shingles of the sets ``here``, those in over ``block`` of them last.
+
+    ``often`` is the number of a set's such shingles and ``last`` that of those among its first ones.
+    """
+    tokens = stable(here.join(sets.select("id", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle")), "id"))
+    counted = tokens.groupBy("shingle").agg((F.count("*") > block).alias("hot"))
+    parts = tokens.join(counted, "shingle").groupBy("id", "loose", "size").agg(
+        F.array_sort(F.collect_list(F.struct("hot", "shingle"))).alias("parts"), F.count_if("hot").alias("often")
+    )
+    taken = (F.col("size") - F.ceil(F.col("size") * F.lit(least)) + 1).cast("int")
+    first = parts.withColumn("parts", F.slice("parts", F.lit(1), taken))
+    last = F.size(F.filter("parts", lambda p: p["hot"])).alias("last")
+    # A set that is similar to another by frequent shingles alone has ``least`` of its own among these.
+    worth = (~F.col("hot")) | (F.col("often") >= F.lit(least) * F.col("size") - F.lit(1e-6))
+    return first.select("id", "loose", "size", "often", last, F.inline("parts")).filter(worth)
+
+
+def _loose_links(here: DataFrame, sets: DataFrame, links: DataFrame, least: float, block: int) -> DataFrame:
+    """``links`` and those between the sets ``here`` (id, loose) that are not connected yet, of which one is loose.
+
+    Two similar sets share one of their first shingles in any one order. Frequent shingles come last in it, so that others list
+    few pairs; sets whose first common shingle is a frequent one have only frequent ones in common and must have many of them.
+    Before such pairs are listed, each set is held against the one of its size that has the fewest shingles of its own, for each
+    of its frequent ones: edited copies of one text are nearly all connected by then, however many they are.
+    """
+    tokens = stable(_first_shingles(here, sets, least, block))
+    scale = F.floor(F.log("size") / F.lit(math.log(1 / least))) if least < 1 else F.col("size")
+    hot = tokens.filter("hot").withColumn("scale", scale)
+    one = F.min_by(F.struct("id", "size", "often"), F.struct(F.col("size") - F.col("often"), "id")).alias("one")
+    central = hot.groupBy("shingle", "scale").agg(one)
+    met = hot.join(central, ["shingle", "scale"]).filter((F.col("id") != F.col("one.id")) & _like("", "one.", least) & _often_enough("", "one.", least))
+    stars = stable(met.select(F.least("id", "one.id").alias("a"), F.greatest("id", "one.id").alias("b")).distinct().join(links, ["a", "b"], "left_anti"))
+    links = stable(links.unionByName(similar_pairs(stars, sets, least)))
+    # From here on only sets of different components count.
+    placed = tokens.join(connected(links).withColumnRenamed("node", "id"), "id", "left").withColumn("class", F.coalesce("component", "id"))
+    several = placed.groupBy("shingle").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.max("loose").alias("any"))
+    placed = stable(placed.join(several.filter("low <> high and any").select("shingle"), "shingle"))
+    x, y = (placed.select("shingle", "hot", F.struct("id", "class", "loose", "size", "often", "last").alias(n)) for n in "xy")
+    enough = _often_enough("x.", "y.", least)
+    met = x.join(y.drop("hot"), "shingle").filter(
+        (F.col("x.class") < F.col("y.class")) & (F.col("x.loose") | F.col("y.loose")) & _like("x.", "y.", least) & (~F.col("hot") | enough)
+    )
+    # What two sets share is shared by their first shingles or stands behind those of the larger set.
+    unlisted = F.when(enough, 0).otherwise(F.least("x.last", "y.last")).alias("u")
+    ids = (F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+    counted = met.select(*ids, F.col("x.size").alias("m"), F.col("y.size").alias("n"), unlisted).groupBy("a", "b", "m", "n", "u").agg(F.count("*").alias("c"))
+    most = F.least(F.col("c") + F.col("u") + F.ceil(F.lit(least) * F.greatest("m", "n")) - 1, "m", "n")
+    rest = stable(counted.filter(most >= F.lit(least) * (F.col("m") + F.col("n") - most)).select("a", "b"))
     return links.unionByName(stable(similar_pairs(rest, sets, least))).distinct()
 
 
@@ -144,16 +270,22 @@ def near_classes(
     """
     if not 0 < least <= 1:
         raise ValueError("the least similarity lies above 0 and is at most 1")
-    hashed = signals.select(F.col(signal_id).alias("id"), F.col(text).alias("_text"), text_key(text).alias("_key"))
-    texts = keep_first(hashed.filter("_key is not null"), F.col("_key"), ["id"])
-    sets = stable(texts.select("id", "_key", shingles("_text", words).alias("shingles")))
-    classes = connected(near_links(sets, least, bands, rows, block))
-    found = sets.select("id", "_key").join(classes, F.col("id") == F.col("node"), "left")
-    keyed = found.select("_key", F.coalesce("component", "id").alias("class_id"))
+    # Texts are read once and never shuffled; from here on only hashes are.
+    folded = signals.select(F.monotonically_increasing_id().alias("_row"), F.col(signal_id).alias("id"), fold_text(text).alias("_text"))
+    kind = dict(folded.dtypes)["id"]
+    hashed = stable(folded.mapInArrow(_hashed_texts(words, "id"), f"_row bigint, id {kind}, _key string, shingles array<bigint>"))
+    first = F.min(F.struct(F.isnull("id").alias("_no"), "id", "_row")).alias("first")
+    firsts = hashed.filter("_key is not null").groupBy("_key").agg(first, F.count("*").alias("_n"))
+    texts = stable(firsts.select("_key", "first.id", "first._row", "_n"))
+    sets = hashed.select(F.col("_row").alias("id"), "shingles")
+    links = near_links(sets, least, bands, rows, block, among=texts.select(F.col("_row").alias("id")))
+    names = texts.select("_row", "id")
+    classes = connected(links.join(names.toDF("a", "x"), "a").join(names.toDF("b", "y"), "b").select("x", "y"))
+    found = texts.join(classes, F.col("id") == F.col("node"), "left")
+    keyed = stable(found.select("_key", "_n", F.coalesce("component", "id").alias("class_id")))
     # Copies of one text may be a third of all signals: the most copied texts are looked up.
-    all_keys = stable(hashed.select("id", F.coalesce("_key", F.lit("")).alias("_key")))
-    weights = all_keys.groupBy("_key").agg(F.count("*").alias("_n"))
-    joined = heavy_first_join(all_keys, stable(keyed.join(weights, "_key")), "_key", "class_id", "_n", "id")
+    all_keys = hashed.select("id", F.coalesce("_key", F.lit("")).alias("_key"))
+    joined = heavy_first_join(all_keys, keyed, "_key", "class_id", "_n", "id")
     return joined.select(F.col("id").alias("signal_id"), F.coalesce("class_id", "id").alias("class_id"))
 
 

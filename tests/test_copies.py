@@ -4,6 +4,7 @@ import random
 from collections import defaultdict
 from itertools import combinations
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -193,6 +194,42 @@ def test_links_are_exact_and_few_are_missed(spark, reposts):
     assert got <= set(links) and len(got) / len(links) >= 0.99
 
 
+def test_edited_copies_of_one_text_do_not_all_meet(spark, monkeypatch):
+    rnd, compared, similar_pairs = random.Random(6), [], nc.similar_pairs
+    base, texts = sentence(rnd, 400), {}
+    for i in range(500):
+        words = list(base)
+        for _ in range(rnd.randint(1, 20)):
+            words[rnd.randrange(400)] = f"new{rnd.random()}"
+        texts[i] = " ".join(words)
+
+    def counted(pairs, *args):
+        compared.append(pairs.count())
+        return similar_pairs(pairs, *args)
+
+    monkeypatch.setattr(nc, "similar_pairs", counted)
+    got = {r.signal_id: r.class_id for r in nc.near_classes(spark.createDataFrame([(i, t, "x") for i, t in texts.items()], TEXT)).collect()}
+    assert got == plain_classes(texts)[0]
+    assert sum(compared[1:]) <= 3 * len(texts)
+
+
+@pytest.mark.parametrize("words", [1, 2, 5])
+def test_runs_of_words_hash_alike_wherever_they_stand(words):
+    folded = ["a b c d e f", None, "", "x a b c d e f", "b", "a b c d e f a b c d e f", "é ü", "b a", "b", "a b  c", "ab c", "a bc"]
+    batch = pa.record_batch({"_row": pa.array(range(len(folded))), "id": pa.array(range(len(folded))), "_text": folded})
+    made = pa.Table.from_batches(nc._hashed_texts(words, "id")([batch.slice(0, 3), batch.slice(3, 0), batch.slice(3)])).to_pylist()
+    split = [t.split(" ") if t else [] for t in folded]
+    sets = [{tuple(w[k : k + words]) for k in range(max(len(w) - words, 0) + 1)} if w else set() for w in split]
+    known = {}
+    for run, row in zip(sets, made, strict=True):
+        assert len(run) == len(row["shingles"]) and row["shingles"] == sorted(row["shingles"], key=lambda x: x % 2**64)
+    for x, one in zip(sets, made):
+        for y, other in zip(sets, made):
+            assert len(x & y) == len(set(one["shingles"]) & set(other["shingles"]))
+        known.setdefault(one["_key"], set()).add(folded[one["_row"]])
+    assert all(len(texts) == 1 for texts in known.values() if None not in texts and "" not in texts)
+
+
 def test_copies_repeated_rows_and_empty_tables(spark):
     rnd = random.Random(3)
     text = " ".join(sentence(rnd, 80))
