@@ -17,6 +17,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +32,9 @@ BANDS = 24
 ROWS = 4
 #: Most texts of a band value that are compared with each other.
 BLOCK = 32
-#: Texts whose minima are taken together.
+#: Texts whose minima are taken together, and bytes of text that are hashed together: some 40 bytes each are needed for these.
 SLICE = 256
+SLICE_BYTES = 2**18
 
 
 def shingles(text: Column | str, words: int = WORDS) -> Column:
@@ -51,8 +53,9 @@ def shingles(text: Column | str, words: int = WORDS) -> Column:
     return F.transform(F.array(split), of)[0]
 
 
-def _hashed_texts(words: int, id_name: str) -> Callable:
-    """Tasks that turn folded texts into a key of the whole text and the hashes of its runs of words, each once."""
+def _hashed_texts(words: int, bands: int, rows: int) -> Callable:
+    """Tasks that turn folded texts into a key of the whole text, the hashes of its runs of words, each once, and their minima."""
+    minima = _minima(bands, rows)
     random = np.random.default_rng(11)
     of_byte = random.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     of_byte[32] = 0  # the space behind a word adds nothing to it
@@ -67,7 +70,7 @@ def _hashed_texts(words: int, id_name: str) -> Callable:
         sizes = np.diff(np.append(starts, len(data)))
         powers = np.multiply.accumulate(np.full(sizes.max(), base, np.uint64))
         terms = of_byte[data]
-        terms *= powers[np.arange(len(data)) - np.repeat(starts, sizes)]
+        terms *= powers[np.arange(len(data), dtype=np.int32) - np.repeat(starts.astype(np.int32), sizes)]
         return mixed(np.add.reduceat(terms, starts))
 
     def run_hashes(hashes: np.ndarray, first: np.ndarray, count: int) -> np.ndarray:
@@ -101,47 +104,57 @@ def _hashed_texts(words: int, id_name: str) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, SLICE):
-                part = batch.slice(start, SLICE)
-                texts = part.column("_text").cast(pa.large_binary())
-                raw = [t.as_buffer() if t.is_valid else None for t in texts]
+            sizes = pc.fill_null(pc.binary_length(batch.column("_text")), 0).to_numpy()
+            slices = np.cumsum(sizes, dtype=np.int64) // SLICE_BYTES
+            starts = [0, *(np.flatnonzero(np.diff(slices)) + 1).tolist(), batch.num_rows]
+            for start, end in zip(starts, starts[1:]):
+                part = batch.slice(start, end - start)
+                raw = [t.as_buffer() if t.is_valid else None for t in part.column("_text")]
                 keys = [None if b is None else hashlib.sha256(b).hexdigest() for b in raw]
-                offsets = np.cumsum([0, *(0 if b is None else b.size for b in raw)])
                 data = np.frombuffer(b"".join(b for b in raw if b is not None), np.uint8)
-                sets = sets_of(data, offsets)
+                sets = sets_of(data, np.append(0, np.cumsum(sizes[start:end], dtype=np.int64)))
                 ends = np.cumsum([0, *map(len, sets)])
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
-                columns = [part.column("_row"), part.column(id_name), pa.array(keys, pa.string()), lists]
-                yield pa.RecordBatch.from_arrays(columns, names=["_row", id_name, "_key", "shingles"])
+                hashes, filled = np.concatenate([np.zeros(0, np.uint64), *sets]), np.diff(ends) > 0
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(hashes.view(np.int64)))
+                found = minima(hashes, ends[:-1][filled]).T.reshape(-1) if filled.any() else np.zeros(0, np.int64)
+                found = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(filled) * bands), pa.int32()), pa.array(found))
+                columns = [part.column("_row"), part.column("id"), pa.array(keys, pa.string()), lists, found]
+                yield pa.RecordBatch.from_arrays(columns, names=["_row", "id", "_key", "shingles", "minima"])
 
     return run
 
 
-def _minima(bands: int, rows: int, id_name: str) -> Callable:
+def _minima(bands: int, rows: int) -> Callable:
+    """Gives a value per band of each of the sets of hashes that begin at ``starts``, none of them empty."""
     random = np.random.default_rng(7)
     seeds = random.integers(0, 2**63, bands * rows, dtype=np.uint64)
     factor, second = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
+    def values(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        found = np.zeros((bands, len(starts)), np.uint64)
+        for k, seed in enumerate(seeds):
+            mixed = (flat ^ seed) * factor
+            mixed ^= mixed >> np.uint64(32)
+            mixed *= second
+            band = k // rows
+            found[band] = (found[band] ^ np.minimum.reduceat(mixed, starts)) * factor + np.uint64(k)
+        return found.view(np.int64)
+
+    return values
+
+
+def _banded_sets(bands: int, rows: int) -> Callable:
+    minima = _minima(bands, rows)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, SLICE):
                 part = batch.slice(start, SLICE)
                 lists = part.column("shingles")
                 sizes = np.diff(lists.offsets.to_numpy())
-                flat = lists.flatten().to_numpy().view(np.uint64)
-                starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-                found = np.zeros((bands, len(sizes)), np.uint64)
-                for k, seed in enumerate(seeds):
-                    mixed = (flat ^ seed) * factor
-                    mixed ^= mixed >> np.uint64(32)
-                    mixed *= second
-                    band = k // rows
-                    found[band] = (found[band] ^ np.minimum.reduceat(mixed, starts)) * factor + np.uint64(k)
-                ids = part.column(id_name).take(pa.array(np.tile(np.arange(len(sizes)), bands)))
-                yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(np.repeat(np.arange(bands), len(sizes)), pa.int32()), pa.array(found.reshape(-1).view(np.int64))],
-                    names=["id", "band", "value"],
-                )
+                found = minima(lists.flatten().to_numpy().view(np.uint64), np.cumsum(sizes) - sizes)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1) * bands, pa.int32()), pa.array(found.T.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([part.column("id"), lists], names=["id", "minima"])
 
     return run
 
@@ -149,14 +162,16 @@ def _minima(bands: int, rows: int, id_name: str) -> Callable:
 def band_values(sets: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(id, band, value) of MinHash values of non-empty ``sets`` (id, shingles)."""
     kind = dict(sets.dtypes)["id"]
-    return sets.filter("size(shingles) > 0").select("id", "shingles").mapInArrow(
-        _minima(bands, rows, "id"), f"id {kind}, band int, value bigint"
+    made = sets.filter("size(shingles) > 0").select("id", "shingles").mapInArrow(
+        _banded_sets(bands, rows), f"id {kind}, minima array<bigint>"
     )
+    return made.select("id", F.posexplode("minima").alias("band", "value"))
 
 
 def similar_pairs(pairs: DataFrame, sets: DataFrame, least: float = LEAST) -> DataFrame:
     """Those of the written ``pairs`` (a, b) whose sets have the Jaccard similarity ``least`` or more."""
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    # Written, so that its size is known and few ids are sent to the sets rather than all sets shuffled.
+    wanted = stable(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
     sets = stable(sets.select("id", "shingles").join(wanted, "id", "left_semi"))
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("_x"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("_y"))
@@ -166,14 +181,13 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, least: float = LEAST) -> Da
 
 
 def near_links(
-    sets: DataFrame, least: float = LEAST, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK, among: DataFrame | None = None
+    sets: DataFrame, least: float = LEAST, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK, values: DataFrame | None = None
 ) -> DataFrame:
-    """Links (a, b) of sets (id, shingles) that are similar and meet in a band; only of the ids ``among`` if these are given.
+    """Links (a, b) of sets (id, shingles) that are similar and meet in a band; ``values`` are their :func:`band_values` if these are known.
 
     Not all pairs of a full block are listed, but all that connect it.
     """
-    values = band_values(sets, bands, rows)
-    values = stable(values if among is None else values.join(among, "id", "left_semi"))
+    values = stable(band_values(sets, bands, rows) if values is None else values)
     groups = values.groupBy("band", "value").agg(F.count("*").alias("n"), F.min("id").alias("leader")).filter("n > 1")
     members = stable(salted_join(values, groups, ["band", "value"]))
     small, full = members.filter(F.col("n") <= block), members.filter(F.col("n") > block)
@@ -188,7 +202,7 @@ def near_links(
     if loose.isEmpty():
         return links
     here = full.join(loose.select("band", "value").distinct(), ["band", "value"], "left_semi").select("id").distinct()
-    marked = here.join(loose.select("id", F.lit(True).alias("loose")).distinct(), "id", "left").fillna(False)
+    marked = stable(here.join(loose.select("id", F.lit(True).alias("loose")).distinct(), "id", "left").fillna(False))
     return _loose_links(marked, sets, links, least, block)
 
 
@@ -207,7 +221,8 @@ def _first_shingles(here: DataFrame, sets: DataFrame, least: float, block: int)
 
     ``often`` is the number of a set's such shingles and ``last`` that of those among its first ones.
     """
-    tokens = stable(here.join(sets.select("id", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle")), "id"))
+    found = sets.select("id", "shingles").join(here, "id")
+    tokens = stable(found.select("id", "loose", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle")))
     counted = tokens.groupBy("shingle").agg((F.count("*") > block).alias("hot"))
     parts = tokens.join(counted, "shingle").groupBy("id", "loose", "size").agg(
         F.array_sort(F.collect_list(F.struct("hot", "shingle"))).alias("parts"), F.count_if("hot").alias("often")
@@ -273,12 +288,14 @@ def near_classes(
     # Texts are read once and never shuffled; from here on only hashes are.
     folded = signals.select(F.monotonically_increasing_id().alias("_row"), F.col(signal_id).alias("id"), fold_text(text).alias("_text"))
     kind = dict(folded.dtypes)["id"]
-    hashed = stable(folded.mapInArrow(_hashed_texts(words, "id"), f"_row bigint, id {kind}, _key string, shingles array<bigint>"))
+    made = f"_row bigint, id {kind}, _key string, shingles array<bigint>, minima array<bigint>"
+    hashed = stable(folded.mapInArrow(_hashed_texts(words, bands, rows), made))
     first = F.min(F.struct(F.isnull("id").alias("_no"), "id", "_row")).alias("first")
     firsts = hashed.filter("_key is not null").groupBy("_key").agg(first, F.count("*").alias("_n"))
     texts = stable(firsts.select("_key", "first.id", "first._row", "_n"))
     sets = hashed.select(F.col("_row").alias("id"), "shingles")
-    links = near_links(sets, least, bands, rows, block, among=texts.select(F.col("_row").alias("id")))
+    values = hashed.select("_row", "minima").join(texts.select("_row"), "_row", "left_semi").select(F.col("_row").alias("id"), F.posexplode("minima").alias("band", "value"))
+    links = near_links(sets, least, bands, rows, block, values)
     names = texts.select("_row", "id")
     classes = connected(links.join(names.toDF("a", "x"), "a").join(names.toDF("b", "y"), "b").select("x", "y"))
     found = texts.join(classes, F.col("id") == F.col("node"), "left")

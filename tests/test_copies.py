@@ -217,7 +217,7 @@ def test_edited_copies_of_one_text_do_not_all_meet(spark, monkeypatch):
 def test_runs_of_words_hash_alike_wherever_they_stand(words):
     folded = ["a b c d e f", None, "", "x a b c d e f", "b", "a b c d e f a b c d e f", "é ü", "b a", "b", "a b  c", "ab c", "a bc"]
     batch = pa.record_batch({"_row": pa.array(range(len(folded))), "id": pa.array(range(len(folded))), "_text": folded})
-    made = pa.Table.from_batches(nc._hashed_texts(words, "id")([batch.slice(0, 3), batch.slice(3, 0), batch.slice(3)])).to_pylist()
+    made = pa.Table.from_batches(nc._hashed_texts(words, 3, 2)([batch.slice(0, 3), batch.slice(3, 0), batch.slice(3)])).to_pylist()
     split = [t.split(" ") if t else [] for t in folded]
     sets = [{tuple(w[k : k + words]) for k in range(max(len(w) - words, 0) + 1)} if w else set() for w in split]
     known = {}
